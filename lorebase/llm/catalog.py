@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, packing, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mix_sources": mixing.op2_mix_sources}
+    return {
+        "op2_mix_sources": mixing.op2_mix_sources,
+        "op7_pack_retrieval": packing.op7_pack_retrieval,
+        "op9_token_counts": tokens.op9_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -94,11 +94,11 @@ def _power(which: str, n: int) -> np.ndarray:
     """b**0 .. b**(n-1) modulo 2**64 for the base (``up``) or its inverse (``down``)."""
     have = _powers.get(which)
     if have is None or len(have) < n:
-        n = max(n, BLOCK_BYTES + 1)
-        have = np.full(n, _B if which == "up" else _B_INV, np.uint64)
+        size = max(n, BLOCK_BYTES + 1)
+        have = np.full(size, _B if which == "up" else _B_INV, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if n <= 4 * BLOCK_BYTES:
+        if size <= 4 * BLOCK_BYTES:
             _powers[which] = have
     return have[:n]
 
