@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, tokens
+from . import langid, mixing, packing, quality, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix_sources": mixing.op2_mix_sources,
         "op7_pack_retrieval": packing.op7_pack_retrieval,
+        "op8_quality_classifier": quality.op8_quality_classifier,
         "op9_token_counts": tokens.op9_token_counts,
+        "op10_language_id": langid.op10_language_id,
     }
 
 
