@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, quality, tokens
+from . import langid, mixing, packing, quality, rules, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op5_warc_round_trip": warc.op5_warc_round_trip,
+        "op6_quality_rules": rules.op6_quality_rules,
         "op7_pack_retrieval": packing.op7_pack_retrieval,
         "op8_quality_classifier": quality.op8_quality_classifier,
         "op9_token_counts": tokens.op9_token_counts,
@@ -20,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc_round_trip": warc.OP5_SQL}
