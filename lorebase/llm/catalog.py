@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, quality, rules, tokens, warc
+from . import ann, langid, mixing, packing, quality, rules, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann_search": ann.op1_ann_search,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op5_warc_round_trip": warc.op5_warc_round_trip,
         "op6_quality_rules": rules.op6_quality_rules,
