@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, langid, mixing, packing, quality, rules, tokens, warc
+from . import ann, jaccard, langid, mixing, packing, quality, rules, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann_search": ann.op1_ann_search,
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op5_warc_round_trip": warc.op5_warc_round_trip,
         "op6_quality_rules": rules.op6_quality_rules,
         "op7_pack_retrieval": packing.op7_pack_retrieval,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_round_trip": warc.OP5_SQL}
+    return {"op3_jaccard_join": jaccard.OP3_SQL, "op5_warc_round_trip": warc.OP5_SQL}
