@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, jaccard, langid, mixing, packing, quality, rules, tokens, warc
+from . import ann, jaccard, langid, lines, mixing, packing, quality, rules, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ann_search": ann.op1_ann_search,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
+        "op4_line_dedup": lines.op4_line_dedup,
         "op5_warc_round_trip": warc.op5_warc_round_trip,
         "op6_quality_rules": rules.op6_quality_rules,
         "op7_pack_retrieval": packing.op7_pack_retrieval,

@@ -192,7 +192,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None) ->
     path = vocabulary or T.default_vocabulary()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_shards = max(1, -(-docs.count() // SHARD_DOCS))
-    # the text takes part, so that rows that share an id do not share a shard
+    # part of the text joins in, so that many rows with one id do not share a shard
     shard = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_shards)).cast("int")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
