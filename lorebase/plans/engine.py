@@ -71,6 +71,9 @@ class Engine:
             out = out.unionByName(near.select("query_id", "answer", "cache"))
             rest = rest.join(near.select("query_id"), "query_id", "left_anti")
         answered = self.ask(rest.select("query_id", "question", "history"), filters).persist()
+        # the hits are settled before the write, which would otherwise show new entries to them
+        out = out.persist()
+        out.count()
         fresh = answered.join(keyed.select("query_id", "key", "fp"), "query_id")
         with_vectors = embed(fresh.withColumn("text", F.col("question")), self.embedder)
         new = cache.store(self.spark.createDataFrame([], _CACHE), with_vectors, self.settings.cache_ttl_s)
