@@ -1,0 +1,374 @@
+"""Every operator against brute force or an exact round trip, with nulls, empties, ties, repeats and clashing columns."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lorebase.llm import ann, jaccard, langid, lines, mixing, packing, quality, rules, tokens
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+#: Columns whose names the operators use themselves.
+CLASH = ("size", "target", "key", "sid", "n", "h", "shard", "score", "gone_lines", "lang_pred", "predicted", "x", "grp", "rank")
+
+
+def frame(spark, rows, clash=False):
+    df = spark.createDataFrame([(i, t, lang, s, None if t is None else len(t)) for i, t, lang, s in rows], DOC)
+    return df.withColumns({c: F.lit("clash") for c in CLASH}) if clash else df
+
+
+def words(rnd, n, pool=400):
+    return " ".join(f"w{rnd.randrange(pool)}" for _ in range(n))
+
+
+# ------------------------------------------------------------------------------------------------ 2 mixing
+
+
+def brute_targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        left = 1.5 * total - sum(2 * sizes[s] for s in capped)
+        open_w = sum(w[s] for s in names if s not in capped)
+        over = {s for s in names if s not in capped and open_w and left * w[s] / open_w > 2 * sizes[s]}
+        if not over:
+            return {s: 2.0 * sizes[s] if s in capped else left * w[s] / open_w for s in names}
+        capped |= over
+
+
+def test_mixing_meets_targets_and_reruns(spark):
+    rnd = random.Random(1)
+    rows = [(k, words(rnd, rnd.choice([3, 20, 60, 200])), "en", rnd.choice(["a", "b", "c", "d", "hot", "hot", "hot", None])) for k in range(900)]
+    rows += [(900, None, "en", "a"), (901, "", "en", "b"), (902, " \t\n", None, "e"), (None, "x y", "en", "a"), (5, rows[5][1], "en", rows[5][3]), (5, rows[5][1], "en", rows[5][3])]
+    got = mixing.mix(spark, frame(spark, rows, clash=True)).collect()
+    again = mixing.mix(spark, frame(spark, rows).repartition(7)).collect()
+    key = lambda r: (str(r["doc_id"]), r["row_no"], r["taken"], r["target"])
+    assert sorted(map(key, got)) == sorted(map(key, again)) and len(got) == len(rows)
+    sizes = defaultdict(int)
+    for _, t, _, s in rows:
+        sizes[s] += len(WORD.findall(t or ""))
+    want, taken = brute_targets(sizes), defaultdict(int)
+    for r in got:
+        assert r["target"] == pytest.approx(want[r["source"]]) and r["source_size"] == sizes[r["source"]]
+        assert r["taken"] % max(r["size"], 1) == 0 and r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+    for s, t in want.items():
+        assert abs(taken[s] - t) <= 200
+    assert mixing.mix(spark, frame(spark, [])).count() == 0
+    assert mixing.mix(spark, frame(spark, [(1, None, None, None)])).head()["taken"] == 0
+
+
+def test_mixed_documents_repeat(spark):
+    rows = [(k, "a b c d", "en", "ab"[k % 2]) for k in range(200)]
+    out = mixing.apply_mix(spark, frame(spark, rows))
+    assert out.columns == DOC.replace(" long", "").replace(" string", "").split(", ") and max(Counter(r["doc_id"] for r in out.collect()).values()) == 2
+
+
+# ------------------------------------------------------------------------------------------------ 3 n-gram Jaccard join
+
+
+def shingles(t):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute_components(rows):
+    sets = [shingles(t) for _, t, _, _ in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _, _, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return sorted(((d, len(sets[i]), least.get(find(i), d)) for i, (d, _, _, _) in enumerate(rows)), key=str)
+
+
+def near(rnd, t, edits):
+    w = t.split()
+    for _ in range(edits):
+        w[rnd.randrange(len(w))] = f"new{rnd.randrange(9999)}"
+    return " ".join(w)
+
+
+def test_jaccard_components(spark):
+    rnd = random.Random(2)
+    rows, k = [], iter(range(10_000))
+    for _ in range(8):
+        base = words(rnd, rnd.choice([6, 40, 120]))
+        rows += [(next(k), near(rnd, base, rnd.randrange(4)), "en", "s") for _ in range(6)]
+    # a large group of near copies, some just beyond the bound, and a passage that many share
+    base = words(rnd, 90)
+    rows += [(next(k), near(rnd, base, rnd.choice([0, 1, 2, 3, 4, 6])), "en", "s") for _ in range(60)]
+    shared = words(rnd, 30)
+    rows += [(next(k), shared + " " + words(rnd, rnd.choice([5, 8, 40])), "en", "s") for _ in range(40)]
+    rows += [(next(k), "Same copy of five words here", "en", "s") for _ in range(30)]
+    rows += [(next(k), t, None, None) for t in (None, "", " \n", "one two", "ONE  two", "one", "x " * 3000)]
+    rows += [(3, rows[3][1], "en", "s"), (None, "lone words of a null id", "en", "s"), (None, rows[0][1], "en", "s")]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.classes(spark, frame(spark, rows, clash=True)).collect()), key=str)
+    assert got == brute_components(rows)
+    assert jaccard.classes(spark, frame(spark, [])).count() == 0
+
+
+def test_jaccard_bounds_are_exact():
+    for a in range(1, 80):
+        for b in range(1, 80):
+            low = next((i for i in range(min(a, b) + 1) if 100 * i >= 80 * (a + b - i)), None)
+            assert (low if low is not None else 10**9) == jaccard.need(a, b) or (low is None and jaccard.need(a, b) > min(a, b))
+            if low is not None:
+                small, large = min(a, b), max(a, b)
+                assert large - low < jaccard.probe_length(large) and small - jaccard.need(small, small) < jaccard.index_length(small)
+
+
+# ------------------------------------------------------------------------------------------------ 4 line dedup
+
+
+def test_patience_and_blocks():
+    assert lines.patience([1, 2, 3, 4], [9, 2, 3, 8]) == [(1, 1), (2, 2)]
+    assert lines.patience([1, 1, 2], [1, 1, 3]) == [(0, 0), (1, 1)]
+    assert lines.common_blocks([1, 2, 3, 4, 5], [30, 30, 1, 30, 30], [4, 5, 7, 1, 2], 50) == [0, 1, 3, 4]  # moved
+    assert lines.common_blocks([1, 8, 1], [60, 1, 60], [5, 1, 6], 50) == [0, 2]  # doubled
+    assert lines.common_blocks([1, 2], [20, 20], [1, 2], 50) == []
+
+
+def test_line_dedup(spark):
+    rnd = random.Random(3)
+    passage = words(rnd, 60)
+    two = words(rnd, 30) + "\n" + words(rnd, 30)
+    rows = [(k, "\n".join([words(rnd, 9), passage, words(rnd, 9)]), "en", "s") for k in range(40)]
+    rows += [(100, "a\n" + two + "\nb", "en", "s"), (101, "c\n\n" + two.replace("\n", "\n\n") + " \nd", "en", "s"), (102, words(rnd, 30) + "\nshort line", "en", "s"), (103, "short line\n" + words(rnd, 40), "en", "s")]
+    rows += [(104, None, "en", "s"), (105, "", "en", "s"), (106, "\n\n", "en", "s"), (107, rows[0][1], "en", "s"), (107, rows[0][1], "en", "s"), (None, passage, "en", "s")]
+    out = lines.dedup_lines(spark, frame(spark, rows, clash=True)).collect()
+    got = {(r["doc_id"], t["doc_id"]): r["text"] for r, t in zip(out, out, strict=True)}
+    by = {r["doc_id"]: r["text"] for r in out}
+    assert len(out) == len(rows) and got
+    assert by[0] == rows[0][1]
+    for k in range(1, 40):
+        a, _, b = rows[k][1].split("\n")
+        assert by[k] == a + "\n" + b
+    assert by[100] == rows[40][1] and by[101] == "c\n\n\nd"
+    assert by[102] == rows[42][1] and by[103] == rows[43][1]
+    assert by[104] is None and by[105] == "" and by[106] == "\n\n" and by[107] == "" and by[None] == ""
+    assert lines.dedup_lines(spark, frame(spark, [])).count() == 0
+
+
+# ------------------------------------------------------------------------------------------------ 7 and 9 tokens, packing
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.default_vocabulary())
+
+
+ODD = [None, "", " ", "The CAT's 12 dogs!!", "<|endoftext|> a<|startoftext|>b", "naïve Ünï ß ÷× ’ ½ ²", "日本語 한국 ёж", "á éx Σας ͅ", "x" * 400 + " " + "#" * 300, "don't I'LL we're", "\x00\x1f a b　c d", "ÀÉ " * 50]
+
+
+def test_token_counts_equal_the_library(spark, library):
+    rnd = random.Random(4)
+    alphabet = "abcXYZ éÉßñ0123456789 .,!?#$'-<|> \n\t日本ΣσÍ ​🙂"
+    texts = ODD + ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(80))) for _ in range(1500)]
+    got = tokens.count_tokens(frame(spark, [(k, t, "en", "s") for k, t in enumerate(texts)], clash=True)).collect()
+    for r in got:
+        t = texts[r["doc_id"]] or ""
+        assert (r["n_bytes"], r["n_tokens"]) == (len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)), t
+        assert r["over_limit"] == (r["n_tokens"] > 2048)
+    assert tokens.count_tokens(frame(spark, [])).count() == 0
+
+
+def test_packing_is_exact(spark, library, monkeypatch):
+    rnd = random.Random(5)
+    texts = ODD + [words(rnd, rnd.choice([1, 50, 300, 2500])) for _ in range(150)]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
+    got = packing.pack(spark, frame(spark, rows, clash=True)).toPandas()
+    ids = {k: np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for k, t in enumerate(texts)}
+    for d, g in got.sort_values("start").groupby("doc_id"):
+        assert g["start"].tolist() == [0, *np.cumsum(g["length"])[:-1]] and g["length"].sum() == len(ids[d])
+        for r in g.itertuples():
+            assert r.ids_crc32 == zlib.crc32(ids[d][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[d])
+    assert got["doc_id"].nunique() == len(texts)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        total = g["length"].sum()
+        assert g["offset"].tolist() == [0, *np.cumsum(g["length"])[:-1]] and total <= 4096 and total & (total - 1) == 0
+    twice = packing.pack(spark, frame(spark, [rows[3], rows[3], (None, "null id", "en", "s")])).toPandas()
+    assert sorted(twice["length"].groupby(twice["doc_id"].fillna(-1)).sum()) == sorted([2 * len(ids[3]), len(library.encode("null id", add_special_tokens=False).ids) + 1])
+    assert packing.pack(spark, frame(spark, [])).count() == 0
+
+
+def test_neighbours_come_by_bm25():
+    texts = [["a", "b", "c"], ["x", "y", "z"], ["a", "b", "q"], ["x", "q", "r"]]
+    vocab = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+    doc = np.concatenate([[d] * len(t) for d, t in enumerate(texts)])
+    index = packing.ShardIndex(doc, np.array([vocab[w] for t in texts for w in t], np.uint64), 4)
+    s = index.scores(0)
+    df = Counter(w for t in texts for w in set(t))
+    want = sum(math.log(1 + (4 - df[w] + 0.5) / (df[w] + 0.5)) * 2.5 / (1 + 1.5) for w in ("a", "b"))
+    assert s[2] == pytest.approx(want, rel=1e-6) and s[1] == 0
+    pieces = packing.plan(np.array([3, 3, 3, 3]), index.scores, 6)
+    assert [p[0] for p in pieces if p[3] == 0] == [0, 2]
+
+
+# ------------------------------------------------------------------------------------------------ 6 rules
+
+
+def brute_stats(t):
+    w = WORD.findall(t or "")
+    seen, dup = set(), 0
+    for line in (t or "").split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    n = Counter(tri)
+    rep = {i + k for i, x in enumerate(tri) if n[x] > 1 for k in range(3)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(rep)
+
+
+def test_rules(spark):
+    rnd = random.Random(6)
+    rows = [(k, "\n".join(words(rnd, 12, 5000) for _ in range(8)), "en", rnd.choice(["hot", "hot", "b"])) for k in range(500)]
+    rows += [(1000 + k, " ".join(w + "###$$" for w in words(rnd, 90).split()), "en", "hot") for k in range(10)]
+    rows += [(2000, "la " * 200, "en", "hot"), (2001, None, None, None), (2002, "", "en", "b"), (2003, "é|ü\n\né|ü \n é|ü\né|ü", "xx", "yy"), (2004, "\n".join([words(rnd, 60)] * 2), "en", "b"), (None, words(rnd, 80, 5000), "en", "rare")]
+    rows += [rows[0]]
+    got = rules.quality_rules(spark, frame(spark, rows, clash=True)).collect()
+    assert len(got) == len(rows)
+    texts = {d: t for d, t, _, _ in rows}
+    for r in got:
+        n, chars, sym, dup, rep = brute_stats(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, sym, dup, rep)
+        assert r["base_failed"] == (n < 50 or 100 * rep > 50 * n)
+        if r["doc_id"] is None or r["doc_id"] < 500:
+            assert r["kept"]
+        elif r["doc_id"] != 2003:
+            assert not r["kept"]
+    assert rules.quality_rules(spark, frame(spark, [])).count() == 0
+
+
+# ------------------------------------------------------------------------------------------------ 8 and 10 classifiers
+
+
+def test_quality_classifier(spark):
+    rnd = random.Random(7)
+    good = lambda: words(rnd, 60)
+    bad = lambda: " ".join(w + rnd.choice(["***", "|", "$$$"]) for w in words(rnd, 60).split())
+    rows = [(k, good() if k % 3 else bad(), "en", "s") for k in range(400)] + [(900, None, "en", "s"), (901, "", "en", "s"), (None, "x", "en", "s")]
+    docs = frame(spark, rows, clash=True)
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(300)] + [(0, 0, 0), (5000, 1, 0), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    held = [r for d, r in got.items() if d is not None and 300 <= d < 400]
+    assert sum(r["predicted"] == int(r["doc_id"] % 3 > 0) for r in held) >= 97
+    assert all(0 <= r["score"] <= 1 for r in got.values()) and len(got) == len(rows)
+    one = quality.train(docs, labels.where("quality = 1"))
+    assert {r["score"] for r in quality.score(docs, one).collect()} == {1.0}
+    assert quality.score(frame(spark, []), one).count() == 0
+
+
+def test_language_id(spark):
+    rnd = random.Random(8)
+    kinds = {"aa": "the thing of and was ing tion", "bb": "über straße ich nicht sch ung", "cc": "él niño está año señor"}
+    make = lambda k: " ".join(rnd.choice(kinds[k].split()) + rnd.choice(["", "e", "n"]) for _ in range(rnd.choice([8, 60])))
+    rows = [(k, make(sorted(kinds)[k % 3]), sorted(kinds)[k % 3], "s") for k in range(600)]
+    odd = [(1000, None, "aa", "s"), (1001, "", None, "s"), (1002, "123 !!", "aa", "s"), (1003, "語", None, "s"), (1004, make("bb") * 500, None, "s"), (None, make("aa"), "aa", "s")]
+    docs = frame(spark, rows + odd, clash=True)
+    model = langid.train(docs.where("doc_id < 450"))
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    assert sum(got[k]["lang_pred"] == sorted(kinds)[k % 3] for k in range(450, 600)) >= 147
+    assert [got[k]["lang_pred"] for k in (1000, 1001, 1002)] == ["und"] * 3 and got[1003]["lang_pred"] in kinds and got[1004]["lang_pred"] == "bb"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    none = langid.train(docs.where("false"))
+    assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
+    assert langid.predict(frame(spark, []), model).count() == 0
+
+
+def test_network_gradient():
+    rng = np.random.default_rng(0)
+    net = langid.ByteCNN(["a", "b"], 1)
+    x, y, w = rng.integers(97, 110, (6, langid.WINDOW)).astype(np.uint8), np.array([0, 1, 0, 1, 1, 0]), np.ones(6)
+
+    def loss():
+        act = np.maximum(net._pool(x)[0], 0) @ net.p["out"] + net.p["out_bias"]
+        p = np.exp(act) / np.exp(act).sum(1, keepdims=True)
+        return -np.log(p[np.arange(6), y]).mean()
+
+    g = net._grad(x, y, w)
+    for name, at in (("w3", (1, 2, 3)), ("embed", (100, 4)), ("out", (5, 1)), ("bias", (7,))):
+        old = net.p[name][at]
+        net.p[name][at] = old + 1e-5
+        up = loss()
+        net.p[name][at] = old - 1e-5
+        down = loss()
+        net.p[name][at] = old
+        assert g[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-5)
+    frozen = langid.Scorer(net.frozen())
+    act = np.maximum(net._pool(x)[0], 0) @ net.p["out"] + net.p["out_bias"]
+    assert frozen.log_probs(x) == pytest.approx(act - np.log(np.exp(act).sum(1, keepdims=True)), abs=1e-4)
+
+
+# ------------------------------------------------------------------------------------------------ 1 nearest neighbours
+
+
+def brute_nearest(rows, qid, k=10):
+    ok = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            ok.setdefault(i, []).append(np.array(v, np.float32).astype(float))
+    q = ok[qid][0]
+    d = sorted((math.sqrt(((v - q) ** 2).sum()), i) for i, vs in ok.items() if i != qid for v in vs if len(v) == len(q))
+    return [(i, s) for s, i in d[:k]]
+
+
+def run_ann(spark, rows, step):
+    from lorebase.llm.common import Scratch
+
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("clash") for c in CLASH})
+    scratch = Scratch(spark, "ann")
+    index, shards = ann.build_index(spark, df, scratch, shard_rows=300)
+    got = ann.search(spark, df.where(F.col("vec_id") % step == 0), index, shards, scratch).orderBy("query_id", "rank").collect()
+    out = defaultdict(list)
+    for r in got:
+        assert r["rank"] == len(out[r["query_id"]]) + 1
+        out[r["query_id"]].append((r["vec_id"], r["score"]))
+    return out
+
+
+def test_ann_recall_and_odd_vectors(spark):
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(12, 16))
+    rows = [(k, (centre[k % 12] + 0.4 * rng.normal(size=16)).astype(np.float32).tolist()) for k in range(1500)]
+    same = rows[7][1]
+    rows += [(2000 + k, same) for k in range(300)]
+    rows += [(3000, None), (3001, [0.0] * 16), (3002, [math.nan] * 16), (3003, [None] + [1.0] * 15), (3050, [math.inf] * 16), (None, same), (3100, [1.0, 2.0]), (3150, [2.0, 2.0])]
+    got = run_ann(spark, rows, 50)
+    hit = total = 0
+    for q, found in got.items():
+        want = brute_nearest(rows, q)
+        hit += len({i for i, _ in want} & {i for i, _ in found})
+        total += len(want)
+        exact = dict(brute_nearest(rows, q, 10_000))
+        assert all(s == pytest.approx(exact[i], abs=1e-12) for i, s in found)
+    assert hit / total >= 0.95 and 3050 not in got
+    assert got[2000] == [(7, 0.0), *[(2000 + k, 0.0) for k in range(1, 10)]]
+    assert [i for i, _ in got[3100]] == [3150]
+
+
+def test_ann_small_tables(spark):
+    assert run_ann(spark, [], 1) == {}
+    assert run_ann(spark, [(0, [1.0])], 1) == {}
+    assert run_ann(spark, [(0, [1.0]), (1, [1.0]), (2, [3.0])], 2) == {0: [(1, 0.0), (2, 2.0)], 2: [(0, 2.0), (1, 2.0)]}
