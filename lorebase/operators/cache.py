@@ -80,3 +80,21 @@ def sweep(probes: DataFrame, anchors: DataFrame) -> DataFrame:
         F.count_if("must_miss").alias("must_miss"),
         F.count_if(~F.col("must_miss") & (F.col("nearest") >= F.col("threshold"))).alias("paraphrase_hits"),
     ).withColumn("rule_s", (F.col("false_hits") == 0) & (F.col("paraphrase_hits") >= LEAST_HITS))
+
+
+def replay_verdict(cold: DataFrame, replay: DataFrame, most_ms: float = 50.0) -> DataFrame:
+    """One row on a replay (query_id, answer, cache, ms) of a cold run (query_id, answer, refusal): do hits repeat it?
+
+    rule_e holds if every stored answer came back from the cache byte for byte and half the hits took under ``most_ms``.
+    """
+    both = cold.select("query_id", F.col("answer").alias("was"), "refusal").join(replay, "query_id")
+    hit = F.col("cache").isNotNull()
+    got = both.agg(
+        F.count_if(F.col("refusal").isNull()).alias("stored"),
+        F.count_if(hit).alias("hits"),
+        F.count_if(~hit).alias("misses"),
+        F.count_if(hit & (F.col("was") == F.col("answer"))).alias("identical"),
+        F.percentile(F.when(hit, F.col("ms")), 0.5).alias("hit_p50_ms"),
+        F.percentile(F.when(~hit, F.col("ms")), 0.5).alias("miss_p50_ms"),
+    )
+    return got.withColumn("rule_e", (F.col("hits") == F.col("stored")) & (F.col("identical") == F.col("hits")) & (F.col("hit_p50_ms") < most_ms))

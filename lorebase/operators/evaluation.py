@@ -156,7 +156,22 @@ def compare(history: DataFrame, base: str, other: str) -> DataFrame:
     return a.join(b, "metric", "full_outer").withColumn("delta", F.col("other") - F.col("base"))
 
 
-def snapshot(histories: dict[str, DataFrame], fields: dict[str, tuple[str, ...]]) -> dict:
+# What a published snapshot holds of each kind of run.
+SNAPSHOT_FIELDS = {
+    "retrieval": "label timestamp git_commit config ks questions answerable unanswerable aggregate per_category latency_p50_ms latency_p95_ms".split(),
+    "answers": (
+        "label timestamp git_commit config questions failures refusals refusal_rate context_chars_p50 prompt_tokens_p50 answer_chars_p50 "
+        "latency_p50_ms latency_p95_ms ragas ragas_by_category ragas_failures attack_cases attack_successes control_refusals"
+    ).split(),
+    "cache": (
+        "label timestamp git_commit config candidate_threshold false_hits must_miss paraphrase_hits rule_s stored hits misses cold_refusals "
+        "hit_p50_ms hit_p95_ms miss_p50_ms miss_p95_ms prompt_tokens completion_tokens usd_at_list_price rule_e"
+    ).split(),
+    "observability": "label timestamp git_commit writes valid_lines p50_ms p95_ms bytes_per_trace total_bytes rule_o".split(),
+}
+
+
+def snapshot(histories: dict[str, DataFrame], fields: dict = SNAPSHOT_FIELDS) -> dict:
     """Latest row per label and kind with whitelisted non-null fields, row counts and the newest timestamp."""
     import json
 

@@ -60,3 +60,11 @@ def summary(traces: DataFrame) -> DataFrame:
     """One row: counters, repeat rate (null without follow-ups) and interpolated latency percentiles."""
     got = traces.agg(*counters(), F.percentile("timings.total_ms", 0.5).alias("latency_p50_ms"), F.percentile("timings.total_ms", 0.95).alias("latency_p95_ms"))
     return got.withColumn("follow_up_repeat_rate", F.try_divide("follow_up_repeats", "follow_ups"))
+
+
+def sink_report(traces: DataFrame, writes: DataFrame, most_ms: float = 5.0) -> DataFrame:
+    """One row on a trace log read back and the times (ms) of its writes: rule_o holds if all are valid and p95 is below ``most_ms``."""
+    valid = traces.agg(F.count_if(F.col("trace_id").isNotNull() & (F.col("schema_version") == 1)).alias("valid_lines"))
+    times = writes.agg(F.count("*").alias("writes"), F.percentile("ms", 0.5).alias("p50_ms"), F.percentile("ms", 0.95).alias("p95_ms"))
+    # both sides are single rows
+    return times.crossJoin(F.broadcast(valid)).withColumn("rule_o", (F.col("valid_lines") == F.col("writes")) & (F.col("p95_ms") < most_ms))

@@ -54,8 +54,9 @@ def answer(
         raise ValueError(f"unknown prompt version {settings.prompt_version!r}")
     if "history" not in questions.columns:
         questions = questions.withColumn("history", F.lit(None).cast("array<struct<role:string,content:string>>"))
-    prepared = prepare(questions, settings, embedder, rewriter)
-    pool = retrieve(prepared, chunks, settings, filters, lexical)
+    # kept: both are read by several branches, and hold no more than the questions and their pools
+    prepared = prepare(questions, settings, embedder, rewriter).persist()
+    pool = retrieve(prepared, chunks, settings, filters, lexical).persist()
     sizes = pool.groupBy("query_id").agg(F.count("*").alias("pooled"))
     if settings.compress_method:
         pool = context.compress(pool, settings.compress_method, settings.compress_budget, settings.compress_length_penalty, embedder)

@@ -17,7 +17,7 @@ from ..functions import text
 from ..operators import cache, chunking, context, embedding, evaluation, generation, retrieval, traces
 from ..settings import Settings
 from ..sources import documents, store
-from . import answer
+from . import answer, benchmark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -524,6 +524,19 @@ def answer_questions(spark, sf):
     return answer.answer(asked, chunks, Settings(retrieval_mode="hybrid")).select("query_id", "question", "answer", F.size("sources").alias("n_sources"), "retrieved", "used", "dropped", "context_chars", "refusal", "warnings")
 
 
+@query()
+def benchmark_run(spark, sf):
+    """Benchmark items as questions about the documents that hold them whole."""
+    docs = _docs(spark, sf)
+    items = _t(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("question"))
+    # a few dozen questions, so every document is looked at once
+    held = docs.join(F.broadcast(items), F.contains(docs["text"], items["question"])).groupBy("question_id").agg(F.array_sort(F.collect_set("document_id")).alias("relevant_document_ids"))
+    asked = items.join(held, "question_id", "left").withColumn("relevant_document_ids", F.coalesce("relevant_document_ids", F.array().cast("array<string>")))
+    asked = asked.withColumn("category", F.when(F.size("relevant_document_ids") == 0, "unanswerable").when(F.size("relevant_document_ids") > 1, "multi_doc").otherwise("exact"))
+    chunks = embedding.embed(_doc_chunks(spark, sf))
+    return benchmark.run(asked, chunks, Settings(retrieval_mode="lexical")).where("metric not like 'latency%'")
+
+
 @query()
 def judge_answers(spark, sf):
     pool = _pool(spark, sf).groupBy("query_id", F.col("query").alias("question")).agg(F.array_sort(F.collect_list("text")).alias("contexts"))
