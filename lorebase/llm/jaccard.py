@@ -10,7 +10,8 @@ when its sizes and least position rule out the needed overlap with the probing s
 Answer-level skipping: in each list, sets are first compared with a few leaders drawn by lot (alike in all lists). Sets
 that link with a leader are in its group, so pairs inside a group need no comparison; a few turns with other leaders
 settle nearly all lists. For the pairs across groups that remain, the answer is derived from the two sets' overlaps
-with a common leader where these decide it (symmetric differences obey the triangle inequality); the rest is compared. Lists and sets stay distributed; what reaches the driver is counts and the
+with a common leader where these decide it (symmetric differences obey the triangle inequality), or from parity
+signatures, which bound the difference from below; the rest is compared. No bound ever drops a link. Lists and sets stay distributed; what reaches the driver is counts and the
 bounded table of frequent cells.
 """
 
@@ -30,7 +31,8 @@ CELL_BITS, HEAVY, REPORT = 22, 1 << 16, 6
 #: Rows of a list that are skipped or probed together.
 LIST_BLOCK = 64
 #: Sets of a list that all others are compared with in a turn, and turns before the rest is compared pair by pair.
-LEADERS, TURNS = 6, 4
+LEADERS, TURNS = 6, 2
+SIGNATURE_BITS = 1024
 #: Ids (16 bytes each) up to which a side is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -55,6 +57,29 @@ def _set_id(s: np.ndarray) -> int:
     return int(C.mix64(np.array([h + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def _signature(s: np.ndarray) -> bytes:
+    """Parity of the shingles in each of SIGNATURE_BITS cells: two signatures differ in no more bits than the sets do."""
+    return np.packbits(np.bincount((s >> np.uint64(44)).astype(np.int64) & (SIGNATURE_BITS - 1), minlength=SIGNATURE_BITS) & 1).tobytes()
+
+
+def _signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SIGNATURE_BITS // 64)
+
+
+def _differ(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether signatures prove that sets of these sizes do not link."""
+    return (na + nb - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)) // 2 < need(na, nb)
+
+
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, na, nb, x, y) whose signatures leave a link open."""
+    for batch in batches:
+        if batch.num_rows:
+            na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            keep = pa.array(~_differ(_signatures(batch.column(4)), _signatures(batch.column(5)), na, nb))
+            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
     buf, off = C.buffers(column)
     for _, _, b, o in C.blocks(buf, off):
@@ -62,21 +87,22 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind 0, doc_id, set id, size) per document, and (kind 1, cell, count, 0) per frequent cell of the task."""
+    """(kind 0, doc_id, set id, size, signature) per document, and (kind 1, cell, count) per frequent cell of the task."""
     cells = np.zeros(1 << CELL_BITS, np.int32)
-    names = ["kind", "a", "b", "n"]
+    names = ["kind", "a", "b", "n", "sig"]
     for batch in batches:
-        sid, n, all_ = [], [], []
+        sid, n, all_, sig = [], [], [], []
         for s in _sets(batch.column(1)):
             n.append(len(s))
+            sig.append(_signature(s))
             sid.append(_set_id(s) if len(s) else 0)
             all_.append(s)
         flat = np.concatenate(all_) if all_ else np.empty(0, np.uint64)
         cells += np.bincount((flat >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells)).astype(np.int32)
-        yield pa.record_batch([pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(sid, pa.int64()), pa.array(n, pa.int64())], names=names)
+        yield pa.record_batch([pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=names)
     # a cell stands out if it holds several times the mean
     at = np.flatnonzero(cells >= max(REPORT, 6 * int(cells.sum()) // len(cells)))
-    yield pa.record_batch([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(cells[at].astype(np.int64)), pa.array(np.zeros(len(at), np.int64))], names=names)
+    yield pa.record_batch([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(cells[at].astype(np.int64)), pa.array(np.zeros(len(at), np.int64)), pa.nulls(len(at), pa.binary())], names=names)
 
 
 def _prefixes(heavy: np.ndarray):
@@ -203,12 +229,13 @@ def _fits(na, pa_, nb, pb):
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of one list and two groups whose answer the leaders leave open."""
-    got = _columns(batches)
-    if not got:
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
         return
-    token, sid, packed, group, lead, common = got
+    sig = np.concatenate([_signatures(b.column(6)) for b in batches])
+    token, sid, packed, group, lead, common = _columns(b.select(["token", "sid", "np", "group", "lead", "diff"]) for b in batches)
     order = np.lexsort((sid, packed, token))
-    token, sid, packed, group, lead, common = (c[order] for c in (token, sid, packed, group, lead, common))
+    token, sid, packed, group, lead, common, sig = (c[order] for c in (token, sid, packed, group, lead, common, sig))
     size, pos = packed >> 32, packed & 0xFFFFFFFF
     edge = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
     left, right = [], []
@@ -236,10 +263,10 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 di, dj = common[i], common[j]
                 apart = np.abs(di - dj)
                 most = (size[i] + size[j] - apart) // 2
-                settled = known & (most < need(size[i], size[j]))
+                settled = (known & (most < need(size[i], size[j]))) | _differ(sig[i], sig[j], size[i], size[j])
                 left.append(sid[i[~settled]])
                 right.append(sid[j[~settled]])
-    if left:
+    if any(map(len, left)):
         x, y = np.concatenate(left), np.concatenate(right)
         lo, hi = np.minimum(x, y), np.maximum(x, y)
         u = np.unique(np.stack([lo, hi]), axis=1)
@@ -269,7 +296,7 @@ class Join:
 
     def run(self) -> DataFrame:
         save, s = self.scratch.save, self.scratch
-        profile = save(self.docs.mapInArrow(_profile, "kind byte, a long, b long, n long"), "profile")
+        profile = save(self.docs.mapInArrow(_profile, "kind byte, a long, b long, n long, sig binary"), "profile")
         self.members = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), "n")
         cells = profile.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).orderBy(F.desc("c"), "a").limit(HEAVY)
         heavy = cells.toArrow()
@@ -277,7 +304,7 @@ class Join:
         heavy = heavy.sort_by([("c", "ascending"), ("a", "ascending")])["a"].to_numpy()
         prefixes = self.docs.select("text").mapInArrow(_prefixes(heavy), "token long, sid long, np long")
         lists = save(prefixes.repartition("token").mapInArrow(_lists, "token long, sid long, np long, cnt long"), "lists")
-        self.classes = save(self.members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first")), "classes")
+        self.classes = save(profile.where("kind = 0 and n > 0").groupBy(F.col("b").alias("sid")).agg(F.min("a").alias("first"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig")), "classes")
         compared, groups, links = None, None, None
         rows = lists.select("token", "sid", "np", F.col("sid").alias("group"))
         for turn in range(TURNS):
@@ -295,7 +322,8 @@ class Join:
             led = rows.repartition("token").mapInArrow(_first_by_lot(TURNS - 1), "token long, sid long, np long, group long, lead long").withColumn("a", least).withColumn("b", most)
             led = led.join(compared.select("a", "b", (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("diff")), ["a", "b"], "left")
             diff = F.when(F.col("sid") == F.col("lead"), F.lit(0)).otherwise(F.coalesce("diff", F.lit(-1))).cast("long")
-            across = led.select("token", "sid", "np", "group", "lead", diff.alias("diff")).repartition("token").mapInArrow(_across, "a long, b long")
+            led = led.withColumn("diff", diff).join(self.classes.select(F.col("sid").alias("cs"), "sig"), F.col("sid") == F.col("cs"))
+            across = led.select("token", "sid", "np", "group", "lead", "diff", "sig").repartition("token").mapInArrow(_across, "a long, b long")
             last = self._compare_new(across.distinct(), compared)
             links = links.unionByName(last.where("9 * common >= 4 * (na + nb)").select("a", "b"))
             compared = compared.unionByName(last)
@@ -314,12 +342,23 @@ class Join:
     def _compare_new(self, pairs: DataFrame, compared: DataFrame | None) -> DataFrame:
         if compared is not None:
             pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        return self.scratch.save(self._verify(self.scratch.save(pairs, "pairs")), "compared")
+        pairs = self.scratch.save(pairs, "pairs")
+        ids = self._ids(pairs)
+        known = self.classes.join(_maybe_broadcast(ids, ids.count()), "sid", "left_semi").select("sid", "n", "sig")
+        one, two = known.toDF("sa", "na", "x"), known.toDF("sb", "nb", "y")
+        both = pairs.join(one, F.col("a") == F.col("sa")).join(two, F.col("b") == F.col("sb")).select("a", "b", "na", "nb", "x", "y")
+        left = self.scratch.save(both.mapInArrow(_sift, "a long, b long"), "sifted")
+        out = self.scratch.save(self._verify(left), "compared")
+        self.scratch.drop(pairs, ids, left)
+        return out
+
+    def _ids(self, pairs: DataFrame) -> DataFrame:
+        return self.scratch.save(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "ids")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """Exact sizes and intersections of pairs of sets, from the whole texts of one document of each class."""
-        ids = self.scratch.save(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "compared_ids")
-        needed = self.scratch.save(self.classes.join(ids, "sid", "left_semi"), "wanted")
+        ids = self._ids(pairs)
+        needed = self.scratch.save(self.classes.join(_maybe_broadcast(ids, ids.count()), "sid", "left_semi").select("sid", "first"), "wanted")
         need_rows = needed.withColumnsRenamed({"sid": "want", "first": "d"})
         texts = self.docs.join(_maybe_broadcast(need_rows, needed.count()), F.col("doc_id").eqNullSafe(F.col("d"))).select("want", "text")
 
