@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,18 +73,16 @@ class Engine:
             out = out.unionByName(near.select("query_id", "answer", "cache"))
             rest = rest.join(near.select("query_id"), "query_id", "left_anti")
         answered = self.ask(rest.select("query_id", "question", "history"), filters).persist()
-        # the hits are settled before the write, which would otherwise show new entries to them
-        out = out.persist()
-        out.count()
         fresh = answered.join(keyed.select("query_id", "key", "fp"), "query_id")
         with_vectors = embed(fresh.withColumn("text", F.col("question")), self.embedder)
         new = cache.store(self.spark.createDataFrame([], _CACHE), with_vectors, self.settings.cache_ttl_s)
-        new.write.mode("append").parquet(f"{self.path}/answers")
+        # a folder of its own: a write to what the lookup reads would make Spark look again, and find these entries
+        new.write.parquet(f"{self.path}/answers/{uuid.uuid4().hex}")
         return out.unionByName(answered.select("query_id", "answer", F.lit(None).cast("string").alias("cache")))
 
     def _cache(self) -> DataFrame:
         try:
-            rows = self.spark.read.schema(_CACHE).parquet(f"{self.path}/answers")
+            rows = self.spark.read.schema(_CACHE).option("recursiveFileLookup", True).parquet(f"{self.path}/answers")
         except Exception as e:  # no answer stored yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
