@@ -19,11 +19,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 LEAST_ROWS, STEPS, BINS, HALF = 200, 4, 1024, 0.5
+#: (language, source) pairs up to which what is known of the groups (under 400 bytes each) is broadcast to the rows;
+#: beyond, rows and groups are joined by shuffle.
+BROADCAST_GROUPS = 50_000
 #: Squared distances above this are outliers (far in the tail of chi-square with 4 degrees of freedom).
 CUT = 70.0
 #: Least standard deviation of each feature: smaller differences are never a reason to reject.
@@ -157,17 +161,23 @@ def _moments(x: Column) -> Column:
     return F.array(*parts)
 
 
-def groups(stats: DataFrame) -> DataFrame:
-    """Adds ``grp``: (lang, source), or pooled keys for small groups; null is a value like any other."""
+def groups(stats: DataFrame, scratch: C.Scratch) -> tuple[DataFrame, bool]:
+    """Adds ``grp``: (lang, source), or pooled keys for small groups; null is a value like any other.
+
+    Also returns whether the groups are few enough to broadcast.
+    """
     key = lambda a, b: F.to_json(F.struct(a.alias("l"), b.alias("s")), {"ignoreNullFields": "false"})
     used = stats.where(~F.col("base_failed"))
     n = used.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    from pyspark.sql.window import Window
-
     n = n.withColumn("of_lang", F.sum(F.when(F.col("n") < LEAST_ROWS, F.col("n")).otherwise(0)).over(Window.partitionBy("lang")))
     grp = F.when(F.col("n") >= LEAST_ROWS, key(F.col("lang"), F.col("source"))).when(F.col("of_lang") >= LEAST_ROWS, F.concat(F.lit("lang "), key(F.col("lang"), F.lit("*")))).otherwise("all")
-    n = n.select(F.col("lang").alias("l2"), F.col("source").alias("s2"), grp.alias("grp"))
-    return stats.join(n, F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2")), "left").drop("l2", "s2")
+    n = scratch.save(n.select(F.col("lang").alias("l2"), F.col("source").alias("s2"), grp.alias("grp")), "groups")
+    few = n.count() <= BROADCAST_GROUPS
+    return stats.join(_hint(n, few), F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2")), "left").drop("l2", "s2"), few
+
+
+def _hint(of_groups: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(of_groups) if few else of_groups
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, scratch: C.Scratch | None = None) -> DataFrame:
@@ -179,23 +189,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, scratch: C.Scratch | Non
     scratch = scratch or C.Scratch(spark, "rules")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     stats = scratch.save(text.mapInArrow(_statistics, _STATS).withColumn("base_failed", base_failed()), "stats")
-    rows = scratch.save(groups(stats).withColumn("x", F.array(*features())), "vectors")
+    grouped, few = groups(stats, scratch)
+    rows = scratch.save(grouped.withColumn("x", F.array(*features())), "vectors")
     used = rows.where(~F.col("base_failed")).select("grp", "x")
-    model = _start(used)
+    model = _start(used, few)
     for _ in range(STEPS):
-        model = _concentrate(used, scratch.save(model, "model"))
+        model = _concentrate(used, scratch.save(model, "model"), few)
     model = scratch.save(model, "model")
-    scored = rows.join(model.withColumnRenamed("grp", "g2"), F.col("grp") == F.col("g2"), "left").withColumn("distance", _distance(F.col("x"), F.col("m.centre"), F.col("m.inverse")))
+    scored = rows.join(_hint(model.withColumnRenamed("grp", "g2"), few), F.col("grp") == F.col("g2"), "left").withColumn("distance", _distance(F.col("x"), F.col("m.centre"), F.col("m.inverse")))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT)
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance", "grp")
 
 
-def _start(used: DataFrame) -> DataFrame:
+def _start(used: DataFrame, few: bool) -> DataFrame:
     """Medians and spreads of each feature, from histograms over a fixed grid."""
     long = used.select("grp", F.posexplode("x").alias("k", "v"))
     keyed = long.select(F.concat_ws("\u0001", F.col("k").cast("string"), "grp").alias("grp"), F.floor(F.col("v") * 256).cast("int").alias("b"), "k", F.col("grp").alias("g"))
     mid = _half(keyed, F.col("b"), 0.5)
-    near = keyed.join(mid, F.col("grp") == F.col("g2")).withColumn("dev", F.abs(F.col("b") - F.col("edge"))).select("grp", "dev")
+    near = keyed.join(_hint(mid, few), F.col("grp") == F.col("g2")).withColumn("dev", F.abs(F.col("b") - F.col("edge"))).select("grp", "dev")
     mad = _half(near, F.col("dev"), 0.5).withColumnsRenamed({"g2": "g3", "edge": "mad"})
     k = F.split("g2", "\u0001", 2)
     both = mid.join(mad, F.col("g2") == F.col("g3")).select(k[1].alias("grp"), k[0].cast("int").alias("k"), ((F.col("edge") + 0.5) / 256).alias("c"), (F.col("mad") * 1.4826 / 256).alias("s"))
@@ -205,11 +216,11 @@ def _start(used: DataFrame) -> DataFrame:
     return listed.select("grp", F.struct(F.transform("a", lambda v: v["c"]).alias("centre"), inverse.alias("inverse")).alias("m"))
 
 
-def _concentrate(used: DataFrame, model: DataFrame) -> DataFrame:
+def _concentrate(used: DataFrame, model: DataFrame, few: bool) -> DataFrame:
     """Mean and covariance of the half nearest to the present estimate."""
-    at = used.join(model.withColumnRenamed("grp", "g1"), F.col("grp") == F.col("g1")).select("grp", "x", _bin(_distance(F.col("x"), F.col("m.centre"), F.col("m.inverse"))).alias("bin"))
+    at = used.join(_hint(model.withColumnRenamed("grp", "g1"), few), F.col("grp") == F.col("g1")).select("grp", "x", _bin(_distance(F.col("x"), F.col("m.centre"), F.col("m.inverse"))).alias("bin"))
     edge = _half(at, F.col("bin"), HALF)
-    inner = at.join(edge, F.col("grp") == F.col("g2")).where(F.col("bin") <= F.col("edge"))
+    inner = at.join(_hint(edge, few), F.col("grp") == F.col("g2")).where(F.col("bin") <= F.col("edge"))
     estimate = F.pandas_udf(_estimate, "struct<centre:array<double>,inverse:array<double>>")
     return inner.groupBy("grp").agg(_moments(F.col("x")).alias("sums")).select("grp", estimate("sums").alias("m"))
 
