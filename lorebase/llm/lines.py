@@ -26,8 +26,8 @@ from . import common as C
 
 #: Words of the shortest aligned block that is deleted.
 LEAST_WORDS = 50
-#: Documents with deletions up to which their table (ids and line numbers) is broadcast to the texts.
-BROADCAST_ROWS = 200_000
+#: Bytes of the table of deletions (ids and line numbers) up to which it is broadcast to the texts; beyond, it is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -159,7 +159,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, scratch: C.Scratch | None
     """
     scratch = scratch or C.Scratch(spark, "lines")
     gone = deletions(spark, docs.select("doc_id", "text"), scratch, least).select(F.col("key").alias("__key"), F.col("gone").alias("__gone"))
-    if gone.count() <= BROADCAST_ROWS:
+    size = gone.agg(F.coalesce(F.sum(4 * F.size("__gone") + 64), F.lit(0))).head()[0]
+    if size <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
     joined = docs.join(gone, _key() == F.col("__key"), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda s, i: ~F.array_contains("__gone", i)), "\n")
