@@ -33,6 +33,8 @@ LIST_BLOCK = 64
 #: Sets of a list that all others are compared with in a turn, and turns before the rest is compared pair by pair.
 LEADERS, TURNS = 6, 2
 SIGNATURE_BITS = 1024
+#: Signatures (about 150 bytes each) up to which they are broadcast.
+BROADCAST_SIGNATURES = 100_000
 #: Ids (16 bytes each) up to which a side is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -72,12 +74,13 @@ def _differ(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, na, nb, x, y) whose signatures leave a link open."""
+    """Pairs (a, b, na, nb, x, y) whose signatures leave a link open, with the bits in which these differ."""
     for batch in batches:
         if batch.num_rows:
             na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-            keep = pa.array(~_differ(_signatures(batch.column(4)), _signatures(batch.column(5)), na, nb))
-            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            bits = np.bitwise_count(_signatures(batch.column(4)) ^ _signatures(batch.column(5))).sum(1, dtype=np.int64)
+            keep = pa.array((na + nb - bits) // 2 >= need(na, nb))
+            yield pa.record_batch([x.filter(keep) for x in (batch.column(0), batch.column(1), pa.array(bits))], names=["a", "b", "bits"])
 
 
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -320,9 +323,12 @@ class Join:
         else:
             least, most = F.least("sid", "lead"), F.greatest("sid", "lead")
             led = rows.repartition("token").mapInArrow(_first_by_lot(TURNS - 1), "token long, sid long, np long, group long, lead long").withColumn("a", least).withColumn("b", most)
-            led = led.join(compared.select("a", "b", (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("diff")), ["a", "b"], "left")
+            led = led.join(_maybe_broadcast(compared.select("a", "b", (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("diff")), compared.count()), ["a", "b"], "left")
             diff = F.when(F.col("sid") == F.col("lead"), F.lit(0)).otherwise(F.coalesce("diff", F.lit(-1))).cast("long")
-            led = led.withColumn("diff", diff).join(self.classes.select(F.col("sid").alias("cs"), "sig"), F.col("sid") == F.col("cs"))
+            ids = self.scratch.save(rows.select("sid").distinct(), "ids")
+            n = ids.count()
+            sigs = self.classes.join(_maybe_broadcast(ids, n), "sid", "left_semi").select(F.col("sid").alias("cs"), "sig")
+            led = led.withColumn("diff", diff).join(F.broadcast(sigs) if n <= BROADCAST_SIGNATURES else sigs, F.col("sid") == F.col("cs"))
             across = led.select("token", "sid", "np", "group", "lead", "diff", "sig").repartition("token").mapInArrow(_across, "a long, b long")
             last = self._compare_new(across.distinct(), compared)
             links = links.unionByName(last.where("9 * common >= 4 * (na + nb)").select("a", "b"))
@@ -347,8 +353,19 @@ class Join:
         known = self.classes.join(_maybe_broadcast(ids, ids.count()), "sid", "left_semi").select("sid", "n", "sig")
         one, two = known.toDF("sa", "na", "x"), known.toDF("sb", "nb", "y")
         both = pairs.join(one, F.col("a") == F.col("sa")).join(two, F.col("b") == F.col("sb")).select("a", "b", "na", "nb", "x", "y")
-        left = self.scratch.save(both.mapInArrow(_sift, "a long, b long"), "sifted")
-        out = self.scratch.save(self._verify(left), "compared")
+        left = self.scratch.save(both.mapInArrow(_sift, "a long, b long, bits long"), "sifted")
+        # each set's nearest pair first; most of the other pairs are then inside a group and need no comparison
+        ends = left.select(F.explode(F.array("a", "b")).alias("k"), F.struct("bits", "a", "b").alias("p"))
+        nearest = ends.groupBy("k").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
+        first = self.scratch.save(self._verify(self.scratch.save(nearest, "nearest")), "compared")
+        linked = first if compared is None else compared.unionByName(first)
+        groups = self._components(linked.where("9 * common >= 4 * (na + nb)").select("a", "b"))
+        n = groups.count()
+        ga, gb = _maybe_broadcast(groups.toDF("sa", "ga"), n), _maybe_broadcast(groups.toDF("sb", "gb"), n)
+        rest = left.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
+        rest = rest.join(ga, F.col("a") == F.col("sa"), "left").join(gb, F.col("b") == F.col("sb"), "left")
+        rest = self.scratch.save(rest.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b"), "rest")
+        out = first if rest.isEmpty() else first.unionByName(self.scratch.save(self._verify(rest), "compared"))
         self.scratch.drop(pairs, ids, left)
         return out
 
