@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Columns on which filters are allowed.
 INDEXED_FIELDS = ("source", "document_id", "language", "doc_type")
 # Fixed value: namespace of point ids.
-POINT_NAMESPACE = uuid.UUID("6ba7b810-9dad-11d1-80b4-00c04fd430c8")
+POINT_NAMESPACE = uuid.UUID("1f1e7a64-0b9e-5c33-9f0e-2a6c4d8b1e77")
 
 
 class Collection:
