@@ -150,7 +150,10 @@ def dimension_check(spark, sf):
     return embedding.check_dimension(_vectors(spark, sf)).withColumn("dim", F.col("dim").cast("long"))
 
 
-@query()
+@query(
+    f"""WITH {_DOCS_SQL}, h AS (SELECT document_id, sha1(unhex('1f1e7a640b9e5c339f0e2a6c4d8b1e77') || encode(document_id)) AS h FROM docs)
+SELECT document_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h"""
+)
 def point_ids(spark, sf):
     return _docs(spark, sf).select("document_id", store.point_id(F.col("document_id")).alias("point_id"))
 
