@@ -16,6 +16,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +92,56 @@ def patience(x: list[int], y: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _runs(x: list[int], words: list[int], y: list[int], rest: list[int], least: int) -> list[int]:
+    """Positions among ``rest`` in any run of ``least`` words or more that ``x`` and ``y`` have in common, by a suffix automaton of ``y``."""
+    known = set(y)
+    total, before, best = 0, -2, 0
+    for i in rest:
+        total = (total if i == before + 1 else 0) + words[i] if x[i] in known else 0
+        before, best = i, max(best, total)
+    if best < least:
+        return []
+    step: list[dict[int, int]] = [{}]
+    link, size, last = [-1], [0], 0
+    for h in y:
+        new, p = len(step), last
+        step.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        while p >= 0 and h not in step[p]:
+            step[p][h] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][h]
+            if size[q] > size[p] + 1:
+                twin = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                size.append(size[p] + 1)
+                while p >= 0 and step[p].get(h) == q:
+                    step[p][h] = twin
+                    p = link[p]
+                link[q] = twin
+                q = twin
+            link[new] = q
+        last = new
+    upto = [0, *accumulate(words)]
+    hit: list[int] = []
+    at, n, before = 0, 0, -2
+    for i in rest:
+        if i != before + 1:
+            at, n = 0, 0
+        before = i
+        while at and x[i] not in step[at]:
+            at = link[at]
+            n = size[at]
+        if x[i] in step[at]:
+            at, n = step[at][x[i]], n + 1
+        if upto[i + 1] - upto[i + 1 - n] >= least:
+            hit += range(max(i + 1 - n, hit[-1] + 1 if hit else 0), i + 1)
+    return hit
+
+
 def common_blocks(x: list[int], words: list[int], y: list[int], least: int = LEAST_WORDS) -> list[int]:
     """Positions in ``x`` of all aligned common blocks of ``least`` words or more, block after block."""
     gone: list[int] = []
@@ -104,6 +155,8 @@ def common_blocks(x: list[int], words: list[int], y: list[int], least: int = LEA
                     hit += [i for i, _ in run]
                 run = []
             run.append(p)
+        # the longest chain may hold no block although a moved passage does
+        hit = hit or _runs(x, words, y, rest, least)
         if not hit:
             break
         gone += hit

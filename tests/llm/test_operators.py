@@ -147,6 +147,31 @@ def test_patience_and_blocks():
     assert lines.common_blocks([1, 2], [20, 20], [1, 2], 50) == []
 
 
+def test_no_common_run_is_left():
+    # three short lines make the longest chain, the moved block of 60 words is outside it
+    assert lines.common_blocks([9, 1, 7, 2, 8, 3], [60, 1, 1, 1, 1, 1], [1, 2, 3, 9], 50) == [0]
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        x, y = rng.integers(0, 5, rng.integers(1, 14)).tolist(), rng.integers(0, 5, rng.integers(1, 14)).tolist()
+        size = [5, 10, 20, 30, 60]
+        w = [size[h] for h in x]
+
+        def shared(keep):
+            """Positions in runs of 50 words or more, by trying all of them."""
+            found = set()
+            for i in range(len(x)):
+                for j in range(len(y)):
+                    n = 0
+                    while i + n < len(x) and j + n < len(y) and i + n in keep and x[i + n] == y[j + n]:
+                        n += 1
+                    found |= set(range(i, i + n)) if sum(w[i : i + n]) >= 50 else set()
+            return found
+
+        every = set(range(len(x)))
+        gone = lines.common_blocks(x, w, y, 50)
+        assert len(gone) == len(set(gone)) and set(gone) <= shared(every) and not shared(every - set(gone))
+
+
 def test_line_dedup(spark):
     rnd = random.Random(3)
     passage = words(rnd, 60)
