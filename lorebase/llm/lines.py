@@ -2,13 +2,15 @@
 
 Every line of a document that an earlier document (by doc_id) has too is traced to the first document that holds it.
 Runs of such lines with ``LEAST_WORDS`` words or more in a row make the document overlap with those first documents;
-shorter runs cannot hold a block and pair no documents. Each overlapping pair is aligned with patience diff (lines that
+shorter runs cannot hold a block and pair no documents. As the first documents of single lines need not share a block
+that a later one has, each shortest window of ``LEAST_WORDS`` words that starts or ends at a line is traced to its first
+document too; every line of a shared block is in such a window of the block. Each overlapping pair is aligned with patience diff (lines that
 are unique in both, longest increasing chain, recursion between the anchors), and aligned blocks of ``LEAST_WORDS``
 words or more are deleted from the later document; this repeats on what is left until no block remains, so moved and
 doubled passages go as well. The first occurrence of every line in the table stays.
 
-A pair needs no more than one first document per line, so a line that many documents share makes as many pairs as
-documents, not their square.
+A pair needs no more than one first document per line and window, so a line that many documents share makes as many
+pairs as documents, not their square.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,6 +178,35 @@ def _align(least: int):
     return run
 
 
+def _windows(least: int):
+    """(key, hash) of the shortest windows of ``least`` words or more that start, and that end, at each shared line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            p, h, w = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten())
+            n = len(p)
+            doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(p) != 1)) + 1
+            # bounds of the run of consecutive lines that each line is in
+            low, high = np.concatenate(([0], cut)), np.concatenate((cut, [n]))
+            size = high - low
+            low, high = np.repeat(low, size), np.repeat(high, size)
+            words = np.concatenate(([0], np.cumsum(w)))
+            at = np.arange(n)
+            end = np.searchsorted(words, words[:-1] + least)
+            start = np.searchsorted(words, words[1:] - least, side="right") - 1
+            a, b = end <= high, start >= low
+            starts, ends = np.concatenate((at[a], start[b])), np.concatenate((end[a], at[b] + 1))
+            terms = C.mix64(h.view(np.uint64).copy()) * C._power("up", n)
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
+            window = C.mix64((total[ends] - total[starts]) * C._power("down", n + 1)[starts] + (ends - starts).astype(np.uint64))
+            key = batch.column(0).take(pa.array(doc[np.minimum(starts, n - 1)]))
+            yield pa.record_batch([key, pa.array(window.view(np.int64))], names=["key", "window"])
+
+    return run
+
+
 def deletions(spark: SparkSession, docs: DataFrame, scratch: C.Scratch, least: int = LEAST_WORDS) -> DataFrame:
     """(key, gone): numbers of the deleted lines (counted among all lines) of each document with deletions."""
     split = docs.select(_key().alias("key"), F.split("text", "\n").alias("l")).where(F.col("l").isNotNull())
@@ -182,15 +214,20 @@ def deletions(spark: SparkSession, docs: DataFrame, scratch: C.Scratch, least: i
     lines = scratch.save(split.dropDuplicates(["key"]), "lines")
     each = lines.select("key", F.posexplode("l").alias("p", "s")).select("key", "p", F.col("s.h").alias("h"), F.col("s.w").alias("w"))
     first = each.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select(F.col("h").alias("h1"), "first")
-    again = each.join(first, (F.col("h") == F.col("h1")) & (F.col("first") < F.col("key"))).select("key", "p", "w", "first")
+    shared = scratch.save(each.join(first, F.col("h") == F.col("h1")).select("key", "p", "h", "w", "first"), "shared")
+    again = shared.where(F.col("first") < F.col("key")).select("key", "p", "w", "first")
     row = F.row_number().over(Window.partitionBy("key").orderBy("p"))
     runs = again.withColumn("run", F.col("p") - row)
     runs = runs.withColumn("words", F.sum("w").over(Window.partitionBy("key", "run")))
-    pairs = scratch.save(runs.where(F.col("words") >= least).select("key", "first").distinct(), "pairs")
+    key_t = shared.schema["key"].dataType.simpleString()
+    rows = shared.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("p", "h", "w"))).alias("l"))
+    windows = scratch.save(rows.mapInArrow(_windows(least), f"key {key_t}, window long"), "windows")
+    holder = windows.groupBy("window").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select(F.col("window").alias("w1"), "first")
+    held = windows.join(holder, (F.col("window") == F.col("w1")) & (F.col("first") < F.col("key"))).select("key", "first")
+    pairs = scratch.save(runs.where(F.col("words") >= least).select("key", "first").union(held).distinct(), "pairs")
     x = lines.select(F.col("key").alias("k1"), F.col("l.h").alias("x"), F.col("l.w").alias("w"))
     y = lines.select(F.col("key").alias("k2"), F.col("l.h").alias("y"))
     both = pairs.join(x, F.col("key") == F.col("k1")).join(y, F.col("first") == F.col("k2")).select("key", "x", "w", "y")
-    key_t = both.schema["key"].dataType.simpleString()
     gone = both.mapInArrow(_align(least), f"key {key_t}, gone array<int>").where(F.size("gone") > 0)
     gone = gone.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("g"))
     number = lines.select(F.col("key").alias("k1"), F.col("l.i").alias("i"))

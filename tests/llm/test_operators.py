@@ -193,6 +193,33 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(spark, frame(spark, [])).count() == 0
 
 
+def test_blocks_shared_with_a_document_that_is_first_for_no_line(spark):
+    one, two, tail = (" ".join(f"{c}{i}" for i in range(30)) for c in "abt")
+    rows = [(1, f"x\n{one}"), (2, f"y\n{two}"), (5, f"v\n{one}\n{two}"), (7, f"w\n{one}\n{two}"), (9, f"z\n{one}\n{two}\n{tail}"), (11, f"{two}\n{tail}\nu")]
+    got = {r.doc_id: r.gone_lines for r in lines.dedup_lines(spark, frame(spark, [(*r, "en", "s") for r in rows])).collect()}
+    assert got == {1: [], 2: [], 5: [], 7: [1, 2], 9: [1, 2], 11: [0, 1]}
+    # no run of 50 words that an earlier document has is left
+    rng = random.Random(8)
+    pool = [" ".join(f"{k}w{i}" for i in range(n)) for k, n in enumerate([8, 12, 20, 25, 30, 45, 55])]
+    docs = [[rng.choice(pool) for _ in range(rng.randint(1, 8))] for _ in range(150)]
+    got = {r.doc_id: set(r.gone_lines) for r in lines.dedup_lines(spark, frame(spark, [(k, "\n".join(d), "en", "s") for k, d in enumerate(docs)])).collect()}
+    for k, x in enumerate(docs):
+        held = set()
+        for y in docs[:k]:
+            for a in range(len(x)):
+                for b in range(len(y)):
+                    n = 0
+                    while a + n < len(x) and b + n < len(y) and x[a + n] == y[b + n]:
+                        n += 1
+                    if sum(len(s.split()) for s in x[a : a + n]) >= 50:
+                        held |= set(range(a, a + n))
+                    n = 0
+                    while a + n < len(x) and b + n < len(y) and x[a + n] == y[b + n] and a + n not in got[k]:
+                        n += 1
+                    assert sum(len(s.split()) for s in x[a : a + n]) < 50
+        assert got[k] <= held
+
+
 # ------------------------------------------------------------------------------------------------ 7 and 9 tokens, packing
 
 
