@@ -405,7 +405,7 @@ def compare_labels(spark, sf):
 
 
 def _pool(spark, sf):
-    docs = _doc_chunks(spark, sf).select("chunk_id", "document_id", "source", "title", F.substring("text", 1, 700).alias("text"))
+    docs = _doc_chunks(spark, sf).select("chunk_id", "document_id", "source", "title", "text")
     return _bm25(spark, sf).join(docs, "chunk_id").join(_asked(spark), "query_id")
 
 
@@ -416,7 +416,9 @@ t AS (SELECT *, sum(length(entry) + CASE WHEN n > 1 THEN 2 ELSE 0 END) OVER (PAR
 SELECT query_id, string_agg(entry, chr(10) || chr(10) ORDER BY n) FILTER (n = 1 OR total <= 6000) AS context, count(*) AS retrieved, count(*) FILTER (n = 1 OR total <= 6000) AS used, count(*) FILTER (NOT (n = 1 OR total <= 6000)) AS dropped FROM t GROUP BY 1"""
 )
 def context_budget(spark, sf):
-    return context.build_context(_pool(spark, sf), 6000).drop("sources")
+    # the SQL cuts texts to 700 characters
+    pool = _pool(spark, sf).withColumn("text", F.substring("text", 1, 700))
+    return context.build_context(pool, 6000).drop("sources")
 
 
 @query()

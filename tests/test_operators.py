@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorebase.operators import cache, chunking, context, embedding, evaluation, generation, retrieval, traces
-from lorebase.plans import answer
+from lorebase.plans import answer, catalog
 from lorebase.plans.engine import Engine
 from lorebase.settings import Settings
 from lorebase.sources import documents, jsonl, store
@@ -325,3 +325,16 @@ def test_embedding_cache_embeds_each_missing_text_once(spark):
     out, more = embedding.embed_cached(texts, new, "m", counting)
     assert out.count() == 4 and calls.value == 2
     assert embedding.misses(texts, new, "other").count() == 3
+
+
+def test_compression_and_judge_see_whole_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([("d", "d", "s", "T", "x" * 800 + ". The end.")], "chunk_id string, document_id string, source string, title string, text string")
+    monkeypatch.setattr(catalog, "_doc_chunks", lambda *_: docs)
+    monkeypatch.setattr(catalog, "_bm25", lambda *_: spark.createDataFrame([(1, "d", 1.0, 1)], "query_id int, chunk_id string, score double, rank long"))
+    monkeypatch.setattr(catalog, "_asked", lambda *_: spark.createDataFrame([(1, "end")], "query_id int, query string"))
+    assert catalog.compress_sentences(spark, "").head()["text"].endswith("The end.")
+    seen = []
+    monkeypatch.setattr(catalog.evaluation, "judge", lambda df: seen.append(df.head()["contexts"]) or df)
+    monkeypatch.setattr(catalog.evaluation, "mean_scores", lambda df: df)
+    catalog.judge_answers(spark, "")
+    assert seen[0][0].endswith("The end.")
