@@ -1,18 +1,20 @@
 """N-gram Jaccard join with set-relation skipping, and the groups that its links form.
 
 Sets are distinct 5-word shingles (64-bit hashes of lower-cased words); equal sets are one class. Two sets link when
-100 * intersection >= 80 * union. Shingles are ordered from rare to frequent (by a bounded table of the most frequent
-hash cells, then by hash), and linked sets share one within their prefixes, so prefixes are dealt by shingle into lists.
+100 * intersection >= 80 * union. Shingles are ordered from rare to frequent (by a bounded table of the shingles that
+tasks meet repeatedly, then by hash), and linked sets share one within their prefixes, so prefixes are dealt by shingle
+into lists. Lists that the table expects to be long are dealt over several tasks.
 
 Index-level skipping: a list is ordered by set size and position and cut into blocks; a block is skipped as a whole
 when its sizes and least position rule out the needed overlap with the probing set.
 
-Answer-level skipping: in each list, sets are first compared with a few leaders drawn by lot (alike in all lists). Sets
-that link with a leader are in its group, so pairs inside a group need no comparison; a few turns with other leaders
-settle nearly all lists. For the pairs across groups that remain, the answer is derived from the two sets' overlaps
-with a common leader where these decide it (symmetric differences obey the triangle inequality), or from parity
-signatures, which bound the difference from below; the rest is compared. No bound ever drops a link. Lists and sets stay distributed; what reaches the driver is counts and the
-bounded table of frequent cells.
+Answer-level skipping: in each list, sets are first compared with a few leaders drawn by lot (alike in all lists; the
+leaders of a long list go to all its tasks). Sets that link with a leader are in its group, so pairs inside a group need
+no comparison; a few turns with other leaders settle nearly all lists. For the pairs across groups that remain, the
+answer is derived from the two sets' overlaps with a common leader where these decide it (symmetric differences obey the
+triangle inequality), or from parity signatures, which bound the difference from below; the rest is compared, each set's
+nearest pair first, by sending one set of a pair to the other. No bound ever drops a link. Lists and sets stay
+distributed; what reaches the driver is counts, the bounded table of frequent shingles and a bitmap of fixed size.
 """
 
 from __future__ import annotations
@@ -26,17 +28,27 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Cells of the frequency table, those that are kept of them, and how often a task must see one to report it.
-CELL_BITS, HEAVY, REPORT = 22, 1 << 16, 6
+#: Cells of the frequency table, entries of it, and how often a task must meet a shingle to report it.
+CELL_BITS, HEAVY, REPORT = 24, 1 << 19, 3
+#: Shingles that a task counts at once.
+COUNTED = 1 << 22
 #: Rows of a list that are skipped or probed together.
 LIST_BLOCK = 64
+#: Expected rows of a list from which it is dealt over several tasks.
+LIST_ROWS = 4096
 #: Sets of a list that all others are compared with in a turn, and turns before the rest is compared pair by pair.
 LEADERS, TURNS = 6, 2
+#: Bits of a signature inside lists; pairs are checked with as many bits as the set has shingles, and no fewer than these.
 SIGNATURE_BITS = 1024
-#: Signatures (about 150 bytes each) up to which they are broadcast.
-BROADCAST_SIGNATURES = 100_000
-#: Ids (16 bytes each) up to which a side is broadcast; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows (under 40 bytes each, so 8 MB) up to which a side is broadcast; beyond, it is joined by shuffle.
+BROADCAST_ROWS = 200_000
+#: The same for rows with a signature of SIGNATURE_BITS (under 200 bytes).
+BROADCAST_SIGNATURES = 40_000
+#: Bits of the map of wanted documents that is sent to the scan where they are too many to broadcast.
+MAP_BITS = 24
+LINKED = "9 * common >= 4 * (na + nb)"
+_GOLD = 0x9E3779B97F4A7C15
+_ALL = 0xFFFFFFFFFFFFFFFF
 
 
 def need(a, b):
@@ -54,18 +66,24 @@ def index_length(n):
     return n + (-8 * n // 9) + 1
 
 
-def _set_id(s: np.ndarray) -> int:
-    h = C.mix64(s * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
-    return int(C.mix64(np.array([h + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+def _identity(s: np.ndarray, seed: int) -> tuple[int, int]:
+    """Id of a set and a second hash that tells sets with one id apart."""
+    one = C.mix64(s * np.uint64(_GOLD) + np.uint64(seed)).sum(dtype=np.uint64)
+    two = C.mix64((s ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64)
+    both = C.mix64(np.array([one, two], np.uint64) + np.uint64(len(s))).view(np.int64)
+    return int(both[0]), int(both[1])
 
 
 def _signature(s: np.ndarray) -> bytes:
-    """Parity of the shingles in each of SIGNATURE_BITS cells: two signatures differ in no more bits than the sets do."""
-    return np.packbits(np.bincount((s >> np.uint64(44)).astype(np.int64) & (SIGNATURE_BITS - 1), minlength=SIGNATURE_BITS) & 1).tobytes()
+    """Parity of the shingles in each of many cells: two signatures differ in no more bits than the sets do."""
+    bits = max(SIGNATURE_BITS, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).tobytes()
 
 
-def _signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SIGNATURE_BITS // 64)
+def _fold(blobs: list[bytes], width: int) -> np.ndarray:
+    """Signatures of one length as rows of ``width`` bytes: cells whose numbers agree in the low bits are one cell then."""
+    x = np.frombuffer(b"".join(blobs), np.uint64).reshape(len(blobs), -1, width // 8)
+    return np.bitwise_xor.reduce(x, axis=1)
 
 
 def _differ(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -74,13 +92,25 @@ def _differ(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, na, nb, x, y) whose signatures leave a link open, with the bits in which these differ."""
+    """Pairs (a, b) whose signatures leave a link open, with the bits in which these differ."""
     for batch in batches:
-        if batch.num_rows:
-            na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-            bits = np.bitwise_count(_signatures(batch.column(4)) ^ _signatures(batch.column(5))).sum(1, dtype=np.int64)
-            keep = pa.array((na + nb - bits) // 2 >= need(na, nb))
-            yield pa.record_batch([x.filter(keep) for x in (batch.column(0), batch.column(1), pa.array(bits))], names=["a", "b", "bits"])
+        na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+        x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        width = np.array([(len(u), len(v)) for u, v in zip(x, y, strict=True)]).reshape(-1, 2)
+        bits = np.zeros(len(x), np.int64)
+        for u, v in np.unique(width, axis=0).tolist():
+            at = np.flatnonzero((width[:, 0] == u) & (width[:, 1] == v))
+            least = min(u, v)
+            apart = _fold([x[i] for i in at], least) ^ _fold([y[i] for i in at], least)
+            bits[at] = np.bitwise_count(apart).sum(1, dtype=np.int64)
+        keep = pa.array((na + nb - bits) // 2 >= need(na, nb))
+        yield pa.record_batch([c.filter(keep) for c in (batch.column(0), batch.column(1), pa.array(bits))], names=["a", "b", "bits"])
+
+
+def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sig = [_fold([s], SIGNATURE_BITS // 8).tobytes() for s in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array(sig, pa.binary())], names=["cs", "sig"])
 
 
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -89,49 +119,85 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
         yield from C.shingle_sets(b, o)
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind 0, doc_id, set id, size, signature) per document, and (kind 1, cell, count) per frequent cell of the task."""
-    cells = np.zeros(1 << CELL_BITS, np.int32)
-    names = ["kind", "a", "b", "n", "sig"]
-    for batch in batches:
-        sid, n, all_, sig = [], [], [], []
-        for s in _sets(batch.column(1)):
-            n.append(len(s))
-            sig.append(_signature(s))
-            sid.append(_set_id(s) if len(s) else 0)
-            all_.append(s)
-        flat = np.concatenate(all_) if all_ else np.empty(0, np.uint64)
-        cells += np.bincount((flat >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells)).astype(np.int32)
-        yield pa.record_batch([pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=names)
-    # a cell stands out if it holds several times the mean
-    at = np.flatnonzero(cells >= max(REPORT, 6 * int(cells.sum()) // len(cells)))
-    yield pa.record_batch([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(cells[at].astype(np.int64)), pa.array(np.zeros(len(at), np.int64)), pa.nulls(len(at), pa.binary())], names=names)
-
-
-def _prefixes(heavy: np.ndarray):
-    """Rows (shingle, set id, size << 32 | position) of each set's prefix; a set seen before in the task is skipped."""
+def _profile(seed: int):
+    """(kind 0, doc_id, set id, size, second hash, signature) per document, (kind 1, shingle, count) per shingle that a task repeats."""
+    names = ["kind", "a", "b", "n", "c", "sig"]
+
+    def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+        u, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
+        u, n = u[n >= REPORT].view(np.int64), n[n >= REPORT].astype(np.int64)
+        zero = pa.array(np.zeros(len(u), np.int64))
+        return pa.record_batch([pa.array(np.ones(len(u), np.int8)), pa.array(u), pa.array(n), zero, zero, pa.nulls(len(u), pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.zeros(1 << CELL_BITS, np.int32)
-        rank[heavy] = np.arange(1, len(heavy) + 1)
         seen: set[int] = set()
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            token, sid, size, pos = [], [], [], []
+            sid, check, n, sig = [], [], [], []
+            for s in _sets(batch.column(1)):
+                k, c = _identity(s, seed) if len(s) else (0, 0)
+                sid.append(k)
+                check.append(c)
+                n.append(len(s))
+                sig.append(_signature(s) if len(s) else None)
+                if len(s) and k not in seen:
+                    seen.add(k)
+                    held.append(s)
+                    size += len(s)
+                    if size > COUNTED:
+                        yield repeated(held)
+                        held, size = [], 0
+            yield pa.record_batch([pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(check, pa.int64()), pa.array(sig, pa.binary())], names=names)
+        yield repeated(held)
+
+    return run
+
+
+def _draw(sid: np.ndarray, turn: int) -> np.ndarray:
+    """A lot that a set has in common in all lists."""
+    return C.mix64(sid.view(np.uint64) ^ np.uint64((turn + 1) * _GOLD & _ALL))
+
+
+def _deal(sid: np.ndarray, salts: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, parts and homes of the rows of long lists: each row has one part, the likely leaders are in all of them."""
+    draw = _draw(sid, turn)
+    home = (C.mix64(draw * np.uint64(_GOLD)) % salts.astype(np.uint64)).astype(np.int64)
+    rows = np.arange(len(sid))
+    lead = np.flatnonzero((salts > 1) & (draw.astype(np.float64) * (salts * LIST_ROWS) < 2.0 * LEADERS * 2.0**64))
+    again = np.repeat(lead, salts[lead])
+    part = np.arange(len(again)) - np.repeat(np.cumsum(salts[lead]) - salts[lead], salts[lead])
+    other = part != home[again]
+    rows, part = np.concatenate([rows, again[other]]), np.concatenate([home, part[other]])
+    return rows, part, part == home[rows]
+
+
+def _prefixes(frequent: tuple[np.ndarray, np.ndarray], seed: int):
+    """Dealt rows (shingle, part, set id, size << 32 | position, parts, home) of each set's prefix; a set seen before in the task is skipped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.zeros(1 << CELL_BITS, np.uint8)
+        np.maximum.at(level, (frequent[0] >> np.uint64(64 - CELL_BITS)).astype(np.int64), frequent[1])
+        many = np.maximum(np.ceil(2.0 ** ((np.arange(256) + 1) / 4) / LIST_ROWS), 1).astype(np.int64)
+        seen: set[int] = set()
+        for batch in batches:
+            token, sid, size, pos, salts = [], [], [], [], []
             for s in _sets(batch.column(0)):
                 if not len(s):
                     continue
-                k = _set_id(s)
+                k, _ = _identity(s, seed)
                 if k in seen:
                     continue
                 seen.add(k)
                 p = probe_length(len(s))
-                r = rank[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                light = s[r == 0]
-                if len(light) < p:
-                    hot = r > 0
-                    order = np.lexsort((s[hot], r[hot]))
-                    light = np.concatenate([light, s[hot][order]])
-                token.append(light[:p])
+                r = level[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                first = np.flatnonzero(r == 0)
+                if len(first) < p:
+                    hot = np.flatnonzero(r)
+                    first = np.concatenate([first, hot[np.lexsort((s[hot], r[hot]))]])
+                first = first[:p]
+                token.append(s[first])
+                salts.append(many[r[first]])
                 sid.append(k)
                 size.append(len(s))
                 pos.append(p)
@@ -140,7 +206,23 @@ def _prefixes(heavy: np.ndarray):
             n = np.array(pos)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             packed = np.repeat(np.array(size, np.int64), n) << 32 | at
-            yield pa.record_batch([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(np.array(sid, np.int64), n)), pa.array(packed)], names=["token", "sid", "np"])
+            token, sid, salts = np.concatenate(token).view(np.int64), np.repeat(np.array(sid, np.int64), n), np.concatenate(salts)
+            rows, part, home = _deal(sid, salts, 0)
+            yield pa.record_batch([pa.array(x) for x in (token[rows], part.astype(np.int32), sid[rows], packed[rows], salts[rows].astype(np.int32), home)], names=["token", "part", "sid", "np", "salts", "home"])
+
+    return run
+
+
+def _dealt(turn: int):
+    """Rows of lists, dealt for a turn with leaders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sid, salts = batch.column("sid").to_numpy(), batch.column("salts").to_numpy().astype(np.int64)
+            rows, part, _ = _deal(sid, salts, turn)
+            at = pa.array(rows)
+            cols = [batch.column(k).take(at) for k in ("token", "sid", "np", "group")]
+            yield pa.record_batch([cols[0], pa.array(part.astype(np.int32)), *cols[1:]], names=["token", "part", "sid", "np", "group"])
 
     return run
 
@@ -150,71 +232,97 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*got, strict=True)] if got else []
 
 
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Whether each row of sorted keys is the first of its group."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def _leader_pairs(token: np.ndarray, part: np.ndarray, sid: np.ndarray, packed: np.ndarray, group: np.ndarray, turn: int) -> np.ndarray:
+    """Pairs of the sets of each list with its LEADERS first by lot, if of another group and not ruled out."""
+    order = np.lexsort((_draw(sid, turn), part, token))
+    token, part, sid, packed, group = token[order], part[order], sid[order], packed[order], group[order]
+    first = np.flatnonzero(_starts(token, part))
+    size_of = np.diff(np.append(first, len(token)))
+    start, length = np.repeat(first, size_of), np.repeat(size_of, size_of)
+    size, pos = packed >> 32, packed & 0xFFFFFFFF
+    rows = np.arange(len(token))
+    out = []
+    for k in range(LEADERS):
+        i = np.flatnonzero(length > k)
+        j = start[i] + k
+        other = (rows[i] != j) & (group[i] != group[j])
+        i, j = i[other], j[other]
+        ok = _may_link(size[i], pos[i], size[j], pos[j])
+        out.append(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])])[:, ok])
+    return np.unique(np.concatenate(out, 1), axis=1)
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists with two sets or more: (shingle, set id, size << 32 | position, sets in the list)."""
+    """Lists with two sets or more (kind 0: shingle, set id, size << 32 | position, sets in the list, parts) and their first pairs (kind 1: a, b)."""
     got = _columns(batches)
     if not got:
         return
-    token, sid, packed = got
-    order = np.lexsort((sid, token))
-    token, sid, packed = token[order], sid[order], packed[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-    token, sid, packed = token[new], sid[new], packed[new]
-    count = np.diff(np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token)))
+    order = np.lexsort((got[2], got[1], got[0]))
+    token, part, sid, packed, salts, home = (x[order] for x in got)
+    new = _starts(token, part, sid)
+    token, part, sid, packed, salts, home = (x[new] for x in (token, part, sid, packed, salts, home))
+    count = np.diff(np.append(np.flatnonzero(_starts(token, part)), len(token)))
     count = np.repeat(count, count)
-    many = count > 1
-    yield pa.record_batch([pa.array(x[many]) for x in (token, sid, packed, count)], names=["token", "sid", "np", "cnt"])
-
-
-def _by_lot(token: np.ndarray, sid: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows by list and, inside it, by a draw that a set has in common in all lists; start of each row's list."""
-    draw = C.mix64(sid.view(np.uint64) ^ np.uint64((turn + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-    order = np.lexsort((draw, token))
-    t = token[order]
-    start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-    return order, np.repeat(start, np.diff(np.append(start, len(t))))
+    several = (count > 1) | (salts > 1)
+    token, part, sid, packed, salts, home, count = (x[several] for x in (token, part, sid, packed, salts, home, count))
+    pairs = _leader_pairs(token, part, sid, packed, sid, 0)
+    listed = [x[home] for x in (token, sid, packed, np.where(salts > 1, LIST_ROWS, count), salts.astype(np.int64))]
+    none = np.zeros(pairs.shape[1], np.int64)
+    cols = [np.concatenate(x) for x in zip(listed, [pairs[0], pairs[1], none, none, none], strict=True)]
+    kind = np.concatenate([np.zeros(len(listed[0]), np.int8), np.ones(len(none), np.int8)])
+    yield pa.record_batch([pa.array(kind), *map(pa.array, cols)], names=["kind", "token", "sid", "np", "cnt", "salts"])
 
 
 def _lead(turn: int):
-    """Pairs of the sets of each list with its LEADERS first by lot, if of another group and not ruled out."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _columns(batches)
-        if not got or not len(got[0]):
-            return
-        token, sid, packed, group = got
-        order, start = _by_lot(token, sid, turn)
-        token, sid, packed, group = token[order], sid[order], packed[order], group[order]
-        size, pos = packed >> 32, packed & 0xFFFFFFFF
-        rows = np.arange(len(token))
-        out = []
-        for k in range(LEADERS):
-            j = np.minimum(start + k, len(token) - 1)
-            i = np.flatnonzero((token[j] == token) & (rows != j) & (group != group[j]))
-            j = j[i]
-            ok = _may_link(size[i], pos[i], size[j], pos[j])
-            out.append(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])])[:, ok])
-        u = np.unique(np.concatenate(out, 1), axis=1)
-        yield pa.record_batch([pa.array(u[0]), pa.array(u[1])], names=["a", "b"])
+        if got and len(got[0]):
+            u = _leader_pairs(*got, turn)
+            yield pa.record_batch([pa.array(u[0]), pa.array(u[1])], names=["a", "b"])
 
     return run
 
 
-def _first_by_lot(turn: int):
-    """Rows (token, sid, np, group) with the list's first set by lot added."""
+def _with_first(turn: int):
+    """Rows of lists, with the first set by lot of their list or part of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _columns(batches)
         if not got or not len(got[0]):
             return
-        token, sid, packed, group = got
-        order, start = _by_lot(token, sid, turn)
-        yield pa.record_batch([pa.array(x) for x in (token[order], sid[order], packed[order], group[order], sid[order][start])], names=["token", "sid", "np", "group", "lead"])
+        token, sid, packed, group, salts = got
+        order = np.lexsort((_draw(sid, turn), token))
+        token, sid, packed, group, salts = token[order], sid[order], packed[order], group[order], salts[order]
+        first = np.flatnonzero(_starts(token))
+        lead = np.repeat(sid[first], np.diff(np.append(first, len(token))))
+        yield pa.record_batch([pa.array(x) for x in (token, sid, packed, group, salts, lead)], names=["token", "sid", "np", "group", "salts", "lead"])
 
     return run
 
 
+def _grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows dealt for the comparison of all that is left: long lists go to the cells of a triangle, so that any two of their parts meet in one."""
+    for batch in batches:
+        sid, salts = batch.column("sid").to_numpy(), batch.column("salts").to_numpy().astype(np.int64)
+        home = (C.mix64(_draw(sid, 99)) % salts.astype(np.uint64)).astype(np.int64)
+        rows = np.repeat(np.arange(len(sid)), salts)
+        other = np.arange(len(rows)) - np.repeat(np.cumsum(salts) - salts, salts)
+        mine = home[rows]
+        part = np.minimum(mine, other) * salts[rows] + np.maximum(mine, other)
+        at = pa.array(rows)
+        cols = [batch.column(k).take(at) for k in ("token", "sid", "np", "group", "lead", "diff", "sig")]
+        yield pa.record_batch([*cols, pa.array(part), pa.array(mine)], names=["token", "sid", "np", "group", "lead", "diff", "sig", "part", "home"])
+
+
 def _may_link(na, pa_, nb, pb):
     """Whether two sets whose prefixes hold the same shingle at these positions are left by size and position."""
     small_is_a = (na < nb) | (na == nb)
@@ -235,18 +343,20 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
-    sig = np.concatenate([_signatures(b.column(6)) for b in batches])
-    token, sid, packed, group, lead, common = _columns(b.select(["token", "sid", "np", "group", "lead", "diff"]) for b in batches)
-    order = np.lexsort((sid, packed, token))
-    token, sid, packed, group, lead, common, sig = (c[order] for c in (token, sid, packed, group, lead, common, sig))
+    sig = np.concatenate([np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint64).reshape(b.num_rows, -1) for b in batches])
+    token, sid, packed, group, lead, common, part, home = _columns(b.select(["token", "sid", "np", "group", "lead", "diff", "part", "home"]) for b in batches)
+    order = np.lexsort((sid, packed, part, token))
+    token, sid, packed, group, lead, common, part, home, sig = (c[order] for c in (token, sid, packed, group, lead, common, part, home, sig))
     size, pos = packed >> 32, packed & 0xFFFFFFFF
-    edge = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
+    edge = np.append(np.flatnonzero(_starts(token, part)), len(token))
     left, right = [], []
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         if (group[a:b] == group[a]).all():
             continue
         n, p = size[a:b], pos[a:b]
         m = b - a
+        # in a cell of two parts, pairs inside one part are another cell's
+        two = bool((home[a:b] != home[a]).any())
         block = np.arange(0, m, LIST_BLOCK)
         least_p = np.minimum.reduceat(p, block)
         n_lo, n_hi = n[block], n[np.minimum(block + LIST_BLOCK, m) - 1]
@@ -258,25 +368,26 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 xx = np.arange(block[x], min(block[x] + LIST_BLOCK, m))
                 i, j = np.meshgrid(xx, yy, indexing="ij")
                 ok = (i < j) & (group[a + i] != group[a + j]) & _may_link(n[i], p[i], n[j], p[j])
+                if two:
+                    ok &= home[a + i] != home[a + j]
                 if not ok.any():
                     continue
                 i, j = a + i[ok], a + j[ok]
                 known = (lead[i] == lead[j]) & (common[i] >= 0) & (common[j] >= 0)
-                # sizes of the differences to the leader, whose own size is that of the list row it leads
-                di, dj = common[i], common[j]
-                apart = np.abs(di - dj)
+                # sizes of the differences to the leader bound the difference of the two from below
+                apart = np.abs(common[i] - common[j])
                 most = (size[i] + size[j] - apart) // 2
                 settled = (known & (most < need(size[i], size[j]))) | _differ(sig[i], sig[j], size[i], size[j])
                 left.append(sid[i[~settled]])
                 right.append(sid[j[~settled]])
     if any(map(len, left)):
         x, y = np.concatenate(left), np.concatenate(right)
-        lo, hi = np.minimum(x, y), np.maximum(x, y)
-        u = np.unique(np.stack([lo, hi]), axis=1)
+        u = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
         yield pa.record_batch([pa.array(u[0]), pa.array(u[1])], names=["a", "b"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact sizes and intersections of (a, b) from their sets."""
     for batch in batches:
         a, b = batch.column(2), batch.column(3)
         out = np.empty((3, batch.num_rows), np.int64)
@@ -298,124 +409,204 @@ class Join:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(self) -> DataFrame:
-        save, s = self.scratch.save, self.scratch
-        profile = save(self.docs.mapInArrow(_profile, "kind byte, a long, b long, n long, sig binary"), "profile")
-        self.members = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), "n")
-        cells = profile.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).orderBy(F.desc("c"), "a").limit(HEAVY)
-        heavy = cells.toArrow()
-        # rank 1 is the least frequent of them
-        heavy = heavy.sort_by([("c", "ascending"), ("a", "ascending")])["a"].to_numpy()
-        prefixes = self.docs.select("text").mapInArrow(_prefixes(heavy), "token long, sid long, np long")
-        lists = save(prefixes.repartition("token").mapInArrow(_lists, "token long, sid long, np long, cnt long"), "lists")
-        self.classes = save(profile.where("kind = 0 and n > 0").groupBy(F.col("b").alias("sid")).agg(F.min("a").alias("first"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig")), "classes")
-        compared, groups, links = None, None, None
-        rows = lists.select("token", "sid", "np", F.col("sid").alias("group"))
-        for turn in range(TURNS):
-            pairs = rows.repartition("token").mapInArrow(_lead(turn), "a long, b long").distinct()
-            done = self._compare_new(pairs, compared)
-            compared = done if compared is None else compared.unionByName(done)
-            links = compared.where("9 * common >= 4 * (na + nb)").select("a", "b")
-            groups = self._components(links)
-            # in a list of no more than LEADERS sets every pair has been looked at
-            rows = self._mixed(lists.where(F.col("cnt") > LEADERS), groups)
+        """(sid, group) of all sets with a link."""
+        save = self.scratch.save
+        self._identify()
+        frequent = self._frequent()
+        dealt = self.docs.select("text").mapInArrow(_prefixes(frequent, self.seed), "token long, part int, sid long, np long, salts int, home boolean")
+        lists = save(dealt.repartition("token", "part").mapInArrow(_lists, "kind byte, token long, sid long, np long, cnt long, salts long"), "lists")
+        self.compared = self.groups = None
+        self._compare_new(lists.where("kind = 1").select(F.col("token").alias("a"), F.col("sid").alias("b")).distinct())
+        # in a list of no more than LEADERS sets every pair has been looked at
+        lists = lists.where((F.col("kind") == 0) & (F.col("cnt") > LEADERS)).drop("kind", "cnt")
+        for turn in range(1, TURNS):
+            rows = self._mixed(lists)
             if rows.isEmpty():
-                break
-        else:
-            least, most = F.least("sid", "lead"), F.greatest("sid", "lead")
-            led = rows.repartition("token").mapInArrow(_first_by_lot(TURNS - 1), "token long, sid long, np long, group long, lead long").withColumn("a", least).withColumn("b", most)
-            led = led.join(_maybe_broadcast(compared.select("a", "b", (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("diff")), compared.count()), ["a", "b"], "left")
-            diff = F.when(F.col("sid") == F.col("lead"), F.lit(0)).otherwise(F.coalesce("diff", F.lit(-1))).cast("long")
-            ids = self.scratch.save(rows.select("sid").distinct(), "ids")
-            n = ids.count()
-            sigs = self.classes.join(_maybe_broadcast(ids, n), "sid", "left_semi").select(F.col("sid").alias("cs"), "sig")
-            led = led.withColumn("diff", diff).join(F.broadcast(sigs) if n <= BROADCAST_SIGNATURES else sigs, F.col("sid") == F.col("cs"))
-            across = led.select("token", "sid", "np", "group", "lead", "diff", "sig").repartition("token").mapInArrow(_across, "a long, b long")
-            last = self._compare_new(across.distinct(), compared)
-            links = links.unionByName(last.where("9 * common >= 4 * (na + nb)").select("a", "b"))
-            compared = compared.unionByName(last)
-            groups = self._components(links)
-        self.compared, self.links = compared, links
-        s.drop(lists)
-        return groups
-
-    def _mixed(self, lists: DataFrame, groups: DataFrame) -> DataFrame:
+                return self.groups
+            dealt = rows.mapInArrow(_dealt(turn), "token long, part int, sid long, np long, group long").repartition("token", "part")
+            self._compare_new(dealt.mapInArrow(_lead(turn), "a long, b long").distinct())
+        rows = self._mixed(lists)
+        if not rows.isEmpty():
+            self._compare_new(self._open_pairs(rows).distinct())
+        return self.groups
+
+    def _identify(self) -> None:
+        """Class of every document; another seed is taken if two sets get one id."""
+        for seed in range(64):
+            self.seed = seed
+            profile = self.scratch.save(self.docs.mapInArrow(_profile(seed), "kind byte, a long, b long, n long, c long, sig binary"), "profile")
+            self.profile = profile
+            self.members = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), "n")
+            found = profile.where("kind = 0 and n > 0").groupBy(F.col("b").alias("sid")).agg(
+                F.min("a").alias("first"), F.max("n").alias("n"), (F.min("c") < F.max("c")).alias("clash"), F.count("a").alias("docs"), F.any_value("sig").alias("sig")
+            )
+            self.classes = self.scratch.save(found, "classes")
+            if self.classes.where("clash").isEmpty():
+                return
+        raise RuntimeError("different sets share an id under every seed")
+
+    def _frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles that tasks repeat and four times the binary logarithms of their counts; HEAVY at most, the most frequent ones."""
+        level = F.least(F.floor(4 * F.log2("c")), F.lit(255)).cast("int")
+        counted = self.scratch.save(self.profile.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).select("a", level.alias("level")), "frequent")
+        n = dict(counted.groupBy("level").count().collect())
+        least, total = 256, 0
+        while least > 0 and total + n.get(least - 1, 0) <= HEAVY:
+            least -= 1
+            total += n.get(least, 0)
+        got = counted.where(F.col("level") >= least).toArrow()
+        return got["a"].to_numpy().view(np.uint64), got["level"].to_numpy().astype(np.uint8)
+
+    def _mixed(self, lists: DataFrame) -> DataFrame:
         """Rows of the lists that hold sets of two groups, with the group."""
-        g = groups.withColumnsRenamed({"sid": "gs", "group": "g"})
-        rows = self.scratch.save(lists.join(g, F.col("sid") == F.col("gs"), "left").select("token", "sid", "np", F.coalesce("g", "sid").alias("group")), "grouped")
+        g = _maybe_broadcast(self.groups.toDF("gs", "g"), self.n_grouped)
+        rows = self.scratch.save(lists.join(g, F.col("sid") == F.col("gs"), "left").select("token", "sid", "np", F.coalesce("g", "sid").alias("group"), "salts"), "grouped")
         mixed = rows.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select(F.col("token").alias("t2"))
         return self.scratch.save(rows.join(mixed, F.col("token") == F.col("t2"), "left_semi"), "mixed")
 
-    def _compare_new(self, pairs: DataFrame, compared: DataFrame | None) -> DataFrame:
-        if compared is not None:
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    def _open_pairs(self, rows: DataFrame) -> DataFrame:
+        led = rows.repartition("token").mapInArrow(_with_first(TURNS - 1), "token long, sid long, np long, group long, salts long, lead long")
+        led = led.withColumn("a", F.least("sid", "lead")).withColumn("b", F.greatest("sid", "lead"))
+        known = self.compared.select("a", "b", (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("diff"))
+        led = led.join(_maybe_broadcast(known, self.compared.count()), ["a", "b"], "left")
+        diff = F.when(F.col("sid") == F.col("lead"), F.lit(0)).otherwise(F.coalesce("diff", F.lit(-1))).cast("long")
+        ids = self.scratch.save(rows.select("sid").distinct(), "ids")
+        n = ids.count()
+        sigs = self.classes.join(_maybe_broadcast(ids, n), "sid", "left_semi").select("sid", "sig").mapInArrow(_shorten, "cs long, sig binary")
+        led = led.withColumn("diff", diff).join(F.broadcast(sigs) if n <= BROADCAST_SIGNATURES else sigs, F.col("sid") == F.col("cs"))
+        cells = led.select("token", "sid", "np", "group", "lead", "diff", "sig", "salts").mapInArrow(_grid, "token long, sid long, np long, group long, lead long, diff long, sig binary, part long, home long")
+        return cells.repartition("token", "part").mapInArrow(_across, "a long, b long")
+
+    def _compare_new(self, pairs: DataFrame) -> None:
+        """Compare the pairs whose answer nothing tells yet, and extend ``compared`` and ``groups``."""
+        if self.compared is not None:
+            pairs = pairs.join(self.compared.select("a", "b"), ["a", "b"], "left_anti")
         pairs = self.scratch.save(pairs, "pairs")
-        ids = self._ids(pairs)
-        known = self.classes.join(_maybe_broadcast(ids, ids.count()), "sid", "left_semi").select("sid", "n", "sig")
+        known = self._classes_of(pairs).select("sid", "n", "sig")
         one, two = known.toDF("sa", "na", "x"), known.toDF("sb", "nb", "y")
         both = pairs.join(one, F.col("a") == F.col("sa")).join(two, F.col("b") == F.col("sb")).select("a", "b", "na", "nb", "x", "y")
         left = self.scratch.save(both.mapInArrow(_sift, "a long, b long, bits long"), "sifted")
         # each set's nearest pair first; most of the other pairs are then inside a group and need no comparison
         ends = left.select(F.explode(F.array("a", "b")).alias("k"), F.struct("bits", "a", "b").alias("p"))
-        nearest = ends.groupBy("k").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
-        first = self.scratch.save(self._verify(self.scratch.save(nearest, "nearest")), "compared")
-        linked = first if compared is None else compared.unionByName(first)
-        groups = self._components(linked.where("9 * common >= 4 * (na + nb)").select("a", "b"))
-        n = groups.count()
-        ga, gb = _maybe_broadcast(groups.toDF("sa", "ga"), n), _maybe_broadcast(groups.toDF("sb", "gb"), n)
-        rest = left.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
-        rest = rest.join(ga, F.col("a") == F.col("sa"), "left").join(gb, F.col("b") == F.col("sb"), "left")
-        rest = self.scratch.save(rest.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b"), "rest")
-        out = first if rest.isEmpty() else first.unionByName(self.scratch.save(self._verify(rest), "compared"))
-        self.scratch.drop(pairs, ids, left)
-        return out
-
-    def _ids(self, pairs: DataFrame) -> DataFrame:
-        return self.scratch.save(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "ids")
-
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """Exact sizes and intersections of pairs of sets, from the whole texts of one document of each class."""
-        ids = self._ids(pairs)
-        needed = self.scratch.save(self.classes.join(_maybe_broadcast(ids, ids.count()), "sid", "left_semi").select("sid", "first"), "wanted")
-        need_rows = needed.withColumnsRenamed({"sid": "want", "first": "d"})
-        texts = self.docs.join(_maybe_broadcast(need_rows, needed.count()), F.col("doc_id").eqNullSafe(F.col("d"))).select("want", "text")
+        self._verify(ends.groupBy("k").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct())
+        if self.groups is not None:
+            ga, gb = (_maybe_broadcast(self.groups.toDF(*k), self.n_grouped) for k in (("sa", "ga"), ("sb", "gb")))
+            rest = left.select("a", "b").join(self.compared.select("a", "b"), ["a", "b"], "left_anti")
+            rest = rest.join(ga, F.col("a") == F.col("sa"), "left").join(gb, F.col("b") == F.col("sb"), "left")
+            rest = self.scratch.save(rest.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b"), "rest")
+            if not rest.isEmpty():
+                self._verify(rest)
+        self.scratch.drop(pairs)
+
+    def _classes_of(self, pairs: DataFrame) -> DataFrame:
+        """Rows of ``classes`` for the ends of pairs."""
+        ids = self.scratch.save(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "ids")
+        return self.classes.join(_maybe_broadcast(ids, ids.count()), "sid", "left_semi")
+
+    def _verify(self, pairs: DataFrame) -> None:
+        """Compare pairs of sets, cut from the whole texts of one document of each class; the set in fewer pairs travels to the other."""
+        pairs = self.scratch.save(pairs, "ends")
+        degree = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("d")), "degree")
+        n = degree.count()
+        da, db = (_maybe_broadcast(degree.toDF(*k), n) for k in (("sa", "da"), ("sb", "db")))
+        first_is_hub = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+        dealt = pairs.join(da, F.col("a") == F.col("sa")).join(db, F.col("b") == F.col("sb"))
+        dealt = self.scratch.save(dealt.select(F.when(first_is_hub, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first_is_hub, F.col("b")).otherwise(F.col("a")).alias("member")), "dealt")
+        # a set's pairs towards sets with more pairs are no more than the root of twice all pairs
+        travel = dealt.groupBy("member").agg(F.collect_list("hub").alias("to"))
+        one = self._cut(dealt.select(F.col("hub").alias("sid")).distinct().withColumn("to", F.array("sid")), n).toDF("sa", "hub", "x")
+        two = self._cut(travel.withColumnRenamed("member", "sid"), n).toDF("member", "sb", "y")
+        both = one.join(two, F.col("hub") == F.col("sb"))
+        swap = F.col("hub") > F.col("member")
+        done = both.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"), F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"))
+        done = self.scratch.save(done.mapInArrow(_compare, "a long, b long, na long, nb long, common long"), "compared")
+        self.compared = done if self.compared is None else self.compared.unionByName(done)
+        self._link(done.where(LINKED).select("a", "b"))
+
+    def _cut(self, wanted: DataFrame, n: int) -> DataFrame:
+        """(sid, to, set): the sets of (sid, to: list), once for each entry of the list."""
+        seed = self.seed
+        rows = self.classes.join(_maybe_broadcast(wanted.withColumnRenamed("sid", "w"), n), F.col("sid") == F.col("w")).select("sid", F.col("first").alias("d"), "to", "docs")
+        texts = self.docs
+        if n <= BROADCAST_ROWS:
+            rows = F.broadcast(rows)
+        else:
+            texts = self._thinned(texts, rows)
+        # documents that share an id are told apart by their set; equal ones of them would bring it twice
+        texts = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("d"))).select("sid", "to", "text")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                want, sid, blob = batch.column(0).to_pylist(), [], []
-                for w, s in zip(want, _sets(batch.column(1)), strict=True):
-                    if len(s) and _set_id(s) == w:
-                        sid.append(w)
-                        blob.append(s.tobytes())
-                yield pa.record_batch([pa.array(sid, pa.int64()), pa.array(blob, pa.binary())], names=["sid", "s"])
-
-        # a doc_id that occurs in several rows may bring a set more than once
-        sets = self.scratch.save(texts.mapInArrow(cut, "sid long, s binary"), "sets")
-        sets = sets.dropDuplicates(["sid"]) if self._ids_repeat() else sets
-        one, two = sets.withColumnsRenamed({"sid": "sa", "s": "x"}), sets.withColumnsRenamed({"sid": "sb", "s": "y"})
-        both = pairs.join(one, F.col("a") == F.col("sa")).join(two, F.col("b") == F.col("sb")).select("a", "b", "x", "y")
-        return both.mapInArrow(_compare, "a long, b long, na long, nb long, common long")
+                want, to, sid, where, blob = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], [], []
+                for w, t, s in zip(want, to, _sets(batch.column(2)), strict=True):
+                    if len(s) and _identity(s, seed)[0] == w:
+                        sid += [w] * len(t)
+                        where += t
+                        blob += [s.tobytes()] * len(t)
+                yield pa.record_batch([pa.array(sid, pa.int64()), pa.array(where, pa.int64()), pa.array(blob, pa.binary())], names=["sid", "to", "s"])
+
+        out = texts.mapInArrow(cut, "sid long, to long, s binary")
+        return out.dropDuplicates(["sid", "to"]) if self._ids_repeat() else out
+
+    def _thinned(self, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Rows whose doc_id may be wanted, by a bitmap of fixed size, so that few texts are shuffled."""
+        # cells are counted from 1, as Spark's bitmap functions do
+        cell = lambda c: F.pmod(F.xxhash64(F.coalesce(c, F.lit(0))), F.lit(1 << MAP_BITS)) + 1
+        bits = wanted.select(cell(F.col("d")).alias("c")).groupBy(F.expr("bitmap_bucket_number(c)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(c))").alias("m"))
+        held = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+        for r in bits.collect():
+            at = (r["k"] - 1) * len(r["m"])
+            part = np.frombuffer(bytes(r["m"]), np.uint8)[: max(0, len(held) - at)]
+            held[at : at + len(part)] = part
+        keep = self.spark.sparkContext.broadcast(held)
+
+        def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = keep.value
+            for batch in batches:
+                at = batch.column(2).to_numpy()
+                yield batch.select([0, 1]).filter(pa.array((m[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+        return texts.select("doc_id", "text", (cell(F.col("doc_id")) - 1).alias("c")).mapInArrow(thin, "doc_id long, text string")
 
     def _ids_repeat(self) -> bool:
         if not hasattr(self, "_repeat"):
             self._repeat = not self.members.groupBy("doc_id").count().where("count > 1").isEmpty()
         return self._repeat
 
+    def _link(self, links: DataFrame) -> None:
+        """Bring new links into ``groups``: components of the groups that they connect, then new labels."""
+        save = self.scratch.save
+        if self.groups is None:
+            self.groups = save(self.spark.createDataFrame([], "sid long, group long"), "groups")
+            self.n_grouped = 0
+        ga, gb = (_maybe_broadcast(self.groups.toDF(*k), self.n_grouped) for k in (("sa", "ga"), ("sb", "gb")))
+        ends = save(links.join(ga, F.col("a") == F.col("sa"), "left").join(gb, F.col("b") == F.col("sb"), "left").select("a", "b", F.coalesce("ga", "a").alias("x"), F.coalesce("gb", "b").alias("y")), "links")
+        label = self._components(ends.where("x != y").select("x", "y").distinct())
+        # sets that get their first group, and sets whose group moves
+        known = self.groups.select("sid", "group")
+        fresh = ends.select(F.col("a").alias("sid"), F.col("x").alias("group")).union(ends.select("b", "y")).distinct().join(known.select(F.col("sid").alias("k")), F.col("sid") == F.col("k"), "left_anti")
+        moved = _maybe_broadcast(label.toDF("v", "to"), label.count())
+        self.groups = save(known.union(fresh).join(moved, F.col("group") == F.col("v"), "left").select("sid", F.coalesce("to", "group").alias("group")), "groups")
+        self.n_grouped = self.groups.count()
+
     def _components(self, links: DataFrame) -> DataFrame:
-        """(sid, group): the smallest set id that links reach; sets without a link are left out."""
-        both = self.scratch.save(links.union(links.select("b", "a")), "edges")
+        """(v, to): the smallest end that links reach, by pointer jumping; ends without a link are left out."""
+        both = self.scratch.save(links.union(links.select("y", "x")).toDF("a", "b"), "edges")
+        n = both.count()
         label = self.scratch.save(both.groupBy(F.col("a").alias("sid")).agg(F.least(F.min("b"), F.col("a")).alias("group")), "labels")
-        while True:
-            near = both.join(label.withColumnRenamed("sid", "v"), F.col("b") == F.col("v")).groupBy("a").agg(F.min("group").alias("near"))
+        while n:
+            near = both.join(_maybe_broadcast(label.toDF("v", "group"), n), F.col("b") == F.col("v")).groupBy("a").agg(F.min("group").alias("near"))
             step = label.join(near, F.col("sid") == F.col("a")).select("sid", "group", F.least("group", "near").alias("to"))
             # a label's own label is as good and farther on
-            jump = step.join(label.select(F.col("sid").alias("v"), F.col("group").alias("far")), F.col("to") == F.col("v"), "left")
+            jump = step.join(_maybe_broadcast(label.toDF("v", "far"), n), F.col("to") == F.col("v"), "left")
             new = self.scratch.save(jump.select("sid", "group", F.least("to", F.coalesce("far", "to")).alias("to")), "labels")
             done = new.where("group != to").isEmpty()
             self.scratch.drop(label)
-            label = self.scratch.save(new.select("sid", F.col("to").alias("group")), "labels")
-            self.scratch.drop(new)
+            label = new.select("sid", F.col("to").alias("group"))
+            label._scratch_path = new._scratch_path
             if done:
-                return label
+                break
+        return label
 
 
 def classes(spark: SparkSession, docs: DataFrame, scratch: C.Scratch | None = None) -> DataFrame:
@@ -426,7 +617,8 @@ def classes(spark: SparkSession, docs: DataFrame, scratch: C.Scratch | None = No
     """
     scratch = scratch or C.Scratch(spark, "jaccard")
     join = Join(spark, docs, scratch)
-    groups = join.run().withColumnRenamed("sid", "gs")
+    groups = join.run()
+    groups = _maybe_broadcast(groups.withColumnRenamed("sid", "gs"), join.n_grouped)
     rows = join.members.join(groups, F.col("sid") == F.col("gs"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("group", "sid")).alias("label"))
     rows = scratch.save(rows, "labelled")
     least = rows.where("label is not null").groupBy(F.col("label").alias("l2")).agg(F.min("doc_id").alias("least"))
