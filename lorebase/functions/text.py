@@ -64,17 +64,6 @@ def is_refusal(answer: Column) -> Column:
     return hit
 
 
-def parse_citations(text: Column) -> Column:
-    """Distinct cited numbers in order of first appearance; two numbers joined by a dash are a range, either way round."""
-
-    def numbers(group: Column) -> Column:
-        found = F.transform(F.regexp_extract_all(group, F.lit(r"(\d{1,3})"), F.lit(1)), lambda n: n.cast("int"))
-        span = F.sequence(F.array_min(found), F.array_max(found))
-        return F.when((F.size(found) == 2) & ~group.rlike("[,;]"), span).otherwise(found)
-
-    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(CITATION), F.lit(1)), numbers)))
-
-
 def parse_queries(text: Column, limit: int) -> Column:
     """Queries of a model's answer, one a line: a bullet or number and quotes go, blank lines and preambles are left out."""
 

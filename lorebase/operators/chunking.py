@@ -1,56 +1,43 @@
-"""Chunking: documents -> chunks (document_id, chunk_index, char_start, char_end, text, section, metadata)."""
+"""Chunking: documents -> chunks (document_id, chunk_index, char_start, char_end, text, section, metadata).
+
+A document's chunks come out of its own row in one pass: windows are JVM expressions, the other strategies an Arrow
+generator that carries the text along. Nothing is shuffled, and rows that share a document_id are cut separately.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import markdown, spans
-from .embedding import hash_vectors
+from .embedding import Embedder, hash_vectors
 
 META = ("source", "title", "url", "doc_type", "language")
-_SPANS = "document_id string, char_start int, char_end int"
+_PIECE = "array<struct<char_start:int,char_end:int,text:string,section:string>>"
+Split = Callable[[str], list[tuple[int, int]]]
 
 
-def _fixed(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Windows at stride size - overlap up to the first that reaches the end; all in the JVM."""
-    stride, n = size - overlap, F.length("text")
+def window_spans(text: Column, size: int, overlap: int) -> Column:
+    """(char_start, char_end) of windows at stride size - overlap up to the first that reaches the end."""
+    stride, n = size - overlap, F.length(text)
     last = F.greatest(F.ceil((n - size) / F.lit(float(stride))), F.lit(0)).cast("int")
-    starts = docs.where(F.trim("text") != "").select("document_id", n.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    return starts.select("document_id", (F.col("k") * stride).alias("char_start"), F.least(F.col("k") * stride + size, F.col("n")).alias("char_end"))
-
-
-def _by(split: Callable[[str], list[tuple[int, int]]]) -> Callable[[DataFrame], DataFrame]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(d, a, b) for d, t in zip(pdf["document_id"], pdf["text"], strict=True) if t for a, b in split(t)]
-            yield pd.DataFrame(rows, columns=["document_id", "char_start", "char_end"])
-
-    return lambda docs: docs.select("document_id", "text").mapInPandas(run, _SPANS)
-
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.struct((k * stride).alias("char_start"), F.least(k * stride + size, n).alias("char_end")))
 
-def _headings(docs: DataFrame) -> DataFrame:
-    """(document_id, pos, section): headings of level 2 to 6 outside code."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for d, t in zip(pdf["document_id"], pdf["text"], strict=True):
-                code = markdown.code_spans(t or "")
-                rows += [(d, m.start(), m[1]) for m in markdown.HEADING.finditer(t or "") if spans.out_of_code(m.start(), code) == m.start() and not any(a <= m.start() < b for a, b in code)]
-            yield pd.DataFrame(rows, columns=["document_id", "pos", "section"])
-
-    # plain texts never reach Python
-    some = docs.where(F.col("text").rlike(r"(?m)^#{2,6}[ \t]"))
-    return some.select("document_id", "text").mapInPandas(run, "document_id string, pos int, section string")
+def headings(text: str) -> list[tuple[int, str]]:
+    """(place, heading) of the headings of level 2 to 6 outside code."""
+    code = markdown.code_spans(text)
+    return [(m.start(), m[1]) for m in markdown.HEADING.finditer(text) if not any(a <= m.start() < b for a, b in code)]
 
 
 def sections(chunks: DataFrame, headings: DataFrame) -> DataFrame:
-    """As-of join: each chunk takes the last heading at or before its start."""
+    """As-of join: each chunk takes the last heading (document_id, pos, section) at or before its start."""
     w = Window.partitionBy("document_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     both = headings.select("document_id", F.col("pos").alias("at"), F.lit(0).alias("kind"), "section", F.lit(None).cast("int").alias("char_end")).unionByName(
         chunks.select("document_id", F.col("char_start").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("section"), "char_end")
@@ -59,24 +46,55 @@ def sections(chunks: DataFrame, headings: DataFrame) -> DataFrame:
     return found.select("document_id", F.col("at").alias("char_start"), "char_end", "section")
 
 
-def chunk(docs: DataFrame, strategy: str = "sentence", size: int = 1000, overlap: int = 200) -> DataFrame:
-    """Chunks of documents; an unknown strategy or a bad overlap raises before any work."""
-    if strategy not in STRATEGIES:
-        raise ValueError(f"unknown chunk strategy {strategy!r}")
-    spans.check_sizes(size, overlap)
-    found = sections(STRATEGIES[strategy](docs, size, overlap), _headings(docs))
-    meta = [c for c in META if c in docs.columns]
-    body = F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    out = found.join(docs.select("document_id", "text", *meta), "document_id").withColumn("text", body)
-    out = out.where(F.col("text").rlike(r"\S"))
-    order = Window.partitionBy("document_id").orderBy("char_start", "char_end")
-    out = out.withColumn("chunk_index", F.row_number().over(order) - 1)
-    return out.select(F.concat_ws("#", "document_id", F.col("chunk_index").cast("string")).alias("chunk_id"), "document_id", "chunk_index", "char_start", "char_end", "section", "text", *meta)
+def _pieces(text: str | None, split: Split) -> list[tuple[int, int, str, str | None]]:
+    if not text:
+        return []
+    heads = headings(text) if "#" in text else []
+    places = [p for p, _ in heads]
+    out = []
+    for a, b in split(text):
+        body = text[a:b]
+        if body.strip():
+            k = bisect_right(places, a)
+            out.append((a, b, body, heads[k - 1][1] if k else None))
+    return out
 
 
-STRATEGIES: dict[str, Callable[[DataFrame, int, int], DataFrame]] = {
+def _generated(docs: DataFrame, split: Split) -> DataFrame:
+    keep = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("pieces", T.ArrayType(T.StructType([T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("section", T.StringType())])))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pieces = [[{"char_start": a, "char_end": b, "text": t, "section": s} for a, b, t, s in _pieces(x, split)] for x in pdf["text"]]
+            yield pdf[keep].assign(pieces=pieces)
+
+    return docs.mapInPandas(run, schema)
+
+
+def _fixed(docs: DataFrame, size: int, overlap: int, embedder: Embedder) -> DataFrame:
+    """Texts without a heading never reach Python."""
+    heading = F.coalesce(F.col("text").rlike(r"(?m)^#{2,6}[ \t]"), F.lit(False))
+    cut = F.transform(window_spans(F.col("text"), size, overlap), lambda s: F.struct(s["char_start"].alias("char_start"), s["char_end"].alias("char_end"), F.substring(F.col("text"), s["char_start"] + 1, s["char_end"] - s["char_start"]).alias("text"), F.lit(None).cast("string").alias("section")))
+    plain = docs.where(~heading).withColumn("pieces", F.filter(cut, lambda p: p["text"].rlike(r"\S")).cast(_PIECE)).drop("text")
+    return plain.unionByName(_generated(docs.where(heading), lambda t: spans.split_fixed(t, size, overlap)))
+
+
+#: Strategies by name; semantic cuts compare sentences with the injected embedder.
+STRATEGIES: dict[str, Callable[[DataFrame, int, int, Embedder], DataFrame]] = {
     "fixed": _fixed,
-    "recursive": lambda d, size, overlap: _by(lambda t: spans.split_recursive(t, size, overlap))(d),
-    "sentence": lambda d, size, overlap: _by(lambda t: spans.split_sentence(t, size, overlap))(d),
-    "semantic": lambda d, size, overlap: _by(lambda t: spans.split_semantic(t, size, overlap, hash_vectors))(d),
+    "recursive": lambda d, size, overlap, _: _generated(d, lambda t: spans.split_recursive(t, size, overlap)),
+    "sentence": lambda d, size, overlap, _: _generated(d, lambda t: spans.split_sentence(t, size, overlap)),
+    "semantic": lambda d, size, overlap, embedder: _generated(d, lambda t: spans.split_semantic(t, size, overlap, embedder)),
 }
+
+
+def chunk(docs: DataFrame, strategy: str = "sentence", size: int = 1000, overlap: int = 200, embedder: Embedder = hash_vectors) -> DataFrame:
+    """Chunks of documents; an unknown strategy or a bad overlap raises before any work. Blank chunks are left out."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown chunk strategy {strategy!r}")
+    spans.check_sizes(size, overlap)
+    meta = [c for c in META if c in docs.columns]
+    cut = STRATEGIES[strategy](docs.select("document_id", "text", *meta), size, overlap, embedder)
+    rows = cut.select("document_id", *meta, F.posexplode("pieces").alias("chunk_index", "p")).select("document_id", "chunk_index", "p.*", *meta)
+    return rows.select(F.concat_ws("#", "document_id", F.col("chunk_index").cast("string")).alias("chunk_id"), "document_id", "chunk_index", "char_start", "char_end", "section", "text", *meta)

@@ -9,17 +9,17 @@ from ..functions import markdown, text
 
 
 def read_markdown(spark: SparkSession, root: str, source: str, base_url: str | None = None) -> DataFrame:
-    """One row per .md or .markdown file (any case) below ``root`` outside dot-folders.
+    """One row per .md or .markdown file (any case) below ``root`` outside dot-folders; no other file is read.
 
-    document_id, source, title, path, doc_type, url, language, text, content_hash (of the file's bytes).
+    Bytes that are no UTF-8 become replacement characters. document_id, source, title, path, doc_type, url, language, text, content_hash (of the file's bytes).
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[mM][dD],[mM][aA][rR][kK][dD][oO][wW][nN]}").load(root)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
     # file URIs are percent-encoded
     full = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
     relative = F.substr(full, F.locate(base, full) + F.lit(len(base)))
-    rows = files.select(relative.alias("path"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("content_hash"))
-    rows = rows.where(F.lower("path").rlike(r"\.(md|markdown)$") & ~F.col("path").rlike(r"(^|/)\."))
+    rows = files.select(relative.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.sha2("content", 256).alias("content_hash"))
+    rows = rows.where(~F.col("path").rlike(r"(^|/)\."))
     stem = F.regexp_replace("path", r"\.[^./]*$", "")
     slug = F.when(stem == "index", "").otherwise(F.regexp_replace(stem, "/index$", ""))
     url = F.lit(None).cast("string") if base_url is None else F.concat(F.lit(base_url + "/"), F.when(slug == "", "").otherwise(F.concat(slug, F.lit("/"))))

@@ -27,22 +27,30 @@ def test_tokens_keep_accents_and_digits(spark):
         ("[1, 2-3]", [1, 2, 3]),
     ],
 )
-def test_citations_parse_alike_in_both_forms(spark, given, wanted):
-    assert one(spark, given, text.parse_citations) == wanted
-    found = [n for m in generation._MARK.finditer(given) for n in generation.cited_numbers(m[1])]
-    assert list(dict.fromkeys(found)) == wanted
-
-
-def test_citations_are_renumbered_and_gaps_closed():
-    assert generation.validate_citations("B [3]. A [1].", [1, 2, 3]) == ("B [1]. A [2].", [3, 1], [])
-    assert generation.validate_citations("No such [9].", [1])[0] == "No such."
-    assert generation.validate_citations("[9] starts", [1])[0] == "starts"
-    assert generation.validate_citations("a [9] b [1]", [1])[0] == "a b [1]"
-    assert generation.validate_citations("plain", [1])[2] == ["answer_without_citations"]
-    assert generation.validate_citations("I do not have enough information.", [1])[2] == []
-    assert generation.validate_citations("`x[1]` and [t](u) [2]", [1, 2])[:2] == ("`x[1]` and [t](u) [1]", [2])
-    with pytest.raises(ValueError):
-        generation.validate_citations("x [7]", [1], strict=True)
+def test_citations(spark, given, wanted):
+    assert one(spark, given, generation.parse_citations) == wanted
+
+
+def checked(spark, answer, indexes, strict=False):
+    from lorebase.operators.context import SOURCE
+
+    rows = [("q", answer, [], [{"index": i} for i in indexes])]
+    df = spark.createDataFrame(rows, f"query_id string, answer string, warnings array<string>, sources {SOURCE}")
+    r = generation.check_answers(df, strict).head()
+    return r["answer"], [(s["index"]) for s in r["sources"]], r["warnings"]
+
+
+def test_citations_are_renumbered_and_gaps_closed(spark):
+    assert checked(spark, "B [3]. A [1].", [1, 2, 3]) == ("B [1]. A [2].", [1, 2], [])
+    assert checked(spark, "`x[1]` and [t](u) [2]", [1, 2])[:2] == ("`x[1]` and [t](u) [1]", [1])
+    assert checked(spark, "x [7] y [1]", [1]) == ("x y [1]", [1], ["invalid_citations: 7"])
+    assert checked(spark, "plain", [1])[2] == ["answer_without_citations"]
+    assert checked(spark, "I do not have enough information.", [1])[2] == []
+    assert checked(spark, None, [1]) == (None, [], [])
+    with pytest.raises(Exception, match="unknown sources"):
+        checked(spark, "x [7]", [1], strict=True)
+    for given, wanted in (("No such [9].", "No such."), ("[9] starts", "starts"), ("a [9] b [1]", "a b [1]"), ("ends [9]\nnext", "ends\nnext"), ("a [9] [8]. b", "a. b"), ("l\n  [9] x", "l\nx")):
+        assert generation.renumber(given, [1]) == wanted
 
 
 def test_guard_patterns(spark):
