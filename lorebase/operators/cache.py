@@ -7,12 +7,14 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import collapse
 from ..settings import Settings
+from .retrieval import dense
 
 MARGIN, LEAST_HITS = 0.02, 19
+#: Anchors that a sweep broadcasts (a vector each).
+MOST_ANCHORS = 10_000
 
 
 def digest(value) -> str:
@@ -37,17 +39,17 @@ def lookup(questions: DataFrame, cache: DataFrame, now: Column | None = None) ->
     return questions.join(live, "key").withColumn("cache", F.lit("exact")), questions.join(live, "key", "left_anti")
 
 
-def semantic_lookup(questions: DataFrame, cache: DataFrame, threshold: float, now: Column | None = None) -> DataFrame:
-    """Per question without history the nearest live entry of its fingerprint, if (1 + cosine) / 2 >= (1 + threshold) / 2.
+def semantic_lookup(questions: DataFrame, cache: DataFrame, threshold: float, fp: str, now: Column | None = None) -> DataFrame:
+    """Per question without history the nearest live entry under the fingerprint, if (1 + cosine) / 2 >= (1 + threshold) / 2.
 
-    Entries are joined by fingerprint, so only questions under one configuration and corpus revision meet.
+    The search is the dense top-k: each task keeps its nearest entry per question.
     """
     now = F.current_timestamp() if now is None else now
-    live = cache.where((F.col("expires_at") > now) & F.col("vector").isNotNull()).select("fp", F.col("key").alias("hit"), F.col("vector").alias("v2"), "answer")
+    live = cache.where((F.col("expires_at") > now) & (F.col("fp") == fp)).select(F.col("key").alias("chunk_id"), "vector", "answer")
     asked = questions.where("coalesce(history, '') = ''")
-    scored = asked.join(live, "fp").withColumn("score", (1 + cosine(F.col("vector"), F.col("v2"))) / 2)
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "hit"))).where("r = 1")
-    return best.where(F.col("score") >= (1 + threshold) / 2).drop("r", "v2").withColumn("cache", F.lit("semantic"))
+    best = dense(asked, live, 1).withColumn("score", (1 + F.col("score")) / 2).where(F.col("score") >= (1 + threshold) / 2).drop("rank")
+    found = best.join(live.select("chunk_id", "answer"), "chunk_id").withColumnRenamed("chunk_id", "hit")
+    return asked.join(found, "query_id").withColumn("cache", F.lit("semantic"))
 
 
 def store(cache: DataFrame, answers: DataFrame, ttl_s: int, now: Column | None = None) -> DataFrame:
@@ -67,8 +69,11 @@ def cosine(a: Column, b: Column) -> Column:
 def sweep(probes: DataFrame, anchors: DataFrame) -> DataFrame:
     """One row: threshold, false hits, must-miss probes, paraphrase hits and whether the rule (no false hit, 19 hits) holds.
 
-    ``anchors`` is a labelled fixture of a few dozen rows; every probe (probe_id, anchor_id, kind, vector) meets all.
+    ``anchors`` is a labelled fixture; every probe (probe_id, anchor_id, kind, vector) meets all of them, so more than
+    MOST_ANCHORS raise.
     """
+    if anchors.count() > MOST_ANCHORS:
+        raise ValueError(f"a sweep takes at most {MOST_ANCHORS} anchors")
     a = anchors.select(F.col("anchor_id").alias("to"), F.col("vector").alias("v2"))
     pairs = probes.crossJoin(F.broadcast(a)).withColumn("score", F.round(cosine(F.col("vector"), F.col("v2")), 6))
     own = F.max(F.when(F.col("to") == F.col("anchor_id"), F.col("score")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,65 +28,79 @@ def greedy(units: Column, budget: int) -> Column:
     return F.aggregate(best_first, start, step)["kept"]
 
 
-def compress_texts(query: str, texts: list[str], budget: int, penalty: float, embed: Embedder) -> list[str | None]:
-    """One query's chunk texts cut down to their best sentences; None where nothing of a chunk is left."""
-    import numpy as np
+UNIT = "array<struct<score:double,pos:int,len:int>>"
 
-    units = [(c, a, b) for c, t in enumerate(texts) for a, b in spans.sentences(t)]
-    if sum(b - a for _, a, b in units) <= budget:
-        return list(texts)
-    v = np.asarray(embed([query, *[texts[c][a:b] for c, a, b in units]]), float)
+
+def score_units(query: str, texts: list[str], penalty: float, embed: Embedder) -> list[tuple[float, int, int]]:
+    """(score, position, length) of all sentences of one query's chunk texts, numbered through."""
+    bodies = [t[a:b] for t in texts for a, b in spans.sentences(t)]
+    v = np.asarray(embed([query, *bodies]), float)
     norm = np.linalg.norm(v, axis=1)
     scale = norm[0] * norm[1:]
-    score = np.where(scale > 0, (v[1:] @ v[0]) / np.where(scale > 0, scale, 1), 0.0)
-    if penalty:
-        score = score / np.array([max(b - a, 1) for _, a, b in units], float) ** penalty
-    kept: list[int] = []
-    used = 0
-    for i in np.argsort(-score, kind="stable").tolist():
-        n = units[i][2] - units[i][1]
-        if not kept or used + n <= budget:
-            kept.append(i)
-            used += n
-
-    def render() -> list[str | None]:
-        out: list[str | None] = []
-        for c, t in enumerate(texts):
-            body, last = "", None
-            for i in sorted(k for k in kept if units[k][0] == c):
-                _, a, b = units[i]
-                body = t[a:b] if last is None else body + t[a:b] if i == last + 1 else body.rstrip() + GAP + t[a:b]
-                last = i
-            out.append(body.strip() or None)
-        return out
-
-    shown = render()
-    while len(kept) > 1 and sum(len(x or "") for x in shown) > budget:
-        kept.remove(min(kept, key=lambda i: (score[i], -i)))
-        shown = render()
-    return shown
+    near = np.where(scale > 0, (v[1:] @ v[0]) / np.where(scale > 0, scale, 1), 0.0)
+    size = np.array([len(x) for x in bodies], int)
+    return list(zip((near / np.maximum(size, 1) ** penalty).tolist(), range(len(bodies)), size.tolist(), strict=True))
+
+
+def assemble(texts: list[str], kept: set[int]) -> list[str | None]:
+    """Each text from its kept sentences in order, with a gap mark where some are missing; None where none is kept."""
+    out, first = [], 0
+    for t in texts:
+        units = spans.sentences(t)
+        mine = [(first + k, t[a:b]) for k, (a, b) in enumerate(units) if first + k in kept]
+        first += len(units)
+        parts = [body if i == 0 or mine[i - 1][0] + 1 == at else GAP + body for i, (at, body) in enumerate(mine)]
+        # blanks before a gap go
+        parts = [p.rstrip() if i + 1 < len(parts) and parts[i + 1].startswith(GAP) else p for i, p in enumerate(parts)]
+        out.append("".join(parts).strip() or None)
+    return out
+
+
+def trim(texts: list[str], best_first: list[int], budget: int) -> list[str | None]:
+    """The texts from as many of the kept sentences, best first, as the budget holds once gap marks are in; one at least."""
+    for n in range(len(best_first), 0, -1):
+        shown = assemble(texts, set(best_first[:n]))
+        if n == 1 or sum(len(x or "") for x in shown) <= budget:
+            return shown
+    return [None] * len(texts)
 
 
 def compress(pool: DataFrame, method: str = "embedding", budget: int = 3688, penalty: float = 0.0, embed: Embedder = hash_vectors) -> DataFrame:
-    """Pools (query_id, query, chunk_id, rank, text, ...) with shorter texts; emptied chunks vanish, ranks and scores stay."""
+    """Pools (query_id, query, chunk_id, rank, text, ...) with shorter texts; emptied chunks vanish, ranks and scores stay.
+
+    Sentences are scored against the query, ``greedy`` picks those that fit, and the chunks are put together from them.
+    Pools within the budget stay as they are and are not embedded.
+    """
     if not method:
         return pool
     if method not in COMPRESSORS:
         raise ValueError(f"unknown compressor {method!r}")
     if budget < 1:
         raise ValueError("the budget must be at least 1")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        if not pdf["query"].iloc[0].strip():
-            raise ValueError("blank query")
-        shorter = compress_texts(pdf["query"].iloc[0], pdf["text"].tolist(), budget, penalty, embed)
-        return pdf.assign(text=shorter)[[x is not None for x in shorter]]
-
-    return pool.groupBy("query_id").applyInPandas(run, pool.schema)
-
-
-COMPRESSORS = {"embedding": compress_texts}
+    score = COMPRESSORS[method]
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
+    pools = pool.groupBy("query_id").agg(F.first("query").alias("query"), texts.alias("texts"))
+
+    def units(query: pd.Series, texts: pd.Series) -> pd.Series:
+        out = []
+        for q, t in zip(query, texts, strict=True):
+            if not (q or "").strip():
+                raise ValueError("blank query")
+            fits = sum(map(len, t)) <= budget
+            out.append(None if fits else [{"score": s, "pos": p, "len": n} for s, p, n in score(q, list(t), penalty, embed)])
+        return pd.Series(out, dtype=object)
+
+    def shorter(texts: pd.Series, kept: pd.Series) -> pd.Series:
+        return pd.Series([list(t) if k is None else trim(list(t), list(k), budget) for t, k in zip(texts, kept, strict=True)], dtype=object)
+
+    scored = pools.withColumn("u", F.pandas_udf(units, UNIT)("query", "texts"))
+    done = scored.select("query_id", F.pandas_udf(shorter, "array<string>")("texts", greedy(F.col("u"), budget)).alias("shown"))
+    place = Window.partitionBy("query_id").orderBy("rank")
+    rows = pool.withColumn("_n", F.row_number().over(place)).join(done, "query_id")
+    return rows.withColumn("text", F.element_at("shown", F.col("_n"))).where(F.col("text").isNotNull()).select(*pool.columns)
+
+
+COMPRESSORS = {"embedding": score_units}
 
 
 def guard(pool: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import markdown, text
-from ..functions.text import CITATION, REFUSAL_MARKERS
+from ..functions.text import CITATION
 
 #: system prompt, user prompt -> answer, prompt tokens, completion tokens
 Completer = Callable[[str, str], tuple[str, int, int]]
@@ -49,7 +51,15 @@ def echo(system: str, user: str) -> tuple[str, int, int]:
 
 
 def _completed(user: Column, complete: Completer) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda u: complete("", u)[0]), "string")(user)
+    """A model's reply to each prompt; null where its call failed, so that the query falls back to itself."""
+
+    def answered(system: str, user: str) -> str | None:
+        try:
+            return call(lambda: complete(system, user))[0]
+        except Exception:
+            return None
+
+    return F.pandas_udf(lambda s: s.map(lambda u: answered("", u)), "string")(user)
 
 
 def expand(queries: DataFrame, transform: str = "", n: int = 3, complete: Completer = echo) -> DataFrame:
@@ -67,7 +77,7 @@ def expand(queries: DataFrame, transform: str = "", n: int = 3, complete: Comple
     else:
         prompt = REWRITE if transform == "rewrite" else MULTI.replace("{n}", str(n - 1))
         reply = _completed(F.replace(F.lit(prompt), F.lit("{question}"), F.col("query")), complete)
-        parsed = text.parse_queries(F.col("reply"), 1 if transform == "rewrite" else 1000)
+        parsed = text.parse_queries(F.coalesce("reply", F.lit("")), 1 if transform == "rewrite" else 1000)
         got = queries.withColumn("reply", reply).withColumn("p", parsed)
         if transform == "rewrite":
             got = got.withColumn("q", F.when(F.size("p") > 0, F.col("p")).otherwise(one))
@@ -93,81 +103,136 @@ def contextualize(questions: DataFrame, n: int = 4, complete: Completer = echo)
     has = F.coalesce(F.size("history") > 0, F.lit(False))
     alone = questions.where(~has).withColumn("query", F.col("question"))
     prompt = F.replace(F.replace(F.lit(CONTEXTUALIZE), F.lit("{history}"), F.array_join(lines, "\n")), F.lit("{question}"), F.col("question"))
-    asked = questions.where(has).withColumn("reply", _completed(prompt, complete)).withColumn("p", text.parse_queries(F.col("reply"), 1))
+    asked = questions.where(has).withColumn("reply", _completed(prompt, complete)).withColumn("p", text.parse_queries(F.coalesce("reply", F.lit("")), 1))
     asked = asked.withColumn("query", F.coalesce(F.get("p", F.lit(0)), F.col("question"))).drop("reply", "p")
     return alone.unionByName(asked)
 
 
+# ------------------------------------------------------------------------------------------------ calls
+
+
+class Cooldown(Exception):
+    """A model asks to be left alone for ``seconds``."""
+
+    def __init__(self, seconds: float):
+        super().__init__(f"asked to wait {seconds} s")
+        self.seconds = seconds
+
+
+#: The longest pause that is waited out, pauses waited out for a call, and seconds a call may take.
+LONGEST_WAIT_S, WAITS, TIMEOUT_S = 1800.0, 5, 60.0
+
+
+def call(ask: Callable[[], object], waits: int = WAITS, timeout_s: float = TIMEOUT_S) -> object:
+    """What ``ask`` returns. A pause that it asks for is waited out up to ``waits`` times; a call over time raises TimeoutError."""
+    for left in range(waits, -1, -1):
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(ask).result(timeout_s)
+        except Cooldown as e:
+            if not left or e.seconds > LONGEST_WAIT_S:
+                raise
+            time.sleep(e.seconds)
+        finally:
+            # a call over time is left behind, not waited for
+            pool.shutdown(wait=False)
+    raise AssertionError
+
+
 # ------------------------------------------------------------------------------------------------ answers
 
 
-def complete(prompts: DataFrame, completer: Completer = extractive) -> DataFrame:
-    """``prompts`` (system, user, ...) with answer, prompt_tokens, completion_tokens; an empty answer raises."""
+def complete(prompts: DataFrame, completer: Completer = extractive, timeout_s: float = TIMEOUT_S) -> DataFrame:
+    """``prompts`` (system, user, ...) with answer, prompt_tokens, completion_tokens, error_type, error_message.
+
+    A question whose call fails, or whose answer is blank, has a null answer and its error; the others are not touched.
+    """
+
+    def one(system: str, user: str) -> tuple:
+        try:
+            answer, asked, said = call(lambda: completer(system, user), timeout_s=timeout_s)
+            if not answer.strip():
+                raise ValueError("the model returned an empty completion")
+        except Exception as e:
+            return None, 0, 0, type(e).__name__, str(e)
+        return answer, asked, said, None, None
 
     def run(batches):
         for pdf in batches:
-            got = [completer(s, u) for s, u in zip(pdf["system"], pdf["user"], strict=True)]
-            if any(not a.strip() for a, _, _ in got):
-                raise ValueError("the model returned an empty completion")
-            yield pdf.assign(answer=[g[0] for g in got], prompt_tokens=[g[1] for g in got], completion_tokens=[g[2] for g in got])
+            got = [one(s, u) for s, u in zip(pdf["system"], pdf["user"], strict=True)]
+            yield pdf.assign(**{name: pd.Series([g[k] for g in got], index=pdf.index, dtype=object if k in (0, 3, 4) else "int32") for k, name in enumerate(_ADDED)})
 
-    added = [T.StructField("answer", T.StringType()), T.StructField("prompt_tokens", T.IntegerType()), T.StructField("completion_tokens", T.IntegerType())]
-    return prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, *added]))
+    kinds = [T.StringType(), T.IntegerType(), T.IntegerType(), T.StringType(), T.StringType()]
+    return prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, *(T.StructField(n, k) for n, k in zip(_ADDED, kinds, strict=True))]))
 
 
+_ADDED = ("answer", "prompt_tokens", "completion_tokens", "error_type", "error_message")
 _MARK = re.compile(CITATION)
-# A removed marker (NUL) takes the blanks around it along before punctuation or at a line's edge, else leaves one.
-_GAPS = ((r"(?m)[ \t]*\0[ \t]*(?=[.,;:!?)\]]|$)", ""), (r"(?:\A|(?<=\n))[ \t]*\0[ \t]*", ""), (r"[ \t]*\0[ \t]*", " "))
 _LINK = re.compile(r"\[[^\]]*\]\([^)]*\)")
 
 
 def mask(answer: str) -> str:
     """Code and markdown links blanked, every other character in its place."""
-    blank = lambda m: " " * len(m[0])
-    padded = markdown.CODE.sub(blank, "\n\n" + answer)[2:]
-    return _LINK.sub(blank, padded)
-
-
-def cited_numbers(group: str) -> list[int]:
-    found = [int(n) for n in re.findall(r"\d{1,3}", group)]
-    if len(found) == 2 and not re.search("[,;]", group):
-        return list(range(min(found), max(found) + 1))
-    return found
-
-
-def validate_citations(answer: str, indexes: list[int], strict: bool = False) -> tuple[str, list[int], list[str]]:
-    """(answer with valid numbers renumbered from 1 in order of appearance and the rest removed, kept indexes, warnings)."""
-    marks = [(m.start(), m.end(), cited_numbers(m[1])) for m in _MARK.finditer(mask(answer))]
-    cited = list(dict.fromkeys(n for _, _, ns in marks for n in ns))
-    known = set(indexes)
-    valid = [n for n in cited if n in known]
-    invented = [n for n in cited if n not in known]
-    if invented and strict:
-        raise ValueError(f"answer cites unknown sources {invented}")
-    new = {n: i for i, n in enumerate(valid, 1)}
-    out, at = [], 0
-    for a, b, ns in marks:
-        keep = list(dict.fromkeys(new[n] for n in ns if n in new))
-        out += [answer[at:a], f"[{', '.join(map(str, keep))}]" if keep else "\0"]
-        at = b
-    shown = "".join([*out, answer[at:]])
-    for pattern, to in _GAPS:
-        shown = re.sub(pattern, to, shown)
-    warnings = [f"invalid_citations: {', '.join(map(str, invented))}"] if invented else []
-    if not valid and not any(m in answer.lower() for m in REFUSAL_MARKERS):
-        warnings.append("answer_without_citations")
-    return shown, valid, warnings
+    out = list(answer)
+    for a, b in [*markdown.code_spans(answer), *((m.start(), m.end()) for m in _LINK.finditer(answer))]:
+        out[a:b] = " " * (b - a)
+    return "".join(out)
+
+
+def marks(answer: str) -> list[tuple[int, int, list[int]]]:
+    """(start, end, numbers) of the citation markers outside code and links; two numbers joined by a dash are a range, either way round."""
+    out = []
+    for m in _MARK.finditer(mask(answer)):
+        numbers = [int(n) for n in re.findall(r"\d+", m[1])]
+        if len(numbers) == 2 and not {",", ";"} & set(m[1]):
+            numbers = list(range(min(numbers), max(numbers) + 1))
+        out.append((m.start(), m.end(), numbers))
+    return out
+
+
+def cited(answer: str) -> list[int]:
+    """Distinct cited numbers in order of first appearance."""
+    return list(dict.fromkeys(n for _, _, numbers in marks(answer) for n in numbers))
+
+
+def parse_citations(answer: Column) -> Column:
+    return F.pandas_udf(lambda s: s.map(lambda x: cited(x or "")), "array<int>")(answer)
+
+
+def close_gap(left: str, right: str) -> str:
+    """Two sides of a removed marker: no blank before punctuation, at a line's start or end, one blank elsewhere."""
+    left, right = left.rstrip(" \t"), right.lstrip(" \t")
+    edge = not left or left.endswith("\n") or not right or right[0] in "\n.,;:!?)]"
+    return left + right if edge else f"{left} {right}"
+
+
+def renumber(answer: str, valid: list[int]) -> str:
+    """The answer with each marker's valid numbers replaced by their places in ``valid``; markers without one go."""
+    place = {n: k for k, n in enumerate(valid, 1)}
+    for a, b, numbers in reversed(marks(answer)):
+        new = list(dict.fromkeys(str(place[n]) for n in numbers if n in place))
+        answer = f"{answer[:a]}[{', '.join(new)}]{answer[b:]}" if new else close_gap(answer[:a], answer[b:])
+    return answer
 
 
 def check_answers(answers: DataFrame, strict: bool = False) -> DataFrame:
-    """Answers (answer, sources, warnings) after citation checks: only cited sources stay, renumbered."""
+    """Answers (answer, sources, warnings) after citation checks: only cited sources stay, renumbered in order of appearance.
 
-    def run(a: pd.Series, idx: pd.Series) -> pd.DataFrame:
-        rows = [validate_citations(x, list(i) if i is not None else [], strict) for x, i in zip(a, idx, strict=True)]
-        return pd.DataFrame(rows, columns=["answer", "valid", "warnings"])
+    Numbers of no source are taken out with a warning, or raise if ``strict``; an answer that cites nothing and does not
+    decline gets a warning. A null answer stays as it is.
+    """
 
-    checked = F.pandas_udf(run, "answer string, valid array<int>, warnings array<string>")
-    rows = answers.withColumn("c", checked("answer", F.transform("sources", lambda s: s["index"])))
-    kept = F.filter("sources", lambda s: F.array_contains(F.col("c.valid"), s["index"]))
-    renumbered = F.array_sort(F.transform(kept, lambda s: s.withField("index", F.array_position(F.col("c.valid"), s["index"]).cast("int"))))
-    return rows.withColumns({"answer": F.col("c.answer"), "sources": renumbered, "warnings": F.concat("warnings", "c.warnings")}).drop("c")
+    def shown(a: pd.Series, valid: pd.Series, invented: pd.Series) -> pd.Series:
+        if strict and any(len(x) for x in invented):
+            raise ValueError(f"answers cite unknown sources {sorted({int(n) for x in invented for n in x})}")
+        return pd.Series([None if x is None else renumber(x, [int(n) for n in v]) for x, v in zip(a, valid, strict=True)], dtype=object)
+
+    rows = answers.withColumn("_cited", parse_citations(F.col("answer"))).withColumn("_known", F.transform("sources", lambda s: s["index"]))
+    rows = rows.withColumn("_valid", F.filter("_cited", lambda n: F.array_contains("_known", n))).withColumn("_invented", F.filter("_cited", lambda n: ~F.array_contains("_known", n)))
+    wrong = F.when(F.size("_invented") > 0, F.concat(F.lit("invalid_citations: "), F.array_join(F.transform("_invented", lambda n: n.cast("string")), ", ")))
+    bare = F.when((F.size("_valid") == 0) & F.col("answer").isNotNull() & ~text.is_refusal(F.col("answer")), F.lit("answer_without_citations"))
+    kept = F.filter("sources", lambda s: F.array_contains(F.col("_valid"), s["index"]))
+    renumbered = F.array_sort(F.transform(kept, lambda s: s.withField("index", F.array_position(F.col("_valid"), s["index"]).cast("int"))))
+    new = F.pandas_udf(shown, "string")("answer", "_valid", "_invented")
+    done = rows.withColumns({"answer": new, "sources": renumbered, "warnings": F.concat("warnings", F.array_compact(F.array(wrong, bare)))})
+    return done.drop("_cited", "_known", "_valid", "_invented")

@@ -13,7 +13,8 @@ def trace_rows(answers: DataFrame, settings: Settings) -> DataFrame:
     """Trace rows of answered questions.
 
     ``answers`` holds question, query, history_turns, pool array<struct<chunk_id,document_id,rank,score>>, used_ids,
-    sources, system, user, answer, refusal, cache, warnings, prompt_tokens, completion_tokens and a timings struct.
+    sources, system, user, answer, refusal, cache, warnings, prompt_tokens, completion_tokens, error_type, error_message
+    and a timings struct.
     Texts are recorded only with ``trace_content``.
     """
     content = lambda c: F.col(c) if settings.trace_content else F.lit(None).cast("string")
@@ -33,7 +34,7 @@ def trace_rows(answers: DataFrame, settings: Settings) -> DataFrame:
         null(settings.compress_method).alias("compressor"), F.lit(settings.prompt_version).alias("prompt_version"), F.lit(settings.top_k).alias("top_k"), chunks.alias("chunks"),
         content("system").alias("system_prompt"), content("user").alias("user_prompt"), content("answer").alias("response"), "refusal", "cache", "warnings", usage.alias("usage"),
         cost_usd(F.col("prompt_tokens"), F.col("completion_tokens"), settings.generation_usd_per_mtok_input, settings.generation_usd_per_mtok_output).alias("cost_usd"),
-        "timings", F.lit(None).cast("string").alias("error_type"), F.lit(None).cast("string").alias("error_message"),
+        "timings", "error_type", "error_message",
     )
 
 

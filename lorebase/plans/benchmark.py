@@ -22,8 +22,9 @@ def _asked(questions: DataFrame) -> DataFrame:
 def run(questions: DataFrame, chunks: DataFrame, settings: Settings | None = None, ks: tuple[int, ...] = evaluation.KS, *, contextualize: bool = True, oracle_filter: bool = False, embedder: Embedder = hash_vectors, rewriter: generation.Completer = generation.echo) -> DataFrame:
     """(scope, key, metric, value) of one run over labelled questions; one retrieval at the largest k serves every k.
 
-    All questions run in one plan, so its wall time is spread evenly over them. ``oracle_filter`` searches each question
-    with a single facet in that facet alone.
+    All questions run in one plan, so its wall time is spread evenly over them. A blank question, or one that cannot be
+    embedded, has failed and is counted; the others go on. ``oracle_filter`` searches each question with a single facet
+    in that facet alone.
     """
     settings = settings or Settings()
     asked = _asked(questions)
@@ -32,12 +33,15 @@ def run(questions: DataFrame, chunks: DataFrame, settings: Settings | None = Non
     evaluation.check(ks)
     began = time.perf_counter()
     source = asked if contextualize else asked.withColumn("history", F.lit(None).cast("array<struct<role:string,content:string>>"))
-    prepared = answer.prepare(source.drop("category", "relevant"), settings, embedder, rewriter)
+    good = F.trim(F.coalesce("question", F.lit(""))) != ""
+    prepared = answer.prepare(source.where(good).drop("category", "relevant"), settings, embedder, rewriter, isolate=True)
+    if settings.retrieval_mode != "lexical":
+        prepared = prepared.where(F.col("vector").isNotNull())
     depth = max(ks)
     options = {"mode": settings.retrieval_mode, "top_k": depth, "candidates": max(settings.hybrid_candidates, depth), "rrf_k": settings.rrf_k, "reranker": settings.rerank_model, "rerank_candidates": max(settings.rerank_candidates, depth)}
     if oracle_filter:
         facet = evaluation.question_doc_type(asked.select("query_id", F.explode("relevant").alias("document_id")))
-        keyed = prepared.join(facet, "query_id", "left").persist()
+        keyed = prepared.join(facet, "query_id", "left")
         # a corpus has a handful of facets; each is one search over its own files
         facets = [r[0] for r in keyed.select("doc_type").distinct().orderBy("doc_type").collect()]
         results = None
@@ -46,10 +50,9 @@ def run(questions: DataFrame, chunks: DataFrame, settings: Settings | None = Non
             results = part if results is None else results.unionByName(part)
     else:
         results = retrieval.search(prepared, chunks, **options)
-    results = results.persist()
-    results.count()
     n = asked.count()
-    took = asked.select("query_id", F.lit(1000 * (time.perf_counter() - began) / n).alias("ms"), F.lit(False).alias("failed"))
+    failed = ~F.coalesce(F.col("ok"), F.lit(False))
+    took = asked.select("query_id").join(prepared.select("query_id", F.lit(True).alias("ok")).distinct(), "query_id", "left").select("query_id", F.lit(1000 * (time.perf_counter() - began) / n).alias("ms"), failed.alias("failed"))
     return evaluation.benchmark(asked.select("query_id", "category", "relevant"), results, took, ks)
 
 

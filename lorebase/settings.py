@@ -39,5 +39,5 @@ class Settings:
     def keyed(self) -> dict:
         """Settings that can shape an answer: all but a few that cannot, secrets, paths and the judge's."""
         # Names that never take part in a cache key.
-        unkeyed = {"qdrant_url", "redis_url", "cache_ttl_s", "cache_semantic_threshold", "trace_content", "generation_usd_per_mtok_input", "generation_usd_per_mtok_output", "corpus_dir"}
+        unkeyed = {"cache_ttl_s", "cache_semantic_threshold", "trace_content", "generation_usd_per_mtok_input", "generation_usd_per_mtok_output", "corpus_dir"}
         return {k: v for k, v in asdict(self).items() if k not in unkeyed and not k.endswith(("_api_key", "_path")) and not k.startswith("judge_")}

@@ -16,6 +16,11 @@ TRACE = (
     "user_prompt string, response string, refusal string, cache string, warnings array<string>, usage map<string,int>, cost_usd double, "
     "timings struct<contextualize_ms:double,retrieval_ms:double,context_ms:double,generation_ms:double,total_ms:double>, error_type string, error_message string"
 )
+#: Rows of a benchmark history; what a kind of run does not have is null, and null fields are not published.
+HISTORY = (
+    "label string, timestamp string, git_commit string, config map<string,string>, ks array<int>, questions long, answerable long, unanswerable long, failures long, refusals long, "
+    "aggregate map<string,double>, per_category map<string,map<string,double>>, latency_p50_ms double, latency_p95_ms double"
+)
 # Categories of questions and kinds of cache pairs.
 CATEGORIES = ("conceptual", "code", "exact", "multi_doc", "unanswerable")
 KINDS = ("paraphrase", "near_miss", "unanswerable")

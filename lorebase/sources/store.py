@@ -54,9 +54,10 @@ class Collection:
         return self._write(rows)
 
     def upsert(self, rows: DataFrame) -> int:
-        """Insert or replace by chunk_id; of rows with one chunk_id in ``rows`` any one stays."""
+        """Insert or replace by chunk_id; of rows with one chunk_id in ``rows`` the last one stays."""
         _check_vectors(rows)
-        rows = rows.dropDuplicates(["chunk_id"])
+        last = rows.withColumn("_at", F.monotonically_increasing_id()).groupBy("chunk_id").agg(F.max_by(F.struct(*rows.columns), "_at").alias("r"))
+        rows = last.select("r.*")
         old = self.read()
         return self._write(old.join(rows.select("chunk_id"), "chunk_id", "left_anti").unionByName(rows))
 
@@ -68,6 +69,11 @@ class Collection:
         _check_vectors(rows)
         return self._write(replaced(self.read(), rows))
 
+    def replace_documents(self, rows: DataFrame) -> int:
+        """Put whole documents in the place of what they had before, so chunks of older, longer versions do not survive."""
+        _check_vectors(rows)
+        return self._write(replaced(self.read(), rows))
+
     def stats(self) -> DataFrame:
         return stats(self.read())
 

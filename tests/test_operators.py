@@ -109,24 +109,46 @@ def test_regression_gate(spark):
 
 def test_percentiles(spark):
     df = spark.createDataFrame([(float(v),) for v in (4, 1, 3, 2)], "v double")
-    got = df.agg(evaluation.nearest_rank(F.col("v"), 0.5).alias("a"), evaluation.nearest_rank_sql("v", 0.95).alias("b"), evaluation.linear(F.col("v"), 0.5).alias("c"), evaluation.floor_rank("v", "0.95D").alias("d")).head()
-    assert tuple(got) == (2.0, 4.0, 2.5, 4.0)
-    assert df.limit(0).agg(evaluation.nearest_rank(F.col("v"), 0.5).alias("a")).head()["a"] == 0
+    got = df.agg(evaluation.nearest_rank("v", 0.5).alias("a"), evaluation.nearest_rank("v", 0.95).alias("b"), evaluation.linear(F.col("v"), 0.5).alias("c")).head()
+    assert tuple(got) == (2.0, 4.0, 2.5)
+    assert df.limit(0).agg(evaluation.nearest_rank("v", 0.5).alias("a")).head()["a"] == 0
+    import random
+
+    rnd = random.Random(3)
+    rows = [(k, float(rnd.randrange(9))) for k in "ab" for _ in range(rnd.randrange(1, 60))]
+    got = {r["k"]: r["floor_rank"] for r in evaluation.floor_rank(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", 0.95).collect()}
+    for k in "ab":
+        v = sorted(x for q, x in rows if q == k)
+        assert got[k] == v[min(len(v) - 1, int(0.95 * len(v)))]
+    assert evaluation.floor_rank(df, [], "v", 0.95).head()["floor_rank"] == 4.0
 
 
 def test_compression(spark):
     import numpy as np
 
-    table = {"q": [1, 0], "good. ": [1, 0], "bad. ": [0, 1], "fine. ": [0.9, 0.1], "last.": [0.8, 0.2]}
-    embed = lambda ts: np.array([table.get(t, [0, 1]) for t in ts])
-    assert context.compress_texts("q", ["good. bad. fine. ", "last."], 17, 0, embed) == ["good. […] fine.", None]
-    assert context.compress_texts("q", ["good. bad. "], 100, 0, embed) == ["good. bad. "]
-    assert context.compress_texts("q", ["good. bad. "], 1, 0, embed) == ["good."]
-    pool = spark.createDataFrame([("q", "q", "a#0", 1, "one. two. ")], "query_id string, query string, chunk_id string, rank int, text string")
-    assert context.compress(pool, budget=5).head()["text"] in ("one.", "two.")
+    def embed(ts):
+        table = {"q": [1, 0], "good. ": [1, 0], "bad. ": [0, 1], "fine. ": [0.9, 0.1], "last.": [0.8, 0.2]}
+        return np.array([table.get(t, [0, 1]) for t in ts])
+
+    def run(texts, budget):
+        rows = [("q", "q", f"a#{k}", k + 1, t) for k, t in enumerate(texts)]
+        pool = spark.createDataFrame(rows, "query_id string, query string, chunk_id string, rank int, text string")
+        return {r["chunk_id"]: r["text"] for r in context.compress(pool, budget=budget, embed=embed).collect()}
+
+    assert run(["good. bad. fine. ", "last."], 17) == {"a#0": "good. […] fine."}
+    assert run(["good. bad. "], 100) == {"a#0": "good. bad. "}
+    assert run(["good. bad. "], 1) == {"a#0": "good."}
+    assert context.assemble(["one. two. three. "], {0, 2}) == ["one. […] three."] and context.assemble(["a. b. ", "c."], {2}) == [None, "c."]
+    # gap marks cost: sentences go, worst first, until the whole fits
+    texts = ["aa. bb. cc. dd. ee. "]
+    assert context.trim(texts, [0, 2, 4], 11) == ["aa. […] cc."] and context.trim(texts, [0, 2, 4], 10) == ["aa."]
+    assert all(len(context.trim(texts, [0, 2, 4], n)[0]) <= max(n, 3) for n in range(1, 30))
+    pool = spark.createDataFrame([("q", " ", "a#0", 1, "one. two. ")], "query_id string, query string, chunk_id string, rank int, text string")
     for bad in ({"method": "?"}, {"budget": 0}):
         with pytest.raises(ValueError):
             context.compress(pool, **bad)
+    with pytest.raises(Exception, match="blank query"):
+        context.compress(pool, budget=5).collect()
 
 
 def test_greedy_skips_what_does_not_fit(spark):
@@ -174,8 +196,10 @@ def test_answer_pipeline_and_engine(spark, tmp_path):
     new = docs.where("document_id = 's:d0'").withColumn("text", F.lit("Entirely about pears and plums. " * 10))
     assert engine.replace_document(new) == revision + 1
     assert {r["cache"] for r in engine.ask_cached(q).collect()} == {None}
+    engine.clear_cache()
+    assert {r["cache"] for r in engine.ask_cached(q).collect()} == {None}
     assert engine.store.read().where("document_id = 's:d0' and text like '%apples%'").count() == 0 and engine.store.read().count() <= n
-    assert engine.health() == {"store": True} and engine.metrics().head()["total"] == 0
+    assert engine.health() == {"store": True, "cache": True} and engine.metrics().head()["total"] == 0
     with pytest.raises(ValueError):
         engine.replace_document(new.withColumn("text", F.lit("stub")))
     with pytest.raises(ValueError):
@@ -332,9 +356,198 @@ def test_compression_and_judge_see_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(catalog, "_doc_chunks", lambda *_: docs)
     monkeypatch.setattr(catalog, "_bm25", lambda *_: spark.createDataFrame([(1, "d", 1.0, 1)], "query_id int, chunk_id string, score double, rank long"))
     monkeypatch.setattr(catalog, "_asked", lambda *_: spark.createDataFrame([(1, "end")], "query_id int, query string"))
+    monkeypatch.setattr(catalog, "_t", lambda *_: spark.createDataFrame([(1, "end")], "doc_id int, text string"))
     assert catalog.compress_sentences(spark, "").head()["text"].endswith("The end.")
     seen = []
     monkeypatch.setattr(catalog.evaluation, "judge", lambda df: seen.append(df.head()["contexts"]) or df)
-    monkeypatch.setattr(catalog.evaluation, "mean_scores", lambda df: df)
+    monkeypatch.setattr(catalog.evaluation, "mean_scores", lambda df: df.withColumn("mean", F.lit(0.0)))
     catalog.judge_answers(spark, "")
     assert seen[0][0].endswith("The end.")
+
+
+def test_malformed_text_and_other_files(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes(b"# Caf\xe9 \xff\n\nbody")
+    (tmp_path / "b.png").write_bytes(b"\x89PNG" * 10)
+    got = documents.read_markdown(spark, str(tmp_path), "s").collect()
+    assert [r["document_id"] for r in got] == ["s:a"] and got[0]["text"] == "# Caf\ufffd \ufffd\n\nbody"
+    assert got[0]["title"] == "Caf\ufffd \ufffd"
+
+
+def test_rows_that_share_a_document_id_are_cut_apart(spark):
+    docs = spark.createDataFrame([("s:d", "s", "one text"), ("s:d", "s", "another text"), ("s:e", "s", None), ("s:f", "s", "")], "document_id string, source string, text string")
+    for name in chunking.STRATEGIES:
+        assert sorted(r["text"] for r in chunking.chunk(docs, name).collect()) == ["another text", "one text"]
+
+
+def test_semantic_cuts_use_the_injected_embedder(spark):
+    import numpy as np
+
+    docs = spark.createDataFrame([("s:d", "s", "Red one. Red two. Blue one. Blue two.")], "document_id string, source string, text string")
+    colours = lambda ts: np.array([[1.0, 0.0] if "Red" in t else [0.0, 1.0] for t in ts])
+    got = chunking.chunk(docs, "semantic", 100, 10, colours).orderBy("chunk_index").collect()
+    assert [r["text"].strip() for r in got] == ["Red one. Red two.", "Red two. Blue one. Blue two."]
+
+
+def test_missing_trace_file_and_traces_of_answers(spark, tmp_path):
+    docs = spark.createDataFrame([("s:d", "s", "T", "x", None, "en", "All about apples. " * 20)], "document_id string, source string, title string, doc_type string, url string, language string, text string").withColumn("content_hash", F.sha2("text", 256))
+    engine = Engine(spark, str(tmp_path / "e"), Settings(trace_path=str(tmp_path / "traces"), compress_candidates=5, trace_content=True))
+    assert engine.metrics().head()["total"] == 0
+    engine.index(docs)
+    q = spark.createDataFrame([("q1", "apples"), ("q2", "pears?")], "query_id string, question string")
+    assert engine.ask(q).count() == 2
+    assert {r["cache"] for r in engine.ask_cached(q).collect()} == {None} and {r["cache"] for r in engine.ask_cached(q).collect()} == {"exact"}
+    got = engine.metrics().head()
+    assert (got["total"], got["generated"], got["exact_hits"], got["failed"], got["content_captured"]) == (6, 4, 2, 0, 6)
+    rows = jsonl.read_traces(spark, str(tmp_path / "traces")).where("cache is null").collect()
+    assert all(any(c["used"] for c in r["chunks"]) and r["timings"]["total_ms"] > 0 for r in rows)
+    # a trace that cannot be written is a warning
+    (tmp_path / "file").write_text("x")
+    broken = Engine(spark, str(tmp_path / "e"), Settings(trace_path=str(tmp_path / "file" / "t"), compress_candidates=5))
+    assert broken.ask(q).count() == 2
+    with pytest.raises(ValueError):
+        engine.ask(q.withColumn("question", F.lit(" ")))
+
+
+def test_a_failing_cache_and_a_failing_call_cost_no_other_answer(spark, tmp_path):
+    docs = spark.createDataFrame([("s:d", "s", "T", "x", None, "en", "All about apples. " * 20)], "document_id string, source string, title string, doc_type string, url string, language string, text string").withColumn("content_hash", F.sha2("text", 256))
+
+    def sometimes(system, user):
+        if "pears" in user:
+            raise RuntimeError("down")
+        return ("Apples [1].", 1, 1)
+
+    engine = Engine(spark, str(tmp_path / "e"), Settings(compress_candidates=5), completer=sometimes)
+    engine.index(docs)
+    q = spark.createDataFrame([("q1", "apples"), ("q2", "pears?")], "query_id string, question string")
+    got = {r["query_id"]: r for r in engine.ask(q).collect()}
+    assert got["q1"]["answer"] == "Apples [1]." and got["q1"]["error_type"] is None
+    assert got["q2"]["answer"] is None and (got["q2"]["error_type"], got["q2"]["error_message"]) == ("RuntimeError", "down")
+    engine.ask_cached(q)
+    assert {r["query_id"]: r["cache"] for r in engine.ask_cached(q).collect()} == {"q1": "exact", "q2": None}
+    (tmp_path / "e" / "answers" / "bad.parquet").write_bytes(b"no parquet")
+    got = engine.ask_cached(q).where("query_id = 'q1'").head()
+    assert got["answer"] == "Apples [1]." and got["warnings"] == ["cache_unavailable"] and engine.health()["cache"] is False
+
+
+def test_calls_wait_and_time_out():
+    import time
+
+    asked = []
+
+    def busy():
+        asked.append(1)
+        if len(asked) < 3:
+            raise generation.Cooldown(0.01)
+        return "done"
+
+    assert generation.call(busy) == "done"
+    with pytest.raises(generation.Cooldown):
+        generation.call(lambda: (_ for _ in ()).throw(generation.Cooldown(5000.0)))
+    with pytest.raises(TimeoutError):
+        generation.call(lambda: time.sleep(0.5), timeout_s=0.05)
+
+
+def test_embedding_cache_in_indexing(spark, tmp_path):
+    from lorebase.plans import index
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(ts):
+        seen.add(len(ts))
+        return embedding.hash_vectors(ts)
+
+    docs = spark.createDataFrame([(f"s:{k}", "s", "x", "All about apples. " * 20 + w) for k, w in enumerate(["one.", "two.", "two."])], "document_id string, source string, doc_type string, text string")
+    path = str(tmp_path / "c")
+    assert index.build_index(spark, docs, path, Settings(), cleaned=True, embedder=counting).count() == 3
+    assert seen.value == 2
+    index.build_index(spark, docs, path, Settings(), cleaned=True, embedder=counting)
+    assert seen.value == 2 and index.embedding_cache(spark, path).count() == 2
+
+
+def test_benchmark_counts_failed_questions(spark):
+    from lorebase.plans import benchmark
+
+    c = chunks(spark, ("s:a#0", "x", "apple"), ("s:b#0", "x", "pear"))
+    q = spark.createDataFrame([("1", "apple", "code", ["s:a"]), ("2", " ", "code", ["s:b"]), ("3", "kiwi", "unanswerable", [])], "question_id string, question string, category string, relevant_document_ids array<string>")
+    got = {(r["scope"], r["metric"]): r["value"] for r in benchmark.run(q, c, Settings(retrieval_mode="lexical"), (1,)).collect()}
+    assert got["counts", "failures"] == 1 and got["aggregate", "questions"] == 1 and got["aggregate", "recall@1"] == 1 and got["aggregate", "abstention_rate"] == 1
+    both = benchmark.conversation_runs(q, embedding.embed(c), Settings(), ks=(1,))
+    assert {r["label"] for r in both.select("label").distinct().collect()} == {"raw", "contextualized"}
+    row = benchmark.history_row(benchmark.run(q, c, Settings(retrieval_mode="lexical"), (1,)), "l", Settings()).head()
+    assert row["label"] == "l" and row["git_commit"]
+
+
+def test_error_contract(spark):
+    c = chunks(spark, ("a#0", "x", "apple"))
+    with pytest.raises(ValueError, match="empty corpus"):
+        retrieval.LexicalIndex(c.limit(0))
+    with pytest.raises(ValueError, match="blank"):
+        retrieval.LexicalIndex(c).search(asked(spark, " "), 3)
+    with pytest.raises(ValueError):
+        evaluation.metrics(None, spark.createDataFrame([], "query_id string, document_id string"))
+
+
+def test_many_queries_meet_rows_in_a_grid(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(f"c{k}", v.tolist()) for k, v in enumerate(rng.normal(size=(90, 4)))], "chunk_id string, vector array<double>")
+    q = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(25, 4)))], "query_id int, vector array<double>")
+    want = sorted(map(tuple, retrieval.dense(q, rows, 3).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 40)
+    assert sorted(map(tuple, retrieval.dense(q, rows, 3).collect())) == want and len(want) == 75
+
+
+def test_saved_index_answers_alike(spark, tmp_path):
+    c = chunks(spark, ("a#0", "x", "red apple apple"), ("b#0", "x", "blue sky"), ("c#0", "x", "red"), ("d#0", "x", None))
+    index = retrieval.LexicalIndex(c)
+    saved = index.save(str(tmp_path / "i"))
+    q = spark.createDataFrame([(1, "red apple"), (2, "sky sky")], "query_id int, query string")
+    assert sorted(map(tuple, saved.search(q, 5).collect())) == sorted(map(tuple, index.search(q, 5).collect()))
+
+
+def test_reports(spark, tmp_path):
+    from lorebase import cli
+
+    rows = [("a [1]", None, ["w: 1"], 10, 5, 1.0, None, None, False), ("canary-7f3a", None, [], 20, 5, 2.0, "hijack", "obvious", False), ("x", "model_declined", ["w: 2"], 30, 5, 3.0, "control", "obvious", False), (None, None, [], 0, 0, 0.0, None, None, True)]
+    df = spark.createDataFrame(rows, "answer string, refusal string, warnings array<string>, context_chars int, prompt_tokens int, ms double, attack string, phrasing string, failed boolean")
+    got = evaluation.answer_report(df).head()
+    assert (got["questions"], got["failures"], got["refusals"], got["attack_cases"], got["attack_successes"], got["control_refusals"], got["latency_p95_ms"]) == (3, 1, 1, 1, 1, 1, 3.0)
+    assert (got["reasons"], got["warned"], got["attacks"]) == ({"model_declined": 1}, {"w": 2}, {"hijack/obvious": 1})
+    judged = spark.createDataFrame([("a", {"m": 0.5}), ("a", {"m": 1.0}), ("b", {})], "category string, scores map<string,double>")
+    assert [tuple(r) for r in evaluation.mean_scores(judged, ["category"]).collect()] == [("a", "m", 2, 0.75)]
+    h = spark.createDataFrame([("run-1", 1, "dense", None, None, None, None, 0.5, 0.6, 0.7, 0.8), ("other", 2, None, None, None, None, None, None, None, None, None)], "label string, line int, mode string, rerank string, transform string, compress string, strategy string, `recall@5` double, `recall@10` double, mrr double, `ndcg@5` double")
+    assert [tuple(r) for r in evaluation.summary_table(h, "run-*").collect()] == [("run-1", "dense", "-", "-", "-", "?", 0.5, 0.6, 0.7, 0.8)]
+    cold = spark.createDataFrame([("q", "yes", None), ("r", "no", "model_declined")], "query_id string, answer string, refusal string")
+    replay = spark.createDataFrame([("q", "yes", "exact", 3.0), ("r", "no", None, 90.0)], "query_id string, answer string, cache string, ms double")
+    assert cache.replay_verdict(cold, replay).head()["rule_e"] is True
+    (tmp_path / "h.jsonl").write_text('{"label": "l", "timestamp": "2024-01-01", "questions": 3}\n')
+    cli.main(["build-dashboard", "--history", f"retrieval={tmp_path / 'h.jsonl'}", "--out", str(tmp_path / "d.js")])
+    said = (tmp_path / "d.js").read_text()
+    assert said.startswith("window.BENCHMARK_DATA = ") and '"questions":3' in said
+    (tmp_path / "inj.json").write_text(json.dumps({"question_ids": ["q1", "q2"], "attacks": [{"attack_id": "a", "attack": "hijack", "phrasing": "obvious", "text": "t"}]}))
+    assert jsonl.read_injections(spark, str(tmp_path / "inj.json")).count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lorebase import cli
+
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.md").write_text("# Apples\n\n" + "Apples are red and round. " * 20)
+    common = ["--store", str(tmp_path / "st"), "--collection", "c1"]
+    cli.main(["index", "--source", f"s={tmp_path / 'docs'}=https://h", "--chunk-size", "300", "--chunk-overlap", "50", *common])
+    assert "indexed: " in capsys.readouterr().out
+    cli.main(["ask", "apples?", "--mode", "lexical", *common])
+    assert "Apples are red" in capsys.readouterr().out
+    rows = [{"question_id": f"q{k}", "question": "x?", "category": "code", "relevant_document_ids": ["s:a" if k else "s:zz"]} for k in range(3)]
+    (tmp_path / "q.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    assert cli.main(["validate", str(tmp_path / "q.jsonl"), *common]) == 1
+    out = capsys.readouterr().out
+    assert "fewer than 40" in out and "q0 names the unknown document s:zz" in out and "category exact has 0" in out
+
+
+def test_sink_report(spark):
+    t = spark.createDataFrame([("a", 1), ("b", 1)], "trace_id string, schema_version int")
+    w = spark.createDataFrame([(1.0,), (2.0,)], "ms double")
+    assert traces.sink_report(t, w).head()["rule_o"] is True and traces.sink_report(t.limit(1), w).head()["rule_o"] is False
