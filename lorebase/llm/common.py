@@ -6,18 +6,22 @@ a batch is split and hashed with a handful of numpy passes and no Python object
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that are scanned at once; a longer document is scanned alone.
 BLOCK_BYTES = 1 << 20
+#: Bytes from which a span is hashed alone.
+LONG_SPAN = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,15 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --------------------------------------------------------------------------------------------- shared folder
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one is set only where the setting is absent (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="lorebase-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` removes one once nothing reads it any more."""
 
@@ -79,6 +74,27 @@ def crc_mod(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+#: A key that stands in more than one of so many rows is hot.
+HOT = 1000
+
+
+def attach(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str], total: int, spread: list[str]) -> DataFrame:
+    """``rows`` with the values of ``table`` (one row per key) joined to the left, without a hot key in a shuffle.
+
+    Keys are longs and never null in ``table``. Its column ``n`` counts each key's rows, ``total`` all of them: fewer than
+    HOT keys have more than one of HOT rows, and those are broadcast. Rows of theirs take part in the other join under
+    a key made of ``spread``, which deals them evenly, and a mark that keeps them from matching there.
+    """
+    cols = rows.columns
+    hot = table.where(F.col("n") * HOT > total).select(*[F.col(k).alias(f"_h_{k}") for k in keys], *[F.col(v).alias(f"_hv_{v}") for v in values])
+    cold = table.where(F.col("n") * HOT <= total).select(*[F.col(k).alias(f"_t_{k}") for k in keys], *[F.col(v).alias(f"_tv_{v}") for v in values], F.lit(True).alias("_t_cold"))
+    one = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"_h_{k}") for k in keys], "left")
+    known = F.col(f"_h_{keys[0]}").isNotNull()
+    one = one.withColumns({f"_c_{k}": F.when(known, F.xxhash64(*spread)).otherwise(F.col(k)) for k in keys} | {"_cold": ~known})
+    both = one.join(cold, [*(F.col(f"_c_{k}") == F.col(f"_t_{k}") for k in keys), F.col("_cold") == F.col("_t_cold")], "left")
+    return both.select(*cols, *[F.coalesce(f"_hv_{v}", f"_tv_{v}").alias(v) for v in values])
+
+
 # --------------------------------------------------------------------------------------------- text scanning
 
 _SPACE = np.zeros(256, bool)
@@ -158,7 +174,11 @@ def spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hash of every span from one prefix sum of a polynomial over the block; equal bytes hash alike anywhere."""
+    """64-bit hash of every span from one prefix sum of a polynomial over the block; equal bytes hash alike anywhere.
+
+    A polynomial modulo 2**64 has known collisions of periodic strings from about 1,000 bytes on, so spans of
+    ``LONG_SPAN`` bytes or more are hashed one by one.
+    """
     data = (_LOWER[buf] if lower else buf).astype(np.uint64)
     data += np.uint64(1)
     data *= _power("up", len(data))
@@ -168,7 +188,11 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     h = total[ends] - total[starts]
     h *= _power("down", len(data) + 1)[starts]
     h += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix64(h)
+    mix64(h)
+    for k in np.flatnonzero(ends - starts >= LONG_SPAN).tolist():
+        part = buf[starts[k] : ends[k]]
+        h[k] = xxhash.xxh3_64_intdigest((_LOWER[part] if lower else part).tobytes())
+    return h
 
 
 _SHINGLE = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]

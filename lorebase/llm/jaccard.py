@@ -31,7 +31,7 @@ from . import common as C
 #: Cells of the frequency table, entries of it, and how often a task must meet a shingle to report it.
 CELL_BITS, HEAVY, REPORT = 24, 1 << 19, 3
 #: Shingles that a task counts at once.
-COUNTED = 1 << 22
+COUNTED = 1 << 21
 #: Rows of a list that are skipped or probed together.
 LIST_BLOCK = 64
 #: Expected rows of a list from which it is dealt over several tasks.
@@ -120,14 +120,14 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _profile(seed: int):
-    """(kind 0, doc_id, set id, size, second hash, signature) per document, (kind 1, shingle, count) per shingle that a task repeats."""
-    names = ["kind", "a", "b", "n", "c", "sig"]
+    """(kind 0, doc_id, set id, size, second hash, text hash, signature) per document, (kind 1, shingle, count) per shingle that a task repeats."""
+    names = ["kind", "a", "b", "n", "c", "m", "sig"]
 
     def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
         u, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
         u, n = u[n >= REPORT].view(np.int64), n[n >= REPORT].astype(np.int64)
         zero = pa.array(np.zeros(len(u), np.int64))
-        return pa.record_batch([pa.array(np.ones(len(u), np.int8)), pa.array(u), pa.array(n), zero, zero, pa.nulls(len(u), pa.binary())], names=names)
+        return pa.record_batch([pa.array(np.ones(len(u), np.int8)), pa.array(u), pa.array(n), zero, zero, zero, pa.nulls(len(u), pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -148,7 +148,7 @@ def _profile(seed: int):
                     if size > COUNTED:
                         yield repeated(held)
                         held, size = [], 0
-            yield pa.record_batch([pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(check, pa.int64()), pa.array(sig, pa.binary())], names=names)
+            yield pa.record_batch([pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(check, pa.int64()), batch.column(2), pa.array(sig, pa.binary())], names=names)
         yield repeated(held)
 
     return run
@@ -406,7 +406,7 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 class Join:
     def __init__(self, spark: SparkSession, docs: DataFrame, scratch: C.Scratch):
         self.spark, self.scratch = spark, scratch
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("mark"))
 
     def run(self) -> DataFrame:
         """(sid, group) of all sets with a link."""
@@ -434,9 +434,9 @@ class Join:
         """Class of every document; another seed is taken if two sets get one id."""
         for seed in range(64):
             self.seed = seed
-            profile = self.scratch.save(self.docs.mapInArrow(_profile(seed), "kind byte, a long, b long, n long, c long, sig binary"), "profile")
+            profile = self.scratch.save(self.docs.mapInArrow(_profile(seed), "kind byte, a long, b long, n long, c long, m long, sig binary"), "profile")
             self.profile = profile
-            self.members = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), "n")
+            self.members = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), "n", F.col("m").alias("mark"))
             found = profile.where("kind = 0 and n > 0").groupBy(F.col("b").alias("sid")).agg(
                 F.min("a").alias("first"), F.max("n").alias("n"), (F.min("c") < F.max("c")).alias("clash"), F.count("a").alias("docs"), F.any_value("sig").alias("sig")
             )
@@ -609,20 +609,23 @@ class Join:
         return label
 
 
-def classes(spark: SparkSession, docs: DataFrame, scratch: C.Scratch | None = None) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+def classes(spark: SparkSession, docs: DataFrame, scratch: C.Scratch | None = None, with_text: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id; ``with_text`` adds mark (xxhash64 of the text) and group.
 
-    Null and empty texts have no shingles and are their own component, as is a row with a null doc_id that links with
-    nothing. Repeated rows are in one component. An empty table gives no rows; other columns are not touched.
+    Null and empty texts have no shingles (group null) and are their own component, as is a row with a null doc_id that
+    links with nothing. Repeated rows are in one component. An empty table gives no rows; other columns are not touched.
     """
     scratch = scratch or C.Scratch(spark, "jaccard")
     join = Join(spark, docs, scratch)
     groups = join.run()
     groups = _maybe_broadcast(groups.withColumnRenamed("sid", "gs"), join.n_grouped)
-    rows = join.members.join(groups, F.col("sid") == F.col("gs"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("group", "sid")).alias("label"))
+    rows = join.members.join(groups, F.col("sid") == F.col("gs"), "left").select("doc_id", F.col("n").alias("n_shingles"), "mark", F.when(F.col("n") > 0, F.coalesce("group", "sid")).alias("label"))
     rows = scratch.save(rows, "labelled")
-    least = rows.where("label is not null").groupBy(F.col("label").alias("l2")).agg(F.min("doc_id").alias("least"))
-    return rows.join(least, F.col("label") == F.col("l2"), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    least = scratch.save(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"), "least")
+    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    out = C.attach(rows, least, ["label"], ["least"], total, ["doc_id", "mark"])
+    extra = ["mark", F.col("label").alias("group")] if with_text else []
+    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), *extra)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,19 @@
 """Line dedup by pairwise alignment.
 
-Every line of a document that an earlier document (by doc_id) has too is traced to the first document that holds it.
-Runs of such lines with ``LEAST_WORDS`` words or more in a row make the document overlap with those first documents;
-shorter runs cannot hold a block and pair no documents. As the first documents of single lines need not share a block
-that a later one has, each shortest window of ``LEAST_WORDS`` words that starts or ends at a line is traced to its first
-document too; every line of a shared block is in such a window of the block. Each overlapping pair is aligned with patience diff (lines that
-are unique in both, longest increasing chain, recursion between the anchors), and aligned blocks of ``LEAST_WORDS``
-words or more are deleted from the later document; this repeats on what is left until no block remains, so moved and
-doubled passages go as well. The first occurrence of every line in the table stays.
-
-A pair needs no more than one first document per line and window, so a line that many documents share makes as many
-pairs as documents, not their square.
+Lines that two documents or more have are weighed by the number of documents that have them. Documents overlap if they
+share a rare line in shared surroundings: each shortest window of ``LEAST_WORDS`` words of consecutive shared lines that
+starts or ends at a line is named by its rarest line, and documents meet under (rarest line, window). Every line of a
+shared block of ``LEAST_WORDS`` words or more is in such a window of the block, so no block is missed, however frequent
+its lines are. Under each name a document meets the first one (by doc_id) that holds the window; a line that many
+documents share makes as many pairs as documents, not their square.
+
+Each overlapping pair is aligned with patience diff (lines that are unique in both, longest increasing chain, recursion
+between the anchors), and aligned blocks of ``LEAST_WORDS`` words or more are deleted from the later document; this
+repeats on what is left until no block remains, so moved and doubled passages go as well. Lines are aligned by two
+64-bit hashes. The first occurrence of every line in the table stays.
+
+Lines and windows that stand in more than one of ``common.HOT`` rows are fewer than that, so what is known of them is
+broadcast; the others are joined by shuffle, and no key of those is hot.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from . import common as C
 #: Words of the shortest aligned block that is deleted.
 LEAST_WORDS = 50
 #: Bytes of the table of deletions (ids and line numbers) up to which it is broadcast to the texts; beyond, it is joined by shuffle.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
+#: Seed of the second hash of a line.
+SECOND = 40503
 
 
 def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -171,20 +176,28 @@ def common_blocks(x: list[int], words: list[int], y: list[int], least: int = LEA
 def _align(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, w, y = (batch.column(k).to_pylist() for k in (1, 2, 3))
-            gone = [common_blocks(a, b, c, least) for a, b, c in zip(x, w, y, strict=True)]
+            x, x2, w, y, y2 = (batch.column(k).to_pylist() for k in range(1, 6))
+            gone = []
+            for a, a2, b, c, c2 in zip(x, x2, w, y, y2, strict=True):
+                number = {line: k for k, line in enumerate(zip(c, c2, strict=True))}
+                # lines that the first document lacks are told apart by their place
+                mine = [number.get(line, -1 - i) for i, line in enumerate(zip(a, a2, strict=True))]
+                gone.append(common_blocks(mine, b, [number[line] for line in zip(c, c2, strict=True)], least))
             yield pa.record_batch([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["key", "gone"])
 
     return run
 
 
 def _windows(least: int):
-    """(key, hash) of the shortest windows of ``least`` words or more that start, and that end, at each shared line."""
+    """(key, rare, hash) of the shortest windows of ``least`` words or more that start, and that end, at each shared line.
+
+    ``rare`` is the line of the window that the fewest documents have (of equals the smallest hash).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
-            p, h, w = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten())
+            p, h, w, df = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten())
             n = len(p)
             doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
             cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(p) != 1)) + 1
@@ -201,33 +214,42 @@ def _windows(least: int):
             terms = C.mix64(h.view(np.uint64).copy()) * C._power("up", n)
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
             window = C.mix64((total[ends] - total[starts]) * C._power("down", n + 1)[starts] + (ends - starts).astype(np.uint64))
+            # place in the order from rare to frequent; the least place of each window
+            order = np.lexsort((h, df))
+            place = np.empty(n, np.int64)
+            place[order] = np.arange(n)
+            edges = np.stack([starts, np.minimum(ends, n - 1)], 1).ravel()
+            least_place = np.minimum.reduceat(place, edges)[::2] if len(starts) else place[:0]
+            # a window that ends with the last line leaves that line out of its slice
+            least_place = np.minimum(least_place, place[np.minimum(ends, n) - 1]) if len(starts) else least_place
             key = batch.column(0).take(pa.array(doc[np.minimum(starts, n - 1)]))
-            yield pa.record_batch([key, pa.array(window.view(np.int64))], names=["key", "window"])
+            yield pa.record_batch([key, pa.array(h[order[least_place]]), pa.array(window.view(np.int64))], names=["key", "rare", "window"])
 
     return run
 
 
 def deletions(spark: SparkSession, docs: DataFrame, scratch: C.Scratch, least: int = LEAST_WORDS) -> DataFrame:
     """(key, gone): numbers of the deleted lines (counted among all lines) of each document with deletions."""
+    key_t = docs.select(_key().alias("key")).schema["key"].dataType.simpleString()
     split = docs.select(_key().alias("key"), F.split("text", "\n").alias("l")).where(F.col("l").isNotNull())
-    split = split.select("key", F.filter(F.transform("l", lambda s, i: F.struct(F.xxhash64(F.rtrim(s)).alias("h"), C.n_words(s).cast("int").alias("w"), i.alias("i"))), lambda s: s["w"] > 0).alias("l")).where(F.size("l") > 0)
+    line = lambda s, i: F.struct(F.xxhash64(F.rtrim(s)).alias("h"), C.n_words(s).cast("int").alias("w"), i.alias("i"), F.xxhash64(F.lit(SECOND), F.rtrim(s)).alias("g"))
+    split = split.select("key", F.filter(F.transform("l", line), lambda s: s["w"] > 0).alias("l")).where(F.size("l") > 0)
     lines = scratch.save(split.dropDuplicates(["key"]), "lines")
     each = lines.select("key", F.posexplode("l").alias("p", "s")).select("key", "p", F.col("s.h").alias("h"), F.col("s.w").alias("w"))
-    first = each.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select(F.col("h").alias("h1"), "first")
-    shared = scratch.save(each.join(first, F.col("h") == F.col("h1")).select("key", "p", "h", "w", "first"), "shared")
-    again = shared.where(F.col("first") < F.col("key")).select("key", "p", "w", "first")
-    row = F.row_number().over(Window.partitionBy("key").orderBy("p"))
-    runs = again.withColumn("run", F.col("p") - row)
-    runs = runs.withColumn("words", F.sum("w").over(Window.partitionBy("key", "run")))
-    key_t = shared.schema["key"].dataType.simpleString()
-    rows = shared.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("p", "h", "w"))).alias("l"))
-    windows = scratch.save(rows.mapInArrow(_windows(least), f"key {key_t}, window long"), "windows")
-    holder = windows.groupBy("window").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select(F.col("window").alias("w1"), "first")
-    held = windows.join(holder, (F.col("window") == F.col("w1")) & (F.col("first") < F.col("key"))).select("key", "first")
-    pairs = scratch.save(runs.where(F.col("words") >= least).select("key", "first").union(held).distinct(), "pairs")
-    x = lines.select(F.col("key").alias("k1"), F.col("l.h").alias("x"), F.col("l.w").alias("w"))
-    y = lines.select(F.col("key").alias("k2"), F.col("l.h").alias("y"))
-    both = pairs.join(x, F.col("key") == F.col("k1")).join(y, F.col("first") == F.col("k2")).select("key", "x", "w", "y")
+    counts = each.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n")).where("first < last")
+    counts = scratch.save(counts.select("h", "n"), "counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    shared = C.attach(each, counts, ["h"], ["n"], total, ["key", "p"]).where(F.col("n").isNotNull()).select("key", "p", "h", "w", F.col("n").alias("df"))
+    rows = shared.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("p", "h", "w", "df"))).alias("l"))
+    windows = scratch.save(rows.mapInArrow(_windows(least), f"key {key_t}, rare long, window long").distinct(), "windows")
+    holder = windows.groupBy("rare", "window").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    holder = scratch.save(holder, "holders")
+    total = holder.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    held = C.attach(windows, holder, ["rare", "window"], ["first"], total, ["key"]).where(F.col("first") < F.col("key"))
+    pairs = scratch.save(held.select("key", "first").distinct(), "pairs")
+    x = lines.select(F.col("key").alias("k1"), F.col("l.h").alias("x"), F.col("l.g").alias("x2"), F.col("l.w").alias("w"))
+    y = lines.select(F.col("key").alias("k2"), F.col("l.h").alias("y"), F.col("l.g").alias("y2"))
+    both = pairs.join(x, F.col("key") == F.col("k1")).join(y, F.col("first") == F.col("k2")).select("key", "x", "x2", "w", "y", "y2")
     gone = both.mapInArrow(_align(least), f"key {key_t}, gone array<int>").where(F.size("gone") > 0)
     gone = gone.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("g"))
     number = lines.select(F.col("key").alias("k1"), F.col("l.i").alias("i"))
@@ -240,12 +262,13 @@ def _key():
     return F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64("text").alias("t"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, scratch: C.Scratch | None = None, least: int = LEAST_WORDS) -> DataFrame:
-    """All rows and columns of ``docs``, with deleted blocks taken out of ``text``, and ``gone_lines``, the deleted lines' numbers.
+def dedup_lines(spark: SparkSession, docs: DataFrame, scratch: C.Scratch | None = None, least: int = LEAST_WORDS, gone_as: str = "gone_lines") -> DataFrame:
+    """All rows and columns of ``docs``, with deleted blocks taken out of ``text``, and ``gone_as``, the deleted lines' numbers.
 
     Null and empty texts stay as they are. Repeated rows (same doc_id and text) are one document and lose the same
     lines. Trailing spaces do not count in comparisons. Texts without a deletion are not changed at all; a text that
-    loses all its lines is empty. ``n_chars`` is not touched. A column of ``docs`` named gone_lines is replaced.
+    loses all its lines is empty. ``n_chars`` is not touched. A column of ``docs`` named as ``gone_as`` is replaced; name
+    another one to keep it.
     """
     scratch = scratch or C.Scratch(spark, "lines")
     gone = deletions(spark, docs.select("doc_id", "text"), scratch, least).select(F.col("key").alias("__key"), F.col("gone").alias("__gone"))
@@ -255,7 +278,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, scratch: C.Scratch | None
     joined = docs.join(gone, _key() == F.col("__key"), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda s, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.when(F.regexp_count(left, F.lit(C.WORD)) > 0, left).otherwise(F.lit("")))
-    return joined.withColumn("text", text).withColumn("gone_lines", F.coalesce("__gone", F.array().cast("array<int>"))).select(*[c for c in docs.columns if c != "gone_lines"], "gone_lines")
+    none = F.array().cast("array<int>")
+    return joined.withColumn("text", text).withColumn(gone_as, F.coalesce("__gone", none)).select(*[c for c in docs.columns if c != gone_as], gone_as)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
