@@ -21,8 +21,6 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The network learns from the documents with a language whose crc32(doc_id) mod 4 is not 2.
     """
     model = langid.train(docs.where(common.crc_mod(F.col("doc_id"), 4) != 2))
-    if not model["langs"]:
-        return docs
     names = docs.withColumnsRenamed({c: f"__{c}" for c in ("lang_pred", "score") if c in docs.columns})
     kept = langid.predict(names, model).where(~langid.rejected(F.col("lang_pred"), F.col("score"))).drop("lang_pred", "score")
     return kept.withColumnsRenamed({"__lang_pred": "lang_pred", "__score": "score"}).select(*docs.columns)
@@ -30,8 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated blocks out of later documents; documents that are left without a word by that go."""
-    out = lines.dedup_lines(spark, docs)
-    changed = F.size("gone_lines") > 0
+    out = lines.dedup_lines(spark, docs, gone_as="__gone_lines")
+    changed = F.size("__gone_lines") > 0
     out = out.where(~changed | (F.col("text") != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
@@ -39,11 +37,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of linked documents, and all that link with none."""
-    found = jaccard.classes(spark, docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    """Keep the document with the smallest id of each group of linked documents, and all that link with none.
+
+    Rows are told apart by id and text: of rows that agree in both one stays, and a row without an id stays if nothing
+    with a smaller id (any id) links with it; of several rows without an id in one group the one with the least text hash.
+    """
+    mark = F.xxhash64("text")
+    named = docs.withColumn("__mark", mark).withColumn("__id", F.col("doc_id").cast("long"))
+    found = jaccard.classes(spark, docs, with_text=True)
+    best = found.groupBy(F.col("group").alias("__g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark")).alias("b"))
+    kept = found.where("group is null").select("doc_id", "mark").union(best.where("__g is not null").select("b.doc_id", "b.mark")).distinct().toDF("__kid", "__kmark")
+    out = named.join(kept, F.col("__id").eqNullSafe(F.col("__kid")) & F.col("__mark").eqNullSafe(F.col("__kmark")), "left_semi").drop("__mark", "__id")
+    repeated = not docs.groupBy("doc_id", mark.alias("m")).count().where("count > 1").isEmpty()
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
 
