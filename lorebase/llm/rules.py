@@ -3,15 +3,21 @@
 Each document's statistics are turned into a vector; per (language, source) a minimum-covariance-determinant estimate
 of centre and spread is fitted, and a document is rejected if its squared Mahalanobis distance exceeds ``CUT``.
 
-The estimate is distributed: it starts from each group's medians and median deviations and takes concentration steps.
-A step measures every row's distance, finds the half with the smallest distances from a histogram of distances per
-group, and takes that half's mean and covariance from sums of products. Rows never meet in one task; what is gathered
-per group is a histogram of ``BINS`` bins and a dozen sums. Groups with fewer than ``LEAST_ROWS`` rows are pooled with
-the others of their language, and languages that stay below it with each other.
+The estimate is the fast one, from several deterministic starts: medians and median deviations of the features; the
+same with the correlations that their rank-like signs show; the plain mean and covariance; and mean and covariance of
+the half nearest to the medians. Each start takes concentration steps (measure every row, keep the half with the
+smallest distances, take its mean and covariance), all starts side by side; a start has ended when a step does not
+lower its determinant any more. The start that ends with the least determinant is the group's estimate.
+
+It is distributed: the half is found from a histogram of distances per group and start, its mean and covariance from
+sums of products. Rows never meet in one task; what is gathered per group is histograms of ``BINS`` bins and some dozen
+sums. Groups with fewer than ``LEAST_ROWS`` rows, for which a covariance of half of them says little, are pooled with the
+others of their language, and languages that stay below it with each other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +30,39 @@ from pyspark.sql.window import Window
 from . import common as C
 
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
-LEAST_ROWS, STEPS, BINS, HALF = 200, 4, 1024, 0.5
-#: (language, source) pairs up to which what is known of the groups (under 400 bytes each) is broadcast to the rows;
-#: beyond, rows and groups are joined by shuffle.
-BROADCAST_GROUPS = 50_000
-#: Squared distances above this are outliers (far in the tail of chi-square with 4 degrees of freedom).
-CUT = 70.0
-#: Least standard deviation of each feature: smaller differences are never a reason to reject.
+#: Least standard deviation of each feature: smaller differences are never a reason to reject. They stand for what a
+#: clean text's mean word length (log), symbols, repeated lines and repeated words vary by from text to text.
 FLOORS = (0.25, 0.03, 0.1, 0.1)
 N_FEATURES = len(FLOORS)
+#: Rows of a group of its own (ten for each of the 14 parameters of a centre and a covariance), bins of a histogram, the
+#: share of rows that a step keeps, and steps after which a start counts as settled in any case.
+LEAST_ROWS, BINS, HALF, MOST_STEPS = 140, 4096, 0.5, 30
+#: A determinant that falls by less than this share has settled.
+SETTLED = 1e-6
+STARTS = 4
+#: Chance that a document of a normal group is rejected: of ten thousand corpora of 10**10 documents one loses a document.
+TAIL = 1e-14
+#: (language, source) pairs up to which what is known of the groups (under 2 KB each) is broadcast to the rows; beyond,
+#: rows and groups are joined by shuffle.
+BROADCAST_GROUPS = 10_000
+
+
+def chi_square_quantile(tail: float, dof: int = N_FEATURES) -> float:
+    """The value that a chi-square variable of an even number of degrees of freedom exceeds with this probability."""
+    beyond = lambda x: math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(dof // 2))
+    low, high = 0.0, 2000.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if beyond(mid) > tail else (low, mid)
+    return high
+
+
+#: Squared distances above this are outliers.
+CUT = chi_square_quantile(TAIL)
+#: Squared distance that half of a normal group lies within; the half's covariance is smaller than the whole's by
+#: P(chi-square with two more degrees of freedom <= this) / HALF.
+MEDIAN = chi_square_quantile(1 - HALF)
+CONSISTENCY = HALF / (1 - math.exp(-MEDIAN / 2) * sum((MEDIAN / 2) ** k / math.factorial(k) for k in range(N_FEATURES // 2 + 1)))
 _STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -125,34 +155,60 @@ def _distance(x: Column, centre: Column, inverse: Column) -> Column:
 
 
 def _bin(distance: Column) -> Column:
-    """Bin of a squared distance on a logarithmic scale."""
-    return F.least(F.greatest(F.floor(F.log(distance + 1e-6) * 32 + 512), F.lit(0)), F.lit(BINS - 1)).cast("int")
+    """Bin of a squared distance on a logarithmic scale; 0 for what lies next to the centre."""
+    return F.least(F.greatest(F.floor(F.log(distance + 1e-9) * 128 + 2048), F.lit(0)), F.lit(BINS - 1)).cast("int")
 
 
-def _half(rows: DataFrame, value: Column, share: float) -> DataFrame:
-    """Per group the first bin at which ``share`` of the rows is reached."""
-    n = rows.groupBy("grp", value.alias("bin")).count()
-    h = n.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("bin", "count"))).alias("h"), F.sum("count").alias("n"))
+def _edges(rows: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
+    """(by, edge): the first bin at which ``share`` of a group's rows is reached."""
+    n = rows.groupBy(*by, value).count()
+    h = n.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(value, "count"))).alias("h"), F.sum("count").alias("n"))
     start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).alias("at"))
-    step = lambda a, x: F.struct((a["seen"] + x["count"]).alias("seen"), F.when((a["at"] < 0) & (a["seen"] + x["count"] >= F.ceil(F.col("n") * share)), x["bin"]).otherwise(a["at"]).alias("at"))
-    return h.select(F.col("grp").alias("g2"), F.aggregate("h", start, step)["at"].alias("edge"))
+    step = lambda a, x: F.struct((a["seen"] + x["count"]).alias("seen"), F.when((a["at"] < 0) & (a["seen"] + x["count"] >= F.ceil(F.col("n") * share)), x[value]).otherwise(a["at"]).alias("at"))
+    return h.select(*by, F.aggregate("h", start, step)["at"].alias("edge"))
 
 
-def _estimate(sums: pd.Series) -> pd.DataFrame:
-    """Centre and inverse covariance from (n, sums, products); rounded, so that the order of adding doesn't show."""
+def covariance(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from (n, sums, products)."""
+    mean = sums[1 : 1 + N_FEATURES] / sums[0]
+    cov = np.zeros((N_FEATURES, N_FEATURES))
+    cov[np.triu_indices(N_FEATURES)] = sums[1 + N_FEATURES :] / sums[0]
+    cov = np.triu(cov) + np.triu(cov, 1).T
+    return mean, cov - np.outer(mean, mean)
+
+
+def model_of(mean: np.ndarray, cov: np.ndarray) -> tuple[list[float], list[float], float]:
+    """Centre, flat inverse and log-determinant of a spread with the floors added; rounded, so that the order of adding doesn't show."""
+    cov = cov + np.diag(np.square(FLOORS))
+    tidy = lambda v: [float(f"{x:.9g}") for x in np.ravel(v)]
+    return tidy(mean), tidy(np.linalg.inv(cov)), float(f"{np.linalg.slogdet(cov)[1]:.9g}")
+
+
+_MODEL = "centre array<double>, inverse array<double>, logdet double"
+
+
+def _concentrated(sums: pd.Series) -> pd.DataFrame:
+    """Model of the kept half, its covariance brought to that of the whole."""
+    found = [covariance(np.asarray(s, float)) for s in sums]
+    return pd.DataFrame([model_of(m, CONSISTENCY * c) for m, c in found], columns=["centre", "inverse", "logdet"])
+
+
+def _plain(sums: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([model_of(*covariance(np.asarray(s, float))) for s in sums], columns=["centre", "inverse", "logdet"])
+
+
+def _signed(centre: pd.Series, spread: pd.Series, sums: pd.Series) -> pd.DataFrame:
+    """Model from medians, median deviations and the correlations of the signs around the medians (sine of a quarter turn of them)."""
     out = []
-    floor = np.square(FLOORS)
-    for s in sums:
-        s = np.asarray(s, float)
-        n, mean = s[0], s[1 : 1 + N_FEATURES] / s[0]
-        cov = np.zeros((N_FEATURES, N_FEATURES))
-        cov[np.triu_indices(N_FEATURES)] = s[1 + N_FEATURES :] / n
-        cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(mean, mean)
-        # half of a normal sample has a smaller spread than the whole: consistency factor for 4 dimensions
-        cov = 1.8 * cov + np.diag(floor)
-        inv = np.linalg.inv(cov)
-        out.append(([float(f"{v:.9g}") for v in mean], [float(f"{v:.9g}") for v in inv.ravel()]))
-    return pd.DataFrame(out, columns=["centre", "inverse"])
+    for c, d, s in zip(centre, spread, sums, strict=True):
+        _, agree = covariance(np.asarray(s, float))
+        agree = agree + 1e-9 * np.eye(N_FEATURES)
+        scale = np.sqrt(np.diag(agree))
+        corr = np.sin(np.pi / 2 * np.clip(agree / np.outer(scale, scale), -1, 1))
+        w, v = np.linalg.eigh(corr)
+        corr = (v * np.maximum(w, 1e-3)) @ v.T
+        out.append(model_of(np.asarray(c, float), corr * np.outer(d, d)))
+    return pd.DataFrame(out, columns=["centre", "inverse", "logdet"])
 
 
 def _moments(x: Column) -> Column:
@@ -181,7 +237,7 @@ def _hint(of_groups: DataFrame, few: bool) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, scratch: C.Scratch | None = None) -> DataFrame:
-    """One row per document: its statistics, base_failed, distance, kept.
+    """One row per document: its statistics, base_failed, kept, distance, grp.
 
     Null, empty and very short texts fail the base rules. Rows that fail them take no part in the estimates and are not
     kept. Repeated rows are judged alike. An empty table gives no rows; other columns are not touched.
@@ -191,38 +247,59 @@ def quality_rules(spark: SparkSession, docs: DataFrame, scratch: C.Scratch | Non
     stats = scratch.save(text.mapInArrow(_statistics, _STATS).withColumn("base_failed", base_failed()), "stats")
     grouped, few = groups(stats, scratch)
     rows = scratch.save(grouped.withColumn("x", F.array(*features())), "vectors")
-    used = rows.where(~F.col("base_failed")).select("grp", "x")
-    model = _start(used, few)
-    for _ in range(STEPS):
-        model = _concentrate(used, scratch.save(model, "model"), few)
-    model = scratch.save(model, "model")
+    model = estimate(rows.where(~F.col("base_failed")).select("grp", "x"), few, scratch)
     scored = rows.join(_hint(model.withColumnRenamed("grp", "g2"), few), F.col("grp") == F.col("g2"), "left").withColumn("distance", _distance(F.col("x"), F.col("m.centre"), F.col("m.inverse")))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT)
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance", "grp")
 
 
-def _start(used: DataFrame, few: bool) -> DataFrame:
-    """Medians and spreads of each feature, from histograms over a fixed grid."""
-    long = used.select("grp", F.posexplode("x").alias("k", "v"))
-    keyed = long.select(F.concat_ws("\u0001", F.col("k").cast("string"), "grp").alias("grp"), F.floor(F.col("v") * 256).cast("int").alias("b"), "k", F.col("grp").alias("g"))
-    mid = _half(keyed, F.col("b"), 0.5)
-    near = keyed.join(_hint(mid, few), F.col("grp") == F.col("g2")).withColumn("dev", F.abs(F.col("b") - F.col("edge"))).select("grp", "dev")
-    mad = _half(near, F.col("dev"), 0.5).withColumnsRenamed({"g2": "g3", "edge": "mad"})
-    k = F.split("g2", "\u0001", 2)
-    both = mid.join(mad, F.col("g2") == F.col("g3")).select(k[1].alias("grp"), k[0].cast("int").alias("k"), ((F.col("edge") + 0.5) / 256).alias("c"), (F.col("mad") * 1.4826 / 256).alias("s"))
-    floor = F.array(*[F.lit(f * f) for f in FLOORS])
+def estimate(used: DataFrame, few: bool, scratch: C.Scratch) -> DataFrame:
+    """(grp, m): each group's estimate of the least determinant over all starts."""
+    model = scratch.save(_concentrate(used, scratch.save(_starts(used, few, scratch), "starts"), few), "model")
+    for _ in range(MOST_STEPS):
+        # a start that a step does not improve has ended and keeps its model
+        new = _concentrate(used, model, few).toDF("g0", "s0", "new")
+        both = model.join(new, (F.col("grp") == F.col("g0")) & (F.col("start") == F.col("s0")), "left")
+        better = F.coalesce(F.col("m.logdet") - F.col("new.logdet") > SETTLED, F.lit(False))
+        model = scratch.save(both.select("grp", "start", F.when(better, F.col("new")).otherwise(F.col("m")).alias("m"), better.alias("better")), "model")
+        if model.where("better").isEmpty():
+            break
+        model = model.drop("better")
+    return model.groupBy("grp").agg(F.min_by("m", F.struct("m.logdet", "start")).alias("m"))
+
+
+def _starts(used: DataFrame, few: bool, scratch: C.Scratch) -> DataFrame:
+    """(grp, start, m) of the first models."""
+    # medians and deviations from histograms over a fixed grid
+    grid = used.select("grp", F.posexplode("x").alias("k", "v")).select("grp", "k", F.floor(F.col("v") * 1024).cast("int").alias("b"))
+    mid = scratch.save(_edges(grid, ["grp", "k"], "b", 0.5), "medians")
+    near = grid.join(_hint(mid.toDF("g2", "k2", "mid"), few), (F.col("grp") == F.col("g2")) & (F.col("k") == F.col("k2"))).select("grp", "k", F.abs(F.col("b") - F.col("mid")).alias("dev"))
+    mad = _edges(near, ["grp", "k"], "dev", 0.5).toDF("g3", "k3", "mad")
+    both = mid.join(mad, (F.col("grp") == F.col("g3")) & (F.col("k") == F.col("k3"))).select("grp", "k", ((F.col("edge") + 0.5) / 1024).alias("c"), (F.col("mad") * 1.4826 / 1024).alias("s"))
     listed = both.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("k", "c", "s"))).alias("a"))
-    inverse = F.array(*[(1 / (F.pow(F.col("a")[i]["s"], 2) + floor[i]) if i == j else F.lit(0.0)) for i in range(N_FEATURES) for j in range(N_FEATURES)])
-    return listed.select("grp", F.struct(F.transform("a", lambda v: v["c"]).alias("centre"), inverse.alias("inverse")).alias("m"))
+    robust = scratch.save(listed.select("grp", F.transform("a", lambda v: v["c"]).alias("c"), F.transform("a", lambda v: v["s"]).alias("s")), "robust")
+    at = used.join(_hint(robust.withColumnRenamed("grp", "g4"), few), F.col("grp") == F.col("g4"))
+    sign = F.array(*[F.signum(F.round(F.col("x")[i] - F.col("c")[i], 3)) for i in range(N_FEATURES)])
+    far = F.aggregate(F.zip_with(F.zip_with("x", "c", lambda x, c: x - c), F.zip_with("s", F.array(*map(F.lit, FLOORS)), lambda s, f: s * s + f * f), lambda d, v: d * d / v), F.lit(0.0), lambda t, v: t + v)
+    parts = at.select("grp", "x", sign.alias("sign"), _bin(far).alias("bin"))
+    edge = _edges(parts, ["grp"], "bin", HALF).toDF("g5", "edge")
+    inner = parts.join(_hint(edge, few), F.col("grp") == F.col("g5")).where(F.col("bin") <= F.col("edge"))
+    of_half = inner.groupBy("grp").agg(_moments(F.col("x")).alias("half"))
+    sums = parts.groupBy("grp").agg(_moments(F.col("x")).alias("sums"), _moments(F.col("sign")).alias("signs"))
+    wide = robust.join(_hint(sums.withColumnRenamed("grp", "g6"), few), F.col("grp") == F.col("g6")).join(_hint(of_half.withColumnRenamed("grp", "g7"), few), F.col("grp") == F.col("g7"))
+    plain, signed, half = F.pandas_udf(_plain, _MODEL), F.pandas_udf(_signed, _MODEL), F.pandas_udf(_concentrated, _MODEL)
+    eye = F.array(*[F.lit(float(v)) for v in [len(FLOORS) * 1.0, *[0.0] * N_FEATURES, *[v for i in range(N_FEATURES) for v in [float(N_FEATURES), *[0.0] * (N_FEATURES - 1 - i)]]]])
+    models = wide.select("grp", F.array(signed("c", "s", eye), signed("c", "s", "signs"), plain("sums"), half("half")).alias("models"))
+    return models.select("grp", F.posexplode("models").alias("start", "m"))
 
 
 def _concentrate(used: DataFrame, model: DataFrame, few: bool) -> DataFrame:
-    """Mean and covariance of the half nearest to the present estimate."""
-    at = used.join(_hint(model.withColumnRenamed("grp", "g1"), few), F.col("grp") == F.col("g1")).select("grp", "x", _bin(_distance(F.col("x"), F.col("m.centre"), F.col("m.inverse"))).alias("bin"))
-    edge = _half(at, F.col("bin"), HALF)
-    inner = at.join(_hint(edge, few), F.col("grp") == F.col("g2")).where(F.col("bin") <= F.col("edge"))
-    estimate = F.pandas_udf(_estimate, "struct<centre:array<double>,inverse:array<double>>")
-    return inner.groupBy("grp").agg(_moments(F.col("x")).alias("sums")).select("grp", estimate("sums").alias("m"))
+    """(grp, start, m): mean and covariance of the half nearest to each present model."""
+    at = used.join(_hint(model.withColumnRenamed("grp", "g1"), few), F.col("grp") == F.col("g1"))
+    at = at.select("grp", "start", "x", _bin(_distance(F.col("x"), F.col("m.centre"), F.col("m.inverse"))).alias("bin"))
+    edge = _edges(at, ["grp", "start"], "bin", HALF).toDF("g2", "s2", "edge")
+    inner = at.join(_hint(edge, few), (F.col("grp") == F.col("g2")) & (F.col("start") == F.col("s2"))).where(F.col("bin") <= F.col("edge"))
+    return inner.groupBy("grp", "start").agg(_moments(F.col("x")).alias("sums")).select("grp", "start", F.pandas_udf(_concentrated, _MODEL)("sums").alias("m"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -313,6 +313,44 @@ def test_rules(spark):
     assert rules.quality_rules(spark, frame(spark, [])).count() == 0
 
 
+def test_least_determinant_equals_brute_force(spark):
+    from itertools import combinations
+
+    from lorebase.llm.common import Scratch
+
+    rng = np.random.default_rng(12)
+    for n, k in ((14, 3), (16, 5)):
+        x = np.concatenate([rng.normal([1.5, 0.2, 0.3, 0.3], [0.3, 0.1, 0.15, 0.2], (n - k, 4)), rng.normal([4.0, 2.0, 2.0, 3.0], 0.2, (k, 4))])
+        # the half whose covariance (brought to that of the whole, with the floors) has the least determinant
+        best = min((np.linalg.slogdet(rules.CONSISTENCY * np.cov(x[list(h)].T, bias=True) + np.diag(np.square(rules.FLOORS)))[1], h) for h in combinations(range(n), -(-n // 2)))
+        df = spark.createDataFrame([("g", v.tolist()) for v in x], "grp string, x array<double>")
+        m = rules.estimate(df, True, Scratch(spark, "mcd")).head()["m"]
+
+        def fit(half):
+            cov = rules.CONSISTENCY * np.cov(half.T, bias=True) + np.diag(np.square(rules.FLOORS))
+            return half.mean(0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+        def distances(centre, inverse):
+            return np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)
+
+        # concentration ends in the least determinant or next to it, at a fixed point, and gives the same verdicts
+        assert best[0] - 1e-6 <= m["logdet"] <= best[0] + 0.15
+        mine = distances(np.array(m["centre"]), np.array(m["inverse"]).reshape(4, 4))
+        again = fit(x[np.argsort(mine, kind="stable")[: -(-n // 2)]])
+        assert again[2] == pytest.approx(m["logdet"], abs=1e-6) and m["centre"] == pytest.approx(again[0].tolist(), abs=1e-6)
+        assert np.array(m["inverse"]) == pytest.approx(again[1].ravel(), rel=1e-5, abs=1e-6)
+        d = df.select(rules._distance(F.col("x"), F.array(*map(F.lit, m["centre"])), F.array(*map(F.lit, m["inverse"]))).alias("d")).collect()
+        assert [r["d"] for r in d] == pytest.approx(mine.tolist(), rel=1e-5)
+        wanted = [True] * (n - k) + [False] * k
+        assert (mine <= rules.CUT).tolist() == wanted == (distances(*fit(x[list(best[1])])[:2]) <= rules.CUT).tolist()
+
+
+def test_chi_square_quantiles():
+    # tabulated values for 4 degrees of freedom
+    for tail, value in ((0.05, 9.488), (0.01, 13.277), (0.001, 18.467)):
+        assert rules.chi_square_quantile(tail) == pytest.approx(value, abs=1e-3)
+
+
 # ------------------------------------------------------------------------------------------------ 8 and 10 classifiers
 
 
