@@ -1,8 +1,14 @@
 """Lexical retrieval packing: fill fixed windows with a seed document and its BM25 neighbours.
 
-Documents are dealt by hash into shards of about ``SHARD_DOCS`` documents. A shard tokenises its documents and builds
-an inverted index of its own (terms are lower-cased words; postings sorted by term). Long documents first give up full
-windows. Then the next unused document seeds a window, the index scores all unused documents of the shard by BM25
+The inverted index is sharded, and documents are dealt to shards by what they share: a first pass over all documents
+counts in how many each term (lower-cased word, by hash cell) occurs, and each document is named by one of its terms,
+drawn by lot with odds in proportion to the term's idf weight. The lot is the same for a term in all documents, so two
+documents get one name with the probability of their weighted overlap (the weight of their common terms over that of all
+their terms): copies always, near copies nearly always, documents that share rare passages often. Names are dealt to
+shards of about ``SHARD_DOCS`` documents and ``SHARD_BYTES`` bytes; a name with more than that is split over several.
+
+A shard tokenises its documents and builds an inverted index (postings sorted by term). Long documents first give up
+full windows. Then the next unused document seeds a window, the index scores all unused documents of the shard by BM25
 against the seed's terms, and the window is filled greedily in that order: first with every neighbour that fits whole,
 then the best remaining one is cut to fill it exactly; its rest is the next seed. So only a shard's last window is
 padded, and that one is cut into sequences of 2048, 1024, ... ids as its length needs, which take no padding.
@@ -22,7 +28,11 @@ from . import common as C
 from . import tokens as T
 
 WINDOW, END_ID = 4096, 2
-SHARD_DOCS = 1024
+SHARD_DOCS, SHARD_BYTES = 1024, 6 << 20
+#: Cells of the table of document frequencies, and how often a task must meet a term's cell to report it.
+CELL_BITS, REPORT = 20, 3
+#: Split names (about 40 bytes each) up to which they are broadcast; beyond, they are joined by shuffle.
+BROADCAST_NAMES = 100_000
 K1, B = 1.5, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -183,22 +193,80 @@ def pack_shard(rows: pa.Table, shard: int, path: str) -> pa.Table:
     return pa.table([doc_id, start, length, np.array(crc, np.int64), size[d], (shard << 32) | seq, at], names=SCHEMA.replace(" long", "").split(", "))
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, documents) of the cells that a task meets in REPORT documents or more; cell -1 counts documents, -2 bytes."""
+    count = np.zeros(1 << CELL_BITS, np.int64)
+    docs = size = 0
+    for batch in batches:
+        buf, off = C.buffers(batch.column(0))
+        docs, size = docs + batch.num_rows, size + len(buf)
+        for i, j, b, o in C.blocks(buf, off):
+            starts, ends, ptr = C.spans(b, o)
+            cell = (C.span_hashes(b, starts, ends, lower=True) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+            seen = np.unique(np.repeat(np.arange(j - i), np.diff(ptr)) << CELL_BITS | cell)
+            count += np.bincount(seen & ((1 << CELL_BITS) - 1), minlength=len(count))
+    at = np.flatnonzero(count >= REPORT)
+    yield pa.record_batch([pa.array(np.concatenate([at, [-1, -2]])), pa.array(np.concatenate([count[at], [docs, size]]))], names=["cell", "n"])
+
+
+def _named(weight: np.ndarray):
+    """(doc_id, text, name): each document's term that wins the lot, by the value it wins with; 0 without terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = C.buffers(batch.column(1))
+            name = np.zeros(batch.num_rows, np.int64)
+            for i, j, b, o in C.blocks(buf, off):
+                starts, ends, ptr = C.spans(b, o)
+                if not len(starts):
+                    continue
+                h = C.span_hashes(b, starts, ends, lower=True)
+                draw = (C.mix64(h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64)
+                value = -np.log((draw + 1) / 2.0**53) / weight[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                some = np.flatnonzero(np.diff(ptr))
+                name[i + some] = np.minimum.reduceat(value, ptr[some]).view(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(name)], names=["doc_id", "text", "name"])
+
+    return run
+
+
+def deal(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, shard): documents that share rare terms share a shard."""
+    rows = docs.select("text").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, n = rows["cell"].to_numpy(), rows["n"].to_numpy()
+    total, size = (int(n[cell == k].sum()) for k in (-1, -2))
+    # a term that no task repeats is as rare as can be told
+    df = np.ones(1 << CELL_BITS)
+    df[cell[cell >= 0]] = n[cell >= 0]
+    weight = np.log(1 + (total - df + 0.5) / (df + 0.5)).astype(np.float32)
+    n_shards = max(1, -(-total // SHARD_DOCS), -(-size // SHARD_BYTES))
+    named = docs.select("doc_id", "text").mapInArrow(_named(np.maximum(weight, 1e-6)), "doc_id long, text string, name long")
+    sums = named.select("name", F.coalesce(F.octet_length("text"), F.lit(0)).alias("b")).groupBy("name").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
+    parts = F.greatest(F.ceil(F.col("n") / SHARD_DOCS), F.ceil(F.col("b") / SHARD_BYTES)).cast("long")
+    split = sums.select(F.col("name").alias("big"), parts.alias("parts")).where("parts > 1")
+    # a name is split only if it fills a shard, so there are fewer split names than twice the shards
+    split = F.broadcast(split) if 2 * n_shards <= BROADCAST_NAMES else split
+    joined = named.join(split, F.col("name") == F.col("big"), "left")
+    # part of the text joins in, so that rows with one id are parted, and the row's place parts equal rows
+    part = F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1)))
+    shard = F.pmod(F.xxhash64("name", part), F.lit(n_shards)).cast("int")
+    return joined.select("doc_id", "text", shard.alias("shard"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is its end id alone. Rows that share a doc_id are packed separately. An empty table gives no
-    rows; other columns are not touched.
+    A null or empty text is its end id alone. Rows that share a doc_id are packed separately, in the order of their
+    texts. An empty table gives no rows; other columns are not touched.
     """
     path = vocabulary or T.default_vocabulary()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_shards = max(1, -(-docs.count() // SHARD_DOCS))
-    # part of the text joins in, so that many rows with one id do not share a shard
-    shard = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_shards)).cast("int")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        return pack_shard(rows.sort_by("doc_id").combine_chunks(), key[0].as_py(), path)
+        rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        return pack_shard(rows, key[0].as_py(), path)
 
-    return docs.withColumn("shard", shard).groupBy("shard").applyInArrow(run, SCHEMA)
+    return deal(docs).groupBy("shard").applyInArrow(run, SCHEMA)
 
 
 def op7_pack_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
