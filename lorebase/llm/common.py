@@ -31,13 +31,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --------------------------------------------------------------------------------------------- shared folder
 
 
+_roots: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all scratch tables of this process; results that were not written elsewhere are gone then."""
+    while _roots:
+        remove(spark, _roots.pop())
+
+
 class Scratch:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes one once nothing reads it any more."""
+    """Tables written to the shared folder to cut lineage; ``drop`` removes one once nothing reads it any more, ``clean`` all.
+
+    Results are lazy and read these tables, so they stay until the caller, who knows when a result is written, cleans up.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lorebase/{name}-{uuid.uuid4().hex[:12]}"
         self.made = 0
+        _roots.append(self.root)
 
     def path(self, name: str) -> str:
         self.made += 1

@@ -6,10 +6,12 @@ Records are written by Spark's own text writer, whose separator is the record en
 reaches. Each task writes one archive.
 
 Reading. Spark's text reader, with the record magic as its separator, cuts archives at every magic, in parallel and
-across splits. Each piece is a candidate record: its offset comes from a running sum of lengths over its archive, its
-successor's offset from its own header. A magic inside a payload makes false candidates, so pointer jumping along
-successors from offset 0 keeps only what is reachable from the archive's start. A record whose payload holds a magic is
-put together again from its pieces.
+across splits. Each piece is a candidate record: its offset comes from running sums of lengths over its split and over
+the splits of its archive, its successor's offset from its own header. A magic inside a payload makes false candidates,
+so pointer jumping along successors from offset 0 keeps only what is reachable from the archive's start. Tasks hold the
+candidates of one split: inside it each candidate jumps to where its chain leaves the split, then the places where chains
+enter splits jump among each other by joins, and inside the splits that were entered the chains are marked. So an archive
+may be of any size. A record whose payload holds a magic is put together again from its pieces.
 """
 
 from __future__ import annotations
@@ -110,14 +112,18 @@ def _parsed(value: Column) -> dict[str, Column]:
     }
 
 
-def reachable(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
-    """Which candidates a chain of successors from offset 0 visits, by pointer jumping over sorted offsets."""
+def _jumps(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
+    """Position of each candidate's successor among the sorted offsets, their number if it is none of them."""
     n = len(offset)
     at = np.searchsorted(offset, successor)
-    jump = np.where((at < n) & (offset[np.minimum(at, n - 1)] == successor), at, n)
-    jump = np.append(jump, n)  # n: nowhere
-    seen = np.zeros(n + 1, bool)
-    seen[0] = n > 0 and offset[0] == 0
+    return np.where((at < n) & (offset[np.minimum(at, max(n - 1, 0))] == successor), at, n) if n else at
+
+
+def reachable(offset: np.ndarray, successor: np.ndarray, entry: np.ndarray | None = None) -> np.ndarray:
+    """Which candidates chains of successors visit from the entries (offset 0 by default), by pointer jumping over sorted offsets."""
+    n = len(offset)
+    jump = np.append(_jumps(offset, successor), n)  # n: nowhere
+    seen = np.append(offset == 0 if entry is None else entry, False)
     while True:
         more = seen.copy()
         more[jump[seen]] = True
@@ -126,28 +132,50 @@ def reachable(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
         seen, jump = more, jump[jump]
 
 
+def exits(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
+    """The first offset on each candidate's chain that is not among the given ones."""
+    n = len(offset)
+    jump = np.append(_jumps(offset, successor), n)
+    last = np.arange(n)
+    # the last candidate of each chain, by doubling: a chain goes forward, so it has an end
+    far = np.where(jump[:n] < n, jump[:n], last)
+    while True:
+        farther = far[far]
+        if (farther == far).all():
+            return successor[far]
+        far = farther
+
+
+def _local(rows: pa.Table, *columns: str) -> tuple[pa.Table, list[np.ndarray]]:
+    rows = rows.sort_by("offset")
+    return rows, [rows[c].to_numpy() for c in columns]
+
+
 def read_records(spark: SparkSession, path: str, scratch: C.Scratch) -> DataFrame:
     """One row per verified record: file, offset, kind, record_id, url, refers, said_digest, said_bytes, digest, bytes.
 
-    ``digest`` and ``bytes`` are of the payload as read. Candidates are gathered by archive, a few dozen bytes for
-    each record, so archives should have no more than some GB. What follows a broken header is out of reach.
+    ``digest`` and ``bytes`` are of the payload as read. What follows a broken header is out of reach.
     """
     width = len(MAGIC)
     found = _pieces(spark, path)
     narrow = scratch.save(found.select("file", "block", "mid", F.octet_length("value").cast("long").alias("len"), *[c.alias(k) for k, c in _parsed(F.col("value")).items()]), "candidates")
-    before = Window.partitionBy("file").orderBy("block", "mid")
-    offset = F.coalesce(F.sum(F.col("len") + width).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - width
-    placed = narrow.withColumn("offset", offset).withColumn("idx", F.row_number().over(Window.partitionBy("file", "block").orderBy("mid")))
-    placed = placed.withColumn("successor", F.coalesce(F.col("offset") + width + F.col("body"), F.lit(-1)))
+    # offsets: a running sum over the splits of an archive, and one inside each split
+    sums = narrow.groupBy("file", "block").agg(F.sum(F.col("len") + width).alias("sum"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(F.col("file").alias("fb"), F.col("block").alias("bb"), (F.coalesce(F.sum("sum").over(before), F.lit(0)) - width).alias("base"))
+    inside = Window.partitionBy("file", "block").orderBy("mid")
+    placed = narrow.join(base, (F.col("file") == F.col("fb")) & (F.col("block") == F.col("bb"))).drop("fb", "bb")
+    upto = F.coalesce(F.sum(F.col("len") + width).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.withColumn("offset", F.col("base") + upto).withColumn("idx", F.row_number().over(inside)).drop("base", "mid")
+    placed = scratch.save(placed.withColumn("successor", F.coalesce(F.col("offset") + width + F.col("body"), F.lit(-1))).where("offset >= 0"), "placed")
+    seen = _entered(placed, scratch).withColumnsRenamed({"file": "fe", "offset": "oe"}).withColumn("entry", F.lit(True))
 
     def verify(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("offset")
-        rows = rows.filter(pa.compute.greater_equal(rows["offset"], 0))
-        if not rows.num_rows:
-            return rows
-        return rows.filter(pa.array(reachable(rows["offset"].to_numpy(), rows["successor"].to_numpy())))
+        rows, (offset, successor) = _local(rows, "offset", "successor")
+        return rows.filter(pa.array(reachable(offset, successor, rows["entry"].fill_null(False).to_numpy()))).drop_columns("entry")
 
-    kept = scratch.save(placed.groupBy("file").applyInArrow(verify, placed.schema), "records")
+    marked = placed.join(seen, (F.col("file") == F.col("fe")) & (F.col("offset") == F.col("oe")), "left").select(*placed.columns, "entry")
+    kept = scratch.save(marked.groupBy("file", "block").applyInArrow(verify, placed.schema), "records")
     out = ["file", "offset", "kind", "record_id", "url", "refers", "said_digest", "said_bytes", "digest", "bytes"]
     torn = kept.where("len != body")
     if torn.isEmpty():
@@ -162,18 +190,50 @@ def read_records(spark: SparkSession, path: str, scratch: C.Scratch) -> DataFram
     return kept.where("len = body").select(*out).unionByName(mended.select(*out))
 
 
+def _entered(placed: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """(file, offset) of the candidates at which the chains from offset 0 enter a split."""
+
+    def leave(rows: pa.Table) -> pa.Table:
+        rows, (offset, successor) = _local(rows, "offset", "successor")
+        return pa.table([rows["file"], rows["offset"], pa.array(exits(offset, successor))], names=["file", "offset", "to"])
+
+    chains = placed.select("file", "block", "offset", "successor").groupBy("file", "block").applyInArrow(leave, "file string, offset long, to long")
+    chains = scratch.save(chains, "chains")
+    goals = chains.select(F.col("file").alias("fg"), F.col("to").alias("og")).distinct()
+    at = [F.col("file") == F.col("fg"), F.col("offset") == F.col("og")]
+    first = chains.where("offset = 0")
+    # places where a chain enters a split, and where it enters the next one
+    jump = scratch.save(chains.where("offset > 0").join(goals, at, "left_semi").unionByName(first), "jumps")
+    seen = scratch.save(first.select("file", "offset"), "entries")
+    n = seen.count()
+    while True:
+        step = jump.select(F.col("file").alias("fj"), F.col("offset").alias("oj"), F.col("to").alias("tj"))
+        target = seen.join(step, (F.col("file") == F.col("fj")) & (F.col("offset") == F.col("oj"))).select("file", F.col("tj").alias("offset"))
+        real = target.join(jump.select(F.col("file").alias("fg"), F.col("offset").alias("og")), at, "left_semi")
+        seen = scratch.save(seen.union(real).distinct(), "entries")
+        now = seen.count()
+        if now == n:
+            return seen
+        n = now
+        twice = jump.join(step, (F.col("file") == F.col("fj")) & (F.col("to") == F.col("oj"))).select("file", "offset", F.col("tj").alias("to"))
+        jump = scratch.save(twice.unionByName(jump.join(step.select("fj", "oj"), (F.col("file") == F.col("fj")) & (F.col("to") == F.col("oj")), "left_anti")), "jumps")
+
+
 def _page(record_id: Column) -> Column:
     return F.regexp_extract(F.coalesce(record_id, F.lit("")), "^<urn:page:(-?\\d+)>$", 1).try_cast("long")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, scratch: C.Scratch | None = None) -> DataFrame:
-    """Write the pages, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to, url, file, offset."""
+    """Write the pages, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to, url, archive, offset.
+
+    The archives are removed once they are read; write_archives and read_records keep them.
+    """
     scratch = scratch or C.Scratch(spark, "warc")
     path = scratch.path("archives")
     write_archives(spark, pages, path, scratch)
     got = read_records(spark, path, scratch)
     revisit = F.col("kind") == "revisit"
-    return got.select(
+    out = got.select(
         _page(F.col("record_id")).alias("page_id"),
         F.when(revisit, F.col("said_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
         F.when(revisit, F.col("said_digest")).otherwise(F.col("digest")).alias("payload_digest"),
@@ -183,6 +243,9 @@ def round_trip(spark: SparkSession, pages: DataFrame, scratch: C.Scratch | None
         F.element_at(F.split("file", "/"), -1).alias("archive"),
         "offset",
     )
+    out = scratch.save(out, "read")
+    C.remove(spark, path)
+    return out
 
 
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,7 @@ import hashlib
 
 import numpy as np
 
-from lorebase.llm import warc
-from lorebase.llm.common import Scratch
+from lorebase.llm import common, warc
 
 FAKE = warc.MAGIC + "WARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 60\r\n\r\nHTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nhi" + " " * 20
 
@@ -61,4 +60,29 @@ def test_reachable_skips_false_candidates_and_stops_at_breaks():
     assert warc.reachable(offset, successor).tolist() == [True, True, False, True, False, True]
     assert warc.reachable(offset, np.array([10, -1, 44, 60, 60, 75])).tolist() == [True, True, False, False, False, False]
     assert warc.reachable(offset[1:], successor[1:]).tolist() == [False] * 5
-    assert Scratch is not None
+
+
+def test_exits_leave_the_split():
+    offset, successor = np.array([10, 20, 25, 40]), np.array([20, 40, 90, 70])
+    assert warc.exits(offset, successor).tolist() == [70, 70, 90, 70]
+    assert warc.exits(offset[:0], successor[:0]).tolist() == []
+    assert warc.exits(np.array([5]), np.array([-1])).tolist() == [-1]
+
+
+def test_one_archive_over_many_splits(spark):
+    """An archive of many splits, with records longer than a split, and nothing after a broken header."""
+    rows = [(k, None, f"{k} " * (k % 40) + (FAKE if k % 5 == 0 else "") + ("y" * 5000 if k == 50 else "")) for k in range(150)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    scratch = common.Scratch(spark, "one")
+    path = scratch.path("archives")
+    warc.write_archives(spark, df, path, scratch)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900b")
+    try:
+        got = warc.read_records(spark, path, scratch).collect()
+        assert len({r["file"] for r in got}) == 1 and len({r["record_id"] for r in got}) == len(got) == 150
+        big = {r["record_id"]: r["bytes"] for r in got if r["kind"] == "response"}
+        assert all(big.get(f"<urn:page:{i}>", len(h.encode())) == len(h.encode()) for i, _, h in rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    common.clean(spark)
+    assert not common._roots
