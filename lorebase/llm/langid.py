@@ -14,12 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 
 WINDOW, EMBED, FILTERS, WIDTHS = 128, 8, 16, (2, 3, 4)
-#: The training sample: at most so many documents of a language, and so many windows of a document.
-DOCS_PER_LANG, WINDOWS_PER_DOC = 600, 8
+#: The training sample: at most so many documents of a language, so many windows of a document, and so many languages
+#: (the most frequent ones).
+DOCS_PER_LANG, WINDOWS_PER_DOC, MOST_LANGS = 600, 8, 256
 EPOCHS, BATCH, RATE, SEED = 4, 64, 0.004, 11
 #: Below this score a document is rejected as being in no known language.
 LEAST_SCORE = 0.3
@@ -136,11 +138,15 @@ def windows(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sample(docs: DataFrame) -> DataFrame:
-    """(lang, bytes) of evenly spaced windows of a bounded number of documents of each language, chosen by hash."""
+    """(lang, bytes) of evenly spaced windows of a bounded number of documents of each language, chosen by hash of id and text."""
     known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 11) / F.lit(float(1 << 53))
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, DOCS_PER_LANG / n))) for k, n in sorted(counts.items())]) if counts else F.lit(0.0)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 11) / F.lit(float(1 << 53))
+    # a surplus over the bound, rows that repeat taken once, then the first of each language by the draw
+    drawn = known.select("lang", "text", u.alias("u")).join(F.broadcast(counts.withColumnRenamed("lang", "l2")), F.col("lang") == F.col("l2"))
+    drawn = drawn.where(F.col("u") < 1.5 * DOCS_PER_LANG / F.col("n")).groupBy("lang", "u").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("u"))
+    drawn = drawn.withColumn("place", place).where(F.col("place") <= DOCS_PER_LANG)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +160,7 @@ def _sample(docs: DataFrame) -> DataFrame:
                     lang.append(name)
             yield pa.record_batch([pa.array(lang, pa.string()), pa.array(rows, pa.binary())], names=["lang", "x"])
 
-    return known.where(u < share).select("lang", "text").mapInArrow(cut, "lang string, x binary")
+    return drawn.select("lang", "text").mapInArrow(cut, "lang string, x binary")
 
 
 def train(docs: DataFrame) -> dict:
@@ -175,7 +181,8 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     """Every row of ``docs`` with ``lang_pred`` and ``score`` (mean-window probability of the prediction) added.
 
     A null text, or one without a letter, is ``und`` with score 0; so is any text if the model knows no language.
-    Whole texts are read, in windows. Columns of ``docs`` named lang_pred or score are replaced.
+    Whole texts are read, in windows; repeated rows are predicted alike. Columns of ``docs`` named lang_pred or score are
+    replaced.
     """
     schema = docs.schema
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]

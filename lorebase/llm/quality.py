@@ -1,10 +1,11 @@
 """Quality classifier over learned subword embeddings.
 
-A document's features are its hashed words, pairs of neighbouring words (a word followed by itself shares one bucket)
-and byte n-grams of 3 to 5, all in one table of ``BUCKETS`` vectors. Word features and n-grams are averaged apart, the
-two means are added, and a softmax over two classes follows. Training is numpy stochastic gradient descent, one
-document at a time, with steps that shrink per bucket. As averaging and output are linear, prediction folds the output
-layer into one number per bucket and sums those over whole texts.
+A document's features are its hashed words, hashed pairs of neighbouring words and character n-grams of 3 to 5 code
+points inside words, all in one table of ``BUCKETS`` vectors. Pairs of a word with itself are one feature, whatever the
+word is, so that what is learned of repetition carries over to words that were never seen. Word features and n-grams are averaged apart, the two
+means are added, and a softmax over two classes follows. Training is numpy stochastic gradient descent, one document at
+a time, with steps that shrink per bucket. As averaging and output are linear, prediction folds the output layer into one
+number per bucket and sums those over whole texts.
 """
 
 from __future__ import annotations
@@ -15,25 +16,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 
 BUCKETS, DIM, NGRAMS = 1 << 18, 8, (3, 4, 5)
-#: The training sample: at most so many labelled documents of each class.
-ROWS_PER_CLASS = 1500
+#: The training sample: at most so many labelled documents of each class, and in all so many bytes of features.
+ROWS_PER_CLASS, SAMPLE_BYTES = 1500, 96 << 20
 EPOCHS, RATE, SEED, THRESHOLD = 6, 0.4, 7, 0.3
 _SHIFT = np.uint64(64 - 18)
-_PAIR, _SAME = np.uint64(0xC6A4A7935BD1E995), 17
+_PAIR = np.uint64(0xC6A4A7935BD1E995)
 
 
 def word_features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of words and word pairs of a block, and the first feature of each text (one entry more)."""
     starts, ends, ptr = C.spans(buf, off)
     h = C.span_hashes(buf, starts, ends, lower=True)
-    pair = np.full(len(h), np.uint64(_SAME) << _SHIFT)
+    pair = h.copy()
     if len(h) > 1:
-        other = h[1:] != h[:-1]
-        pair[:-1][other] = C.mix64(h[:-1] * _PAIR + h[1:])[other]
+        pair[:-1] = np.where(h[:-1] == h[1:], _PAIR, C.mix64(h[:-1] * _PAIR + h[1:]))
     both = np.empty(2 * len(h), np.uint64)
     both[0::2], both[1::2] = h, pair
     # the pair that starts at a text's last word is none: it repeats the word instead
@@ -42,19 +43,32 @@ def word_features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (both >> _SHIFT).astype(np.int64), 2 * ptr
 
 
-def ngram_features(buf: np.ndarray, n: int) -> np.ndarray:
-    """Bucket of the n-gram that starts at each byte of a block (the last n - 1 have none)."""
-    if len(buf) < n:
-        return np.empty(0, np.int64)
-    data = C._LOWER[buf].astype(np.uint64)
-    h = np.full(len(buf) - n + 1, np.uint64(n) * np.uint64(0xA24BAED4963EE407))
-    for k in range(n):
-        h *= np.uint64(0x100000001B3)
-        h += data[k : len(buf) - n + 1 + k]
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    return (h >> _SHIFT).astype(np.int64)
+class Characters:
+    """Code points of a block: their values, the word each is in (-1: a blank) and the first one of each text (one entry more)."""
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray):
+        starts, ends, _ = C.spans(buf, off)
+        at = np.flatnonzero((buf & 0xC0) != 0x80)
+        low = C._LOWER[buf].astype(np.uint64)
+        size = np.diff(np.append(at, len(buf)))
+        self.value = low[at]
+        for k in range(1, 4):
+            more = np.flatnonzero(size > k)
+            self.value[more] |= low[at[more] + k] << np.uint64(8 * k)
+        word = np.searchsorted(starts, at, side="right") - 1
+        self.word = np.where((word >= 0) & (at < ends[np.maximum(word, 0)]), word, -1) if len(starts) else np.full(len(at), -1)
+        self.first = np.searchsorted(at, off)
+
+    def ngrams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the n-grams of words, and the place at which each starts."""
+        m = len(self.value) - n + 1
+        if m <= 0:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.flatnonzero((self.word[:m] == self.word[n - 1 :]) & (self.word[:m] >= 0))
+        h = np.full(len(at), n, np.uint64) * np.uint64(0xA24BAED4963EE407)
+        for k in range(n):
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + self.value[at + k]
+        return (C.mix64(h) >> _SHIFT).astype(np.int64), at
 
 
 def _sums(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -64,8 +78,10 @@ def _sums(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def document_features(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of one text and their weights in its vector."""
-    words, _ = word_features(buf, np.array([0, len(buf)]))
-    grams = np.concatenate([ngram_features(buf, n) for n in NGRAMS])
+    off = np.array([0, len(buf)])
+    words, _ = word_features(buf, off)
+    chars = Characters(buf, off)
+    grams = np.concatenate([chars.ngrams(n)[0] for n in NGRAMS])
     weight = np.concatenate([np.full(len(words), 1 / max(len(words), 1)), np.full(len(grams), 1 / max(len(grams), 1))])
     u, back = np.unique(np.concatenate([words, grams]), return_inverse=True)
     return u, np.bincount(back, weight, len(u))
@@ -85,8 +101,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """Fit on a bounded sample, chosen by hash, of the documents with a label 0 or 1.
 
-    A doc_id with several labels takes the largest. With rows of one class alone, or none, the score is that share.
+    A doc_id with several labels takes the largest; rows that share one doc_id count once. With rows of one class alone,
+    or none, the score is that share. Null texts are empty ones.
     """
+    scratch = C.Scratch(docs.sparkSession, "quality")
     lab = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("y"))
     counts = {int(r["y"]): r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
@@ -97,8 +115,13 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     # a small surplus over the bound, which the last step trims
     picked = [lab.where((F.col("y") == k) & (F.col("u") < 1.2 * ROWS_PER_CLASS / n)).orderBy("u", "id").limit(ROWS_PER_CLASS) for k, n in sorted(counts.items())]
     sample = picked[0].unionByName(picked[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("y", "u", F.col("text").cast("string").alias("text"))
-    got = rows.mapInArrow(_features, "y int, u double, f binary, w binary").toArrow().sort_by("u")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("id"))
+    # of rows with one id and text one is enough, of an id with several texts the one with the least hash
+    rows = rows.groupBy("id").agg(F.min_by(F.struct("y", "u", "text"), F.xxhash64("text")).alias("r")).select("r.y", "r.u", "r.text")
+    made = scratch.save(rows.mapInArrow(_features, "y int, u double, f binary, w binary"), "features")
+    # some thousand rows: in the order of the draw, as many as the bytes allow
+    room = F.sum(F.octet_length("f") + F.octet_length("w")).over(Window.partitionBy("y").orderBy("u").rowsBetween(Window.unboundedPreceding, 0))
+    got = made.withColumn("room", room).where(F.col("room") <= SAMPLE_BYTES // 2).drop("room").toArrow().sort_by([("u", "ascending"), ("y", "ascending")])
     data = [(int(y), np.frombuffer(f, np.int32), np.frombuffer(w, np.float32)) for y, f, w in zip(got["y"].to_pylist(), got["f"].to_pylist(), got["w"].to_pylist(), strict=True)]
     table = fit(data)
     return {"share": share, "table": table[0], "bias": table[1]}
@@ -134,7 +157,7 @@ def fit(data: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS) ->
 
 
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
-    """Columns of ``docs`` with ``score`` and ``predicted`` added (replaced if there); null and empty texts score by the bias."""
+    """Columns of ``docs`` with ``score`` and ``predicted`` added (replaced if there); null and empty texts score by the bias, repeated rows alike."""
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     out = docs.select(*keep).withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
 
@@ -147,12 +170,12 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
                 words, ptr = word_features(b, o)
                 logit = _sums(table[words], ptr[:-1], ptr[1:]) / np.maximum(np.diff(ptr), 1)
                 total, count = np.zeros(j - i), np.zeros(j - i)
+                chars = Characters(b, o)
                 for n in NGRAMS:
-                    grams = ngram_features(b, n)
-                    lo = np.minimum(o[:-1], len(grams))
-                    hi = np.maximum(np.minimum(o[1:] - n + 1, len(grams)), lo)
-                    total += _sums(table[grams], lo, hi)
-                    count += hi - lo
+                    grams, at = chars.ngrams(n)
+                    edge = np.searchsorted(at, chars.first)
+                    total += _sums(table[grams], edge[:-1], edge[1:])
+                    count += np.diff(edge)
                 logit += total / np.maximum(count, 1) + model["bias"]
                 p[i:j] = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
