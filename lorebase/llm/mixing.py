@@ -30,31 +30,44 @@ BLOCK, SEED = 48, 20240229
 _ITEM = T.StructType([T.StructField("r", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("x", T.DoubleType())])
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_COPIES) -> DataFrame:
+def _running(rows: DataFrame, order: list[Column], sums: list[str], scratch: Scratch) -> DataFrame:
+    """``rows`` with idx, their place in the order (from 1), and before_<column>, the sums of all rows before them.
+
+    Rows are dealt by ranges of the order; what meets in one task beside a range is one row of sums for each range.
+    """
+    dealt = scratch.save(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("part").orderBy(*order)
+    upto = own.rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(F.col("part").alias("p2")).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s_{c}") for c in sums])
+    earlier = Window.orderBy("p2").rowsBetween(Window.unboundedPreceding, -1)
+    first = parts.select("p2", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"b_{c}") for c in ("n", *[f"s_{c}" for c in sums])])
+    out = dealt.withColumn("idx", F.row_number().over(own).cast("long")).withColumns({f"before_{c}": F.coalesce(F.sum(c).over(upto), F.lit(0)) for c in sums})
+    out = out.join(first, F.col("part") == F.col("p2"))
+    return out.withColumns({"idx": F.col("idx") + F.col("b_n")} | {f"before_{c}": F.col(f"before_{c}") + F.col(f"b_s_{c}") for c in sums}).select(*rows.columns, "idx", *[f"before_{c}" for c in sums])
+
+
+def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_COPIES) -> DataFrame:
     """(source, size) rows -> (source, source_size, target).
 
     Sources are ordered by code point with null last. Capping a source at ``most`` times its size and resharing the
     excess by weight ends at min(cap, level * weight) with one level for all; it is read off prefix sums over the
-    sources ordered by cap / weight. Sources without words get the target 0. One row per source goes through the
-    window, in integers, with one division at the end.
+    sources ordered by cap / weight, in integers, with one division at the end. Sources without words get the target 0.
+    There may be as many sources as documents: no task sees all of them.
     """
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.partitionBy(F.lit(1)).orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    s = s.withColumn("w", weight)
-    by_ratio = Window.partitionBy(F.lit(1)).orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last())
-    before, every = by_ratio.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
-    s = (
-        s.withColumn("total", F.sum("source_size").over(every))
-        .withColumn("capped", most * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-        .withColumn("open_w", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-        # level if exactly the sources before this one are capped, as a fraction num / den
-        .withColumn("num", share_percent * F.col("total") - 100 * F.col("capped"))
-        .withColumn("den", 100 * F.col("open_w"))
-        .withColumn("fits", F.col("w") * F.col("num").cast("double") <= most * F.col("source_size").cast("double") * F.col("den"))
-    )
-    first = F.min_by(F.when(F.col("fits"), F.struct("num", "den")), F.when(F.col("fits"), F.struct(F.col("source_size") / F.col("w"), F.col("source").isNull(), F.col("source"))))
-    s = s.withColumn("level", first.over(every))
+    named = _running(s, [F.col("source").asc_nulls_last()], [], scratch)
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), ((F.col("idx") - 1) % len(weights) + 1).cast("int"))
+    s = named.select("source", "source_size", weight.alias("w"))
+    ratio = F.col("source_size") / F.col("w")
+    s = scratch.save(_running(s.withColumn("ratio", ratio), [F.col("ratio"), F.col("source").asc_nulls_last()], ["source_size", "w"], scratch), "ranked")
+    # single rows from here on: the sums of all sources, and the level
+    every = s.agg(F.sum("source_size").alias("total"), F.sum("w").alias("total_w"))
+    s = s.crossJoin(F.broadcast(every))
+    # level if exactly the sources before this one are capped, as a fraction num / den
+    s = s.withColumn("num", share_percent * F.col("total") - 100 * most * F.col("before_source_size")).withColumn("den", 100 * (F.col("total_w") - F.col("before_w")))
+    fits = F.col("w") * F.col("num").cast("double") <= most * F.col("source_size").cast("double") * F.col("den")
+    level = s.where(fits).agg(F.min_by(F.struct("num", "den"), "idx").alias("level"))
+    s = s.select("source", "source_size", "w").crossJoin(F.broadcast(level))
     level_target = F.col("w") * F.col("level.num") / F.col("level.den")
     cap = (most * F.col("source_size")).cast("double")
     under = F.col("w") * F.col("level.num").cast("double") <= most * F.col("source_size").cast("double") * F.col("level.den")
@@ -98,14 +111,15 @@ def mix(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) ->
     """One row per document: doc_id, row_no, source, size, source_size, target, copies, taken (copies * size).
 
     Null texts and texts without words have size 0 and are taken 0 times. Rows that share a doc_id are rounded
-    separately; ``row_no`` numbers them by size (equal rows are interchangeable). A null doc_id or source is a value
-    like any other. An empty table gives no rows. Other columns of ``docs`` are not touched.
+    separately; ``row_no`` numbers those that agree in doc_id, source and size, which are interchangeable. A null doc_id
+    or source is a value like any other. An empty table gives no rows. Other columns of ``docs`` are not touched.
     """
     scratch = scratch or Scratch(spark, "mix")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
-    same = Window.partitionBy("doc_id").orderBy("size", F.col("source").asc_nulls_last())
-    sized = scratch.save(sized.withColumn("row_no", F.row_number().over(same)), "sizes")
-    targets = source_targets(sized).withColumnRenamed("source", "of_source")
+    # equal rows are counted before they meet, and numbered from their count
+    counted = sized.groupBy("doc_id", "source", "size").agg(F.count("*").cast("int").alias("c"))
+    sized = scratch.save(counted.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("row_no")), "sizes")
+    targets = scratch.save(source_targets(sized, scratch), "targets").withColumnRenamed("source", "of_source")
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     x = F.when(F.col("rate") >= MOST_COPIES, F.lit(0.0)).otherwise((F.col("rate") - F.floor("rate")) * F.col("size"))
@@ -113,7 +127,7 @@ def mix(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) ->
         joined.withColumn("rate", rate)
         .withColumn("whole", F.when(F.col("size") > 0, F.least(F.floor("rate"), F.lit(MOST_COPIES))).otherwise(0).cast("long"))
         .withColumn("x", x)
-        .withColumn("r", F.xxhash64(F.lit(SEED), "doc_id", "row_no", "source"))
+        .withColumn("r", F.xxhash64(F.lit(SEED), "doc_id", "size", "row_no", "source"))
     )
     level = joined.where((F.col("x") > 0) & (F.col("size") > 0)).select("source", F.struct("r", F.col("doc_id"), F.col("size"), F.col("x")).alias("item"))
     most = level.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
@@ -149,10 +163,12 @@ def apply_mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Documents without words carry no words for the mix and go.
     """
     cols = docs.columns
-    decided = mix(spark, docs).where("copies > 0").select(F.col("doc_id").alias("__mix_id"), F.col("row_no").alias("__mix_row"), F.col("copies").alias("__mix_copies"))
-    same = Window.partitionBy(F.col("doc_id").cast("long")).orderBy(n_words(F.col("text")), F.col("source").asc_nulls_last())
-    numbered = docs.withColumn("__mix_no", F.row_number().over(same))
-    both = numbered.join(decided, F.col("doc_id").cast("long").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_no") == F.col("__mix_row")))
+    decided = mix(spark, docs).where("copies > 0").select(*[F.col(c).alias(f"__mix_{c}") for c in ("doc_id", "source", "size", "row_no", "copies")])
+    named = docs.withColumns({"__own_id": F.col("doc_id").cast("long"), "__own_source": F.col("source").cast("string"), "__own_size": n_words(F.col("text"))})
+    same = Window.partitionBy("__own_id", "__own_source", "__own_size").orderBy(F.xxhash64("text"))
+    numbered = named.withColumn("__own_no", F.row_number().over(same))
+    on = [F.col(f"__own_{a}").eqNullSafe(F.col(f"__mix_{b}")) for a, b in (("id", "doc_id"), ("source", "source"), ("size", "size"), ("no", "row_no"))]
+    both = numbered.join(decided, on)
     return both.withColumn("__mix_i", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*cols)
 
 
