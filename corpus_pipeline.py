@@ -18,9 +18,12 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language: those without a letter or without a likely language go (null and empty texts too).
 
-    The network learns from the documents with a language whose crc32(doc_id) mod 4 is not 2.
+    The network learns from the documents with a language whose crc32(doc_id) mod 4 is not 2; if there are none, only
+    texts without a letter go.
     """
     model = langid.train(docs.where(common.crc_mod(F.col("doc_id"), 4) != 2))
+    if not model["langs"]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     names = docs.withColumnsRenamed({c: f"__{c}" for c in ("lang_pred", "score") if c in docs.columns})
     kept = langid.predict(names, model).where(~langid.rejected(F.col("lang_pred"), F.col("score"))).drop("lang_pred", "score")
     return kept.withColumnsRenamed({"__lang_pred": "lang_pred", "__score": "score"}).select(*docs.columns)
