@@ -71,6 +71,29 @@ def test_mixed_documents_repeat(spark):
     assert out.columns == DOC.replace(" long", "").replace(" string", "").split(", ") and max(Counter(r["doc_id"] for r in out.collect()).values()) == 2
 
 
+def test_sources_are_ranked_over_ranges(spark):
+    from lorebase.llm.common import Scratch
+
+    rnd = random.Random(19)
+    rows = [(f"s{k}" if k else None, rnd.randrange(200)) for k in range(300)]
+    df = spark.createDataFrame(rows, "source string, size long").repartition(5)
+    got = {r["source"]: r for r in mixing.source_targets(df, Scratch(spark, "targets")).collect()}
+    want = brute_targets(dict(rows))
+    assert {k: r["source_size"] for k, r in got.items()} == dict(rows)
+    assert all(r["target"] == pytest.approx(want[k]) for k, r in got.items())
+
+
+def test_attach_joins_hot_and_cold_keys(spark, monkeypatch):
+    from lorebase.llm import common
+
+    monkeypatch.setattr(common, "HOT", 10)
+    rows = [(1, k) for k in range(500)] + [(k, k) for k in range(2, 60)] + [(None, 0)]
+    df = spark.createDataFrame(rows, "k long, id long")
+    table = df.where("k is not null and k <> 7").groupBy("k").agg(F.count("*").alias("n"), (10 * F.max("k")).alias("v"))
+    got = common.attach(df, table, ["k"], ["v"], len(rows), ["id"]).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in df.join(table.select("k", "v"), "k", "left").collect())
+
+
 # ------------------------------------------------------------------------------------------------ 3 n-gram Jaccard join
 
 
@@ -136,6 +159,65 @@ def test_jaccard_bounds_are_exact():
                 assert large - low < jaccard.probe_length(large) and small - jaccard.need(small, small) < jaccard.index_length(small)
 
 
+def test_jaccard_by_shuffle_and_bitmap_alone(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(jaccard, "BROADCAST_SIGNATURES", -1)
+    rnd = random.Random(21)
+    base = [words(rnd, 40) for _ in range(6)]
+    rows = [(k, near(rnd, base[k % 6], rnd.randrange(3)), "en", "s") for k in range(48)] + [(None, base[0], "en", "s"), (99, None, "en", "s")]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.classes(spark, frame(spark, rows)).collect()), key=str)
+    assert got == brute_components(rows)
+
+
+def test_long_lists_are_dealt_over_tasks_without_losing_a_pair(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 8)
+    rnd = random.Random(22)
+    base = [words(rnd, 50) for _ in range(2)]
+    texts = sorted({near(rnd, base[k % 2], rnd.randrange(5)) for k in range(90)})
+    sets = list(jaccard._sets(pa.array(texts)))
+    ids = [jaccard._identity(s, 0)[0] for s in sets]
+    u, n = np.unique(np.concatenate(sets), return_counts=True)
+    frequent = u[n > 2], np.minimum(np.floor(4 * np.log2(n[n > 2])), 255).astype(np.uint8)
+
+    def tasks(batches, keys):
+        """The rows as a shuffle by these keys would deal them."""
+        t = pa.Table.from_batches(batches)
+        rows = t.to_pylist()
+        for task in range(5):
+            mine = [k for k, r in enumerate(rows) if hash(tuple(r[c] for c in keys)) % 5 == task]
+            yield iter(t.take(mine).to_batches())
+
+    dealt = list(jaccard._prefixes(frequent, 0)(iter([pa.record_batch([pa.array(texts)], names=["text"])])))
+    out = [b for part in tasks(dealt, ("token", "part")) for b in jaccard._lists(part)]
+    lists = [r for b in out for r in b.to_pylist() if r["kind"] == 0]
+    assert max(r["salts"] for r in lists) > 3 and len({(r["token"], r["sid"]) for r in lists}) == len(lists)
+    led = {tuple(sorted((r["token"], r["sid"]))) for b in out for r in b.to_pylist() if r["kind"] == 1}
+    assert led
+    sig = {i: jaccard._fold([jaccard._signature(s)], jaccard.SIGNATURE_BITS // 8).tobytes() for i, s in zip(ids, sets, strict=True)}
+    columns = {"token": pa.int64(), "sid": pa.int64(), "np": pa.int64(), "group": pa.int64(), "lead": pa.int64(), "diff": pa.int64(), "sig": pa.binary(), "salts": pa.int64()}
+    batch = pa.RecordBatch.from_pylist([r | {"group": r["sid"], "lead": r["sid"], "diff": -1, "sig": sig[r["sid"]]} for r in lists], schema=pa.schema(columns.items()))
+    cells = list(jaccard._grid(iter([batch.select(list(columns))])))
+    found = {(r["a"], r["b"]) for part in tasks(cells, ("token", "part")) for b in jaccard._across(part) for r in b.to_pylist()}
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                assert (min(ids[i], ids[j]), max(ids[i], ids[j])) in found
+
+
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (3, 200, 1500, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 1 << 63, n // 3 + 1).astype(np.uint64)]))
+        a, b = jaccard._signature(x), jaccard._signature(y)
+        apart = len(np.setxor1d(x, y))
+        for width in {128, min(len(a), len(b))}:
+            assert np.bitwise_count(jaccard._fold([a], width) ^ jaccard._fold([b], width)).sum() <= apart
+
+
 # ------------------------------------------------------------------------------------------------ 4 line dedup
 
 
@@ -277,6 +359,24 @@ def test_neighbours_come_by_bm25():
     assert [p[0] for p in pieces if p[3] == 0] == [0, 2]
 
 
+def test_documents_are_dealt_by_shared_rare_terms(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 16)
+    rnd = random.Random(15)
+    base = [words(rnd, 60, 100_000) for _ in range(30)]
+    copies = [(k, base[k % 30], "en", "s") for k in range(150)]
+    hot = [(1000 + k, "one and the same", "en", "s") for k in range(120)] + [(7, "one and the same", "en", "s")] * 40
+    odd = [(2000, None, "en", "s"), (2001, "", "en", "s"), (None, " ", "en", "s")]
+    got = packing.deal(frame(spark, copies + hot + odd).select("doc_id", "text")).collect()
+    assert len(got) == len(copies) + len(hot) + len(odd)
+    where = defaultdict(set)
+    for r in got:
+        where[r["text"]].add(r["shard"])
+    assert all(len(where[t]) == 1 for t in base)
+    # a text of more documents than a shard takes is split, equal rows as well
+    size = Counter(r["shard"] for r in got)
+    assert len(where["one and the same"]) > 3 and max(size.values()) < 80
+
+
 # ------------------------------------------------------------------------------------------------ 6 rules
 
 
@@ -370,6 +470,37 @@ def test_quality_classifier(spark):
     assert quality.score(frame(spark, []), one).count() == 0
 
 
+def test_block_scorer_equals_averaged_vectors(spark):
+    rnd = random.Random(17)
+    texts = [None, "", " ", "a", "éß", "la la la", "x" * 700, *(words(rnd, rnd.randrange(1, 90)) + " Ünï " * rnd.randrange(3) for _ in range(40))]
+    model = {"table": np.random.default_rng(3).normal(size=quality.BUCKETS).astype(np.float32), "bias": 0.3, "share": 0.5}
+    got = {r["doc_id"]: r["score"] for r in quality.score(frame(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]), model).collect()}
+    for k, t in enumerate(texts):
+        u, w = quality.document_features(np.frombuffer((t or "").encode(), np.uint8))
+        logit = float((model["table"][u] * w).sum()) + model["bias"]
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-5)
+    # n-grams stay inside words and count code points
+    chars = quality.Characters(np.frombuffer("añb cd".encode(), np.uint8), np.array([0, 7]))
+    assert [len(chars.ngrams(n)[0]) for n in (2, 3, 4)] == [3, 1, 0]
+
+
+def test_training_samples_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "DOCS_PER_LANG", 20)
+    rows = [(None, f"text {k} of some length", "aa", "s") for k in range(300)] + [(5, "the same row", "bb", "s")] * 200 + [(k, f"another {k}", "bb", "s") for k in range(100)]
+    n = Counter(r["lang"] for r in langid._sample(frame(spark, rows)).collect())
+    assert 10 <= n["aa"] <= 20 and 10 <= n["bb"] <= 20
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda data: seen.append(data) or (np.zeros(quality.BUCKETS, np.float32), 0.0))
+    monkeypatch.setattr(quality, "ROWS_PER_CLASS", 15)
+    docs = frame(spark, [(k % 60, f"text {k % 60} {k % 2}", "aa", "s") for k in range(600)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    quality.train(docs, labels)
+    assert all(n <= 15 for n in Counter(y for y, _, _ in seen[0]).values()) and len(seen[0]) >= 20
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 2000)
+    quality.train(docs, labels)
+    assert 0 < sum(len(f) * 8 for _, f, _ in seen[1]) <= 2000
+
+
 def test_language_id(spark):
     rnd = random.Random(8)
     kinds = {"aa": "the thing of and was ing tion", "bb": "über straße ich nicht sch ung", "cc": "él niño está año señor"}
@@ -387,6 +518,21 @@ def test_language_id(spark):
     assert langid.predict(frame(spark, []), model).count() == 0
 
 
+def test_windows_of_a_text_are_averaged(spark):
+    net = langid.ByteCNN(["a", "b", "c"], 4)
+    frozen = net.frozen()
+    rnd = random.Random(18)
+    texts = [words(rnd, n) for n in (1, 5, 60, 400)] + ["ü" * 130]
+    got = {r["doc_id"]: r for r in langid.predict(frame(spark, [(k, t, None, "s") for k, t in enumerate(texts)]), frozen).collect()}
+    for k, t in enumerate(texts):
+        raw = t.encode()
+        x = np.array([list(raw[i : i + langid.WINDOW].ljust(langid.WINDOW)) for i in range(0, len(raw), langid.WINDOW)], np.uint8)
+        logit = np.maximum(net._pool(x)[0], 0) @ net.p["out"] + net.p["out_bias"]
+        mean = (logit - np.log(np.exp(logit).sum(1, keepdims=True))).mean(0)
+        prob = np.exp(mean) / np.exp(mean).sum()
+        assert got[k]["lang_pred"] == "abc"[prob.argmax()] and got[k]["score"] == pytest.approx(prob.max(), abs=1e-4)
+
+
 def test_network_gradient():
     rng = np.random.default_rng(0)
     net = langid.ByteCNN(["a", "b"], 1)

@@ -34,3 +34,40 @@ def test_stages_keep_what_is_clean(spark, tmp_path):
     assert pieces.groupBy("doc_id").count().count() == len(seen["mix_sources"])
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert whole.agg(F.sum("length")).head()[0] == pieces.agg(F.sum("length")).head()[0]
+
+
+CLASH = ("gone_lines", "lang_pred", "score", "size", "group", "mark", "component_id", "copies", "row_no", "name", "shard")
+
+
+def test_stages_take_empty_tables_nulls_repeats_and_clashing_names(spark, tmp_path):
+    rnd = random.Random(5)
+    text = lambda: " ".join(f"w{rnd.randrange(400)}" for _ in range(30))
+    rows = [(k, text(), "aa" if k % 2 else "bb", f"s{k % 3}", 9) for k in range(30)]
+    rows += [(None, rows[0][1], None, None, None), (None, "lone words of a row without an id", "aa", "s0", 1), (None, None, None, None, None), (40, None, "aa", None, 0), (41, "", "bb", "s1", 0)]
+    rows += [rows[3], rows[3], (50, "x " * 30_000, "aa", "s2", 60_000)]
+    df = spark.createDataFrame(rows, DOC).withColumns({c: F.lit("mine") for c in CLASH})
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for docs in (df, df.limit(0)):
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == df.columns
+            got = out.collect()
+            assert all(r[c] == "mine" for r in got for c in CLASH)
+            if docs is not df:
+                assert got == []
+            elif name == "language_id":
+                assert all(r["text"] and any(c.isalpha() for c in r["text"]) for r in got) and len(got) >= 30
+            elif name == "line_dedup":
+                assert len([r for r in got if r["doc_id"] is None]) == 2 + 1 and {r["doc_id"] for r in got} >= set(range(30))
+            elif name == "near_duplicates":
+                # the row without an id that repeats document 0 goes, the one that links with nothing stays
+                assert sorted(str(r["text"]) for r in got if r["doc_id"] is None) == ["None", "lone words of a row without an id"]
+                assert sum(r["doc_id"] == 3 for r in got) == 1 and {r["doc_id"] for r in got} >= {*range(30), 40, 41, 50}
+            else:
+                assert all(r["text"] for r in got)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path))
+    assert pieces.where("start = 0").count() == len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, df.limit(0), str(tmp_path)).count() == 0
+    # a table without a language still loses its letterless texts
+    none = df.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identify_language(spark, none, str(tmp_path)).count() == df.where("length(text) > 0").count()
