@@ -551,3 +551,17 @@ def test_sink_report(spark):
     t = spark.createDataFrame([("a", 1), ("b", 1)], "trace_id string, schema_version int")
     w = spark.createDataFrame([(1.0,), (2.0,)], "ms double")
     assert traces.sink_report(t, w).head()["rule_o"] is True and traces.sink_report(t.limit(1), w).head()["rule_o"] is False
+
+
+def test_cache_arms(spark, tmp_path):
+    from lorebase.plans import benchmark
+
+    docs = spark.createDataFrame([("s:d", "s", "T", "x", None, "en", "All about apples. " * 20)], "document_id string, source string, title string, doc_type string, url string, language string, text string").withColumn("content_hash", F.sha2("text", 256))
+    engine = Engine(spark, str(tmp_path / "e"), Settings(compress_candidates=5, cache_semantic_threshold=0.5))
+    engine.index(docs)
+    q = spark.createDataFrame([("q1", "what are apples")], "query_id string, question string")
+    arms, verdict = benchmark.cache_run(engine, q, q.withColumn("question", F.lit("apples what are they")))
+    got = {r["arm"]: (r["exact_hits"], r["semantic_hits"], r["misses"]) for r in arms.collect()}
+    assert got == {"cold": (0, 0, 1), "exact": (1, 0, 0), "semantic": (0, 1, 0)}
+    assert (verdict.head()["stored"], verdict.head()["identical"]) == (1, 1)
+    assert retrieval.warm_up(spark, "overlap") == spark.sparkContext.defaultParallelism
