@@ -78,8 +78,10 @@ def compress(pool: DataFrame, method: str = "embedding", budget: int = 3688, pen
     if budget < 1:
         raise ValueError("the budget must be at least 1")
     score = COMPRESSORS[method]
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
-    pools = pool.groupBy("query_id").agg(F.first("query").alias("query"), texts.alias("texts"))
+    # a pool is a few dozen rows: it travels as one array, so whatever made it is computed once
+    rows = F.array_sort(F.collect_list(F.struct("rank", F.struct(*pool.columns).alias("row"))))
+    pools = pool.groupBy("query_id").agg(F.first("query").alias("query"), rows.alias("rows"))
+    pools = pools.withColumn("texts", F.transform("rows", lambda x: F.coalesce(x["row"]["text"], F.lit(""))))
 
     def units(query: pd.Series, texts: pd.Series) -> pd.Series:
         out = []
@@ -94,10 +96,9 @@ def compress(pool: DataFrame, method: str = "embedding", budget: int = 3688, pen
         return pd.Series([list(t) if k is None else trim(list(t), list(k), budget) for t, k in zip(texts, kept, strict=True)], dtype=object)
 
     scored = pools.withColumn("u", F.pandas_udf(units, UNIT)("query", "texts"))
-    done = scored.select("query_id", F.pandas_udf(shorter, "array<string>")("texts", greedy(F.col("u"), budget)).alias("shown"))
-    place = Window.partitionBy("query_id").orderBy("rank")
-    rows = pool.withColumn("_n", F.row_number().over(place)).join(done, "query_id")
-    return rows.withColumn("text", F.element_at("shown", F.col("_n"))).where(F.col("text").isNotNull()).select(*pool.columns)
+    done = scored.select("rows", F.pandas_udf(shorter, "array<string>")("texts", greedy(F.col("u"), budget)).alias("shown"))
+    each = done.select(F.explode(F.arrays_zip("rows", "shown")).alias("z")).where(F.col("z.shown").isNotNull())
+    return each.select(*[F.col("z.shown").alias(c) if c == "text" else F.col("z.rows.row")[c].alias(c) for c in pool.columns])
 
 
 COMPRESSORS = {"embedding": score_units}

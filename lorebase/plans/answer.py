@@ -9,6 +9,7 @@ from ..functions.text import is_refusal
 from ..operators import context, generation, retrieval
 from ..operators.embedding import Embedder, embed, hash_vectors
 from ..settings import Settings
+from ..sources.shared import keep
 
 
 def prepare(questions: DataFrame, settings: Settings, embedder: Embedder = hash_vectors, rewriter: generation.Completer = generation.echo, isolate: bool = False) -> DataFrame:
@@ -48,15 +49,16 @@ def answer(
     """Answers to (query_id, question, history): answer, sources, retrieved, used, dropped, context, warnings, usage, refusal,
     and for a question whose call failed a null answer with error_type and error_message.
 
-    Questions that find nothing get the fixed refusal and never reach the model.
+    Questions that find nothing get the fixed refusal and never reach the model. The search runs here, once; its pools
+    (a few dozen rows a question) are kept in the shared folder, from which the answers are computed.
     """
     settings = settings or Settings()
     if settings.prompt_version not in generation.PROMPTS:
         raise ValueError(f"unknown prompt version {settings.prompt_version!r}")
     if "history" not in questions.columns:
         questions = questions.withColumn("history", F.lit(None).cast("array<struct<role:string,content:string>>"))
-    prepared = prepare(questions, settings, embedder, rewriter)
-    full = retrieve(prepared, chunks, settings, filters, lexical)
+    prepared = keep(prepare(questions, settings, embedder, rewriter), "prepared")
+    full = keep(retrieve(prepared, chunks, settings, filters, lexical), "pools")
     seen = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "document_id", "score")))
     sizes = full.groupBy("query_id").agg(seen.alias("pool"), F.first("query").alias("query"), F.count("*").alias("pooled"))
     pool = full
