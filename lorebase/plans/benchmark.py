@@ -30,10 +30,11 @@ def run(questions: DataFrame, chunks: DataFrame, settings: Settings | None = Non
     in that facet alone.
     """
     settings = settings or Settings()
-    asked = _asked(questions)
+    evaluation.check(ks)
+    # labels may come from a search of their own; they are read by every part of the report
+    asked = keep(_asked(questions), "questions")
     if asked.isEmpty():
         raise ValueError("no questions")
-    evaluation.check(ks)
     began = time.perf_counter()
     source = asked if contextualize else asked.withColumn("history", F.lit(None).cast("array<struct<role:string,content:string>>"))
     good = F.trim(F.coalesce("question", F.lit(""))) != ""
