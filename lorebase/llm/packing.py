@@ -210,7 +210,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _named(weight: np.ndarray):
-    """(doc_id, text, name): each document's term that wins the lot, by the value it wins with; 0 without terms."""
+    """(doc_id, text, place, name): each document's term that wins the lot, by the value it wins with; 0 without terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +225,7 @@ def _named(weight: np.ndarray):
                 value = -np.log((draw + 1) / 2.0**53) / weight[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                 some = np.flatnonzero(np.diff(ptr))
                 name[i + some] = np.minimum.reduceat(value, ptr[some]).view(np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(name)], names=["doc_id", "text", "name"])
+            yield pa.record_batch([*batch.columns, pa.array(name)], names=["doc_id", "text", "place", "name"])
 
     return run
 
@@ -240,7 +240,9 @@ def deal(docs: DataFrame) -> DataFrame:
     df[cell[cell >= 0]] = n[cell >= 0]
     weight = np.log(1 + (total - df + 0.5) / (df + 0.5)).astype(np.float32)
     n_shards = max(1, -(-total // SHARD_DOCS), -(-size // SHARD_BYTES))
-    named = docs.select("doc_id", "text").mapInArrow(_named(np.maximum(weight, 1e-6)), "doc_id long, text string, name long")
+    # a row's place is taken where it is read: a task that runs again gives it the same one
+    placed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place"))
+    named = placed.mapInArrow(_named(np.maximum(weight, 1e-6)), "doc_id long, text string, place long, name long")
     sums = named.select("name", F.coalesce(F.octet_length("text"), F.lit(0)).alias("b")).groupBy("name").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
     parts = F.greatest(F.ceil(F.col("n") / SHARD_DOCS), F.ceil(F.col("b") / SHARD_BYTES)).cast("long")
     split = sums.select(F.col("name").alias("big"), parts.alias("parts")).where("parts > 1")
@@ -248,7 +250,7 @@ def deal(docs: DataFrame) -> DataFrame:
     split = F.broadcast(split) if 2 * n_shards <= BROADCAST_NAMES else split
     joined = named.join(split, F.col("name") == F.col("big"), "left")
     # part of the text joins in, so that rows with one id are parted, and the row's place parts equal rows
-    part = F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("doc_id", F.octet_length("text"), "place"), F.coalesce("parts", F.lit(1)))
     shard = F.pmod(F.xxhash64("name", part), F.lit(n_shards)).cast("int")
     return joined.select("doc_id", "text", shard.alias("shard"))
 
