@@ -32,6 +32,8 @@ from . import common as C
 CELL_BITS, HEAVY, REPORT = 24, 1 << 19, 3
 #: Shingles that a task counts at once.
 COUNTED = 1 << 21
+#: Prefix rows that a task deals at once.
+PREFIX_ROWS = 1 << 17
 #: Rows of a list that are skipped or probed together.
 LIST_BLOCK = 64
 #: Expected rows of a list from which it is dealt over several tasks.
@@ -91,6 +93,7 @@ def _differ(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.
     return (na + nb - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)) // 2 < need(na, nb)
 
 
+@C.frugal
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) whose signatures leave a link open, with the bits in which these differ."""
     for batch in batches:
@@ -107,6 +110,7 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([c.filter(keep) for c in (batch.column(0), batch.column(1), pa.array(bits))], names=["a", "b", "bits"])
 
 
+@C.frugal
 def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sig = [_fold([s], SIGNATURE_BITS // 8).tobytes() for s in batch.column(1).to_pylist()]
@@ -129,6 +133,7 @@ def _profile(seed: int):
         zero = pa.array(np.zeros(len(u), np.int64))
         return pa.record_batch([pa.array(np.ones(len(u), np.int8)), pa.array(u), pa.array(n), zero, zero, zero, pa.nulls(len(u), pa.binary())], names=names)
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[np.ndarray] = []
@@ -175,13 +180,26 @@ def _deal(sid: np.ndarray, salts: np.ndarray, turn: int) -> tuple[np.ndarray, np
 def _prefixes(frequent: tuple[np.ndarray, np.ndarray], seed: int):
     """Dealt rows (shingle, part, set id, size << 32 | position, parts, home) of each set's prefix; a set seen before in the task is skipped."""
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.zeros(1 << CELL_BITS, np.uint8)
         np.maximum.at(level, (frequent[0] >> np.uint64(64 - CELL_BITS)).astype(np.int64), frequent[1])
         many = np.maximum(np.ceil(2.0 ** ((np.arange(256) + 1) / 4) / LIST_ROWS), 1).astype(np.int64)
         seen: set[int] = set()
+        token, sid, size, salts = [], [], [], []
+
+        def dealt() -> pa.RecordBatch:
+            n = np.array([len(t) for t in token])
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            packed = np.repeat(np.array(size, np.int64), n) << 32 | at
+            t, s, p = np.concatenate(token).view(np.int64), np.repeat(np.array(sid, np.int64), n), np.concatenate(salts)
+            for x in (token, sid, size, salts):
+                x.clear()
+            rows, part, home = _deal(s, p, 0)
+            return pa.record_batch([pa.array(x) for x in (t[rows], part.astype(np.int32), s[rows], packed[rows], p[rows].astype(np.int32), home)], names=["token", "part", "sid", "np", "salts", "home"])
+
+        held = 0
         for batch in batches:
-            token, sid, size, pos, salts = [], [], [], [], []
             for s in _sets(batch.column(0)):
                 if not len(s):
                     continue
@@ -200,15 +218,12 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray], seed: int):
                 salts.append(many[r[first]])
                 sid.append(k)
                 size.append(len(s))
-                pos.append(p)
-            if not token:
-                continue
-            n = np.array(pos)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            packed = np.repeat(np.array(size, np.int64), n) << 32 | at
-            token, sid, salts = np.concatenate(token).view(np.int64), np.repeat(np.array(sid, np.int64), n), np.concatenate(salts)
-            rows, part, home = _deal(sid, salts, 0)
-            yield pa.record_batch([pa.array(x) for x in (token[rows], part.astype(np.int32), sid[rows], packed[rows], salts[rows].astype(np.int32), home)], names=["token", "part", "sid", "np", "salts", "home"])
+                held += p
+                if held > PREFIX_ROWS:
+                    yield dealt()
+                    held = 0
+        if token:
+            yield dealt()
 
     return run
 
@@ -216,6 +231,7 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray], seed: int):
 def _dealt(turn: int):
     """Rows of lists, dealt for a turn with leaders."""
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sid, salts = batch.column("sid").to_numpy(), batch.column("salts").to_numpy().astype(np.int64)
@@ -261,6 +277,7 @@ def _leader_pairs(token: np.ndarray, part: np.ndarray, sid: np.ndarray, packed:
     return np.unique(np.concatenate(out, 1), axis=1)
 
 
+@C.frugal
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lists with two sets or more (kind 0: shingle, set id, size << 32 | position, sets in the list, parts) and their first pairs (kind 1: a, b)."""
     got = _columns(batches)
@@ -268,6 +285,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     order = np.lexsort((got[2], got[1], got[0]))
     token, part, sid, packed, salts, home = (x[order] for x in got)
+    del got, order
     new = _starts(token, part, sid)
     token, part, sid, packed, salts, home = (x[new] for x in (token, part, sid, packed, salts, home))
     count = np.diff(np.append(np.flatnonzero(_starts(token, part)), len(token)))
@@ -283,6 +301,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lead(turn: int):
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _columns(batches)
         if got and len(got[0]):
@@ -295,6 +314,7 @@ def _lead(turn: int):
 def _with_first(turn: int):
     """Rows of lists, with the first set by lot of their list or part of it."""
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _columns(batches)
         if not got or not len(got[0]):
@@ -309,6 +329,7 @@ def _with_first(turn: int):
     return run
 
 
+@C.frugal
 def _grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows dealt for the comparison of all that is left: long lists go to the cells of a triangle, so that any two of their parts meet in one."""
     for batch in batches:
@@ -338,6 +359,7 @@ def _fits(na, pa_, nb, pb):
     return (na - pa_ >= low) & (nb - pb >= low)
 
 
+@C.frugal
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of one list and two groups whose answer the leaders leave open."""
     batches = [b for b in batches if b.num_rows]
@@ -386,6 +408,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(u[0]), pa.array(u[1])], names=["a", "b"])
 
 
+@C.frugal
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact sizes and intersections of (a, b) from their sets."""
     for batch in batches:
@@ -535,6 +558,7 @@ class Join:
         # documents that share an id are told apart by their set; equal ones of them would bring it twice
         texts = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("d"))).select("sid", "to", "text")
 
+        @C.frugal
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 want, to, sid, where, blob = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], [], []

@@ -148,6 +148,7 @@ def _sample(docs: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("lang").orderBy("u"))
     drawn = drawn.withColumn("place", place).where(F.col("place") <= DOCS_PER_LANG)
 
+    @C.frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = C.buffers(batch.column(1))
@@ -188,6 +189,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     out = docs.select(*keep).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model["langs"] else None
         for batch in batches:

@@ -174,6 +174,7 @@ def common_blocks(x: list[int], words: list[int], y: list[int], least: int = LEA
 
 
 def _align(least: int):
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, x2, w, y, y2 = (batch.column(k).to_pylist() for k in range(1, 6))
@@ -194,6 +195,7 @@ def _windows(least: int):
     ``rare`` is the line of the window that the fewest documents have (of equals the smallest hash).
     """
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)

@@ -193,6 +193,7 @@ def pack_shard(rows: pa.Table, shard: int, path: str) -> pa.Table:
     return pa.table([doc_id, start, length, np.array(crc, np.int64), size[d], (shard << 32) | seq, at], names=SCHEMA.replace(" long", "").split(", "))
 
 
+@C.frugal
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cell, documents) of the cells that a task meets in REPORT documents or more; cell -1 counts documents, -2 bytes."""
     count = np.zeros(1 << CELL_BITS, np.int64)
@@ -212,6 +213,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _named(weight: np.ndarray):
     """(doc_id, text, place, name): each document's term that wins the lot, by the value it wins with; 0 without terms."""
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = C.buffers(batch.column(1))
@@ -266,7 +268,9 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None) ->
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-        return pack_shard(rows, key[0].as_py(), path)
+        out = pack_shard(rows, key[0].as_py(), path)
+        C.give_back()
+        return out
 
     return deal(docs).groupBy("shard").applyInArrow(run, SCHEMA)
 

@@ -87,6 +87,7 @@ def document_features(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, np.bincount(back, weight, len(u))
 
 
+@C.frugal
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = C.buffers(batch.column(2))
@@ -161,6 +162,7 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     out = docs.select(*keep).withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model["table"]
         for batch in batches:

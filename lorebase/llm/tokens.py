@@ -288,6 +288,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = TO
     """doc_id, n_bytes, n_tokens, over_limit for every row; a null or empty text has 0 of both, repeated rows repeat."""
     path = vocabulary or default_vocabulary()
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
