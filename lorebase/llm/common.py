@@ -80,6 +80,20 @@ def remove(spark: SparkSession, path: str) -> None:
 # --------------------------------------------------------------------------------------------- workers
 
 
+#: Texts that travel to a worker at once.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send whole texts in batches that a worker, and the executor's buffers beside its heap, hold easily.
+
+    Spark's default of 10,000 rows is made for narrow rows; a smaller setting of the session stays.
+    """
+    if not 0 < int(spark.conf.get(_BATCH_KEY)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 def give_back() -> None:
     """Return what a worker has freed to the system: workers live on from stage to stage beside the executor's heap."""
     pa.default_memory_pool().release_unused()

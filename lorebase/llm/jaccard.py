@@ -639,6 +639,7 @@ def classes(spark: SparkSession, docs: DataFrame, scratch: C.Scratch | None = No
     Null and empty texts have no shingles (group null) and are their own component, as is a row with a null doc_id that
     links with nothing. Repeated rows are in one component. An empty table gives no rows; other columns are not touched.
     """
+    C.small_batches(spark)
     scratch = scratch or C.Scratch(spark, "jaccard")
     join = Join(spark, docs, scratch)
     groups = join.run()

@@ -166,6 +166,7 @@ def _sample(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame) -> dict:
     """Fit on ``text`` and non-null ``lang`` of the given rows; no rows give a model that only says ``und``."""
+    C.small_batches(docs.sparkSession)
     got = _sample(docs).toArrow()
     names = np.array(got["lang"].to_pylist(), object)
     langs = sorted(set(names.tolist()))
@@ -185,6 +186,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     Whole texts are read, in windows; repeated rows are predicted alike. Columns of ``docs`` named lang_pred or score are
     replaced.
     """
+    C.small_batches(docs.sparkSession)
     schema = docs.schema
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     out = docs.select(*keep).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema

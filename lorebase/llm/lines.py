@@ -272,6 +272,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, scratch: C.Scratch | None
     loses all its lines is empty. ``n_chars`` is not touched. A column of ``docs`` named as ``gone_as`` is replaced; name
     another one to keep it.
     """
+    C.small_batches(spark)
     scratch = scratch or C.Scratch(spark, "lines")
     gone = deletions(spark, docs.select("doc_id", "text"), scratch, least).select(F.col("key").alias("__key"), F.col("gone").alias("__gone"))
     size = gone.agg(F.coalesce(F.sum(4 * F.size("__gone") + 64), F.lit(0))).head()[0]

@@ -263,6 +263,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None) ->
     A null or empty text is its end id alone. Rows that share a doc_id are packed separately, in the order of their
     texts. An empty table gives no rows; other columns are not touched.
     """
+    C.small_batches(spark)
     path = vocabulary or T.default_vocabulary()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 

@@ -105,6 +105,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     A doc_id with several labels takes the largest; rows that share one doc_id count once. With rows of one class alone,
     or none, the score is that share. Null texts are empty ones.
     """
+    C.small_batches(docs.sparkSession)
     scratch = C.Scratch(docs.sparkSession, "quality")
     lab = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("y"))
     counts = {int(r["y"]): r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -159,6 +160,7 @@ def fit(data: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS) ->
 
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """Columns of ``docs`` with ``score`` and ``predicted`` added (replaced if there); null and empty texts score by the bias, repeated rows alike."""
+    C.small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     out = docs.select(*keep).withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
 

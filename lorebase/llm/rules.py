@@ -243,6 +243,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, scratch: C.Scratch | Non
     Null, empty and very short texts fail the base rules. Rows that fail them take no part in the estimates and are not
     kept. Repeated rows are judged alike. An empty table gives no rows; other columns are not touched.
     """
+    C.small_batches(spark)
     scratch = scratch or C.Scratch(spark, "rules")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     stats = scratch.save(text.mapInArrow(_statistics, _STATS).withColumn("base_failed", base_failed()), "stats")

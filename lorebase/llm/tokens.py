@@ -23,7 +23,7 @@ from . import common as C
 
 #: Tokens above which a document is marked.
 TOKEN_LIMIT = 2048
-_SLOTS, _POOL = 1 << 20, 1 << 24
+_SLOTS, _POOL = 1 << 20, 1 << 23
 #: Longer pre-tokens are merged by the library.
 _LONGEST = 48
 
@@ -286,6 +286,7 @@ def encoder(path: str) -> Encoder:
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = TOKEN_LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row; a null or empty text has 0 of both, repeated rows repeat."""
+    C.small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
 
     @C.frugal
