@@ -29,6 +29,8 @@ from . import tokens as T
 
 WINDOW, END_ID = 4096, 2
 SHARD_DOCS, SHARD_BYTES = 1024, 6 << 20
+#: Bytes of texts whose unknown words are merged together.
+ENCODE_BYTES = 8 << 20
 #: Cells of the table of document frequencies, and how often a task must meet a term's cell to report it.
 CELL_BITS, REPORT = 20, 3
 #: Split names (about 40 bytes each) up to which they are broadcast; beyond, they are joined by shuffle.
@@ -41,13 +43,14 @@ class ShardIndex:
     """BM25 inverted index over the documents of one shard, from one row of (document, term) per word."""
 
     def __init__(self, doc: np.ndarray, term: np.ndarray, n_docs: int):
-        order = np.lexsort((doc, term))
-        d, t = doc[order], term[order]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
+        # one sorted key: the document's number takes the place of the lowest bits of the spread term
+        bits = np.uint64(max(1, (n_docs - 1).bit_length()))
+        key = np.sort(term * np.uint64(0x9E3779B97F4A7C15) >> bits << bits | doc.astype(np.uint64))
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
         at = np.flatnonzero(new)
-        tf = np.diff(np.append(at, len(d))).astype(np.float64)
-        self.doc, t = d[at], t[at]
+        tf = np.diff(np.append(at, len(key))).astype(np.float64)
+        self.doc, t = (key[at] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), key[at] >> bits
         first = np.ones(len(t), bool)
         first[1:] = t[1:] != t[:-1]
         start = np.flatnonzero(first)
@@ -166,20 +169,25 @@ def pack_shard(rows: pa.Table, shard: int, path: str) -> pa.Table:
     buf, off = C.buffers(rows["text"])
     n = rows.num_rows
     ids, size, docs, terms = [], np.ones(n, np.int64), [], []
-    for i, j, b, o in C.blocks(buf, off):
-        starts, ends, ptr = C.spans(b, o)
+    for i, j, b, o in C.blocks(buf, off, ENCODE_BYTES):
+        # words are scanned block by block, and those that the encoder does not know are merged together
+        parts = []
+        for k, m, b1, o1 in C.blocks(b, o):
+            starts, ends, ptr = C.spans(b1, o1)
+            docs.append(np.repeat(np.arange(i + k, i + m), np.diff(ptr)))
+            terms.append(C.span_hashes(b1, starts, ends, lower=True))
+            parts.append((starts + o[k], ends + o[k], C.span_hashes(b1, starts, ends)))
+        starts, ends, h = (np.concatenate(x) for x in zip(*parts, strict=True))
         if not len(starts):
-            ids.append(np.empty(0, np.uint16))
             continue
-        at, m = enc.chunks(b, starts, ends)
+        at, m = enc.chunks(b, starts, ends, h)
         ids.append(T.gather(enc.pool, at, m))
         total = np.concatenate(([0], np.cumsum(m)))
+        ptr = np.searchsorted(starts, o)
         size[i:j] += total[ptr[1:]] - total[ptr[:-1]]
-        docs.append(np.repeat(np.arange(i, j), np.diff(ptr)))
-        terms.append(C.span_hashes(b, starts, ends, lower=True))
     ids = np.concatenate(ids) if ids else np.empty(0, np.uint16)
     begin = np.concatenate(([0], np.cumsum(size - 1)))
-    index = ShardIndex(np.concatenate(docs), np.concatenate(terms), n) if docs else None
+    index = ShardIndex(np.concatenate(docs), np.concatenate(terms), n) if any(map(len, docs)) else None
     pieces = _powers(plan(size, index.scores if index else lambda _: np.zeros(n)), WINDOW)
     crc = []
     for d, start, length, _, _ in pieces:
@@ -193,6 +201,21 @@ def pack_shard(rows: pa.Table, shard: int, path: str) -> pa.Table:
     return pa.table([doc_id, start, length, np.array(crc, np.int64), size[d], (shard << 32) | seq, at], names=SCHEMA.replace(" long", "").split(", "))
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct ones of non-negative integers below 2**63: each round, a key that holds its slot stands for its equals."""
+    slots = 1 << max(10, (2 * len(keys)).bit_length())
+    out = []
+    for _ in range(8):
+        slot = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+        holder = np.empty(slots, np.int32)
+        place = np.arange(len(keys), dtype=np.int32)
+        holder[slot] = place
+        held = holder[slot]
+        out.append(keys[held == place])
+        keys = keys[keys[held] != keys]
+    return np.concatenate([*out, np.unique(keys)])
+
+
 @C.frugal
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cell, documents) of the cells that a task meets in REPORT documents or more; cell -1 counts documents, -2 bytes."""
@@ -204,14 +227,17 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, b, o in C.blocks(buf, off):
             starts, ends, ptr = C.spans(b, o)
             cell = (C.span_hashes(b, starts, ends, lower=True) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-            seen = np.unique(np.repeat(np.arange(j - i), np.diff(ptr)) << CELL_BITS | cell)
-            count += np.bincount(seen & ((1 << CELL_BITS) - 1), minlength=len(count))
+            seen = _distinct(np.repeat(np.arange(j - i), np.diff(ptr)) << CELL_BITS | cell)
+            np.add.at(count, seen & ((1 << CELL_BITS) - 1), 1)
     at = np.flatnonzero(count >= REPORT)
     yield pa.record_batch([pa.array(np.concatenate([at, [-1, -2]])), pa.array(np.concatenate([count[at], [docs, size]]))], names=["cell", "n"])
 
 
-def _named(weight: np.ndarray):
-    """(doc_id, text, place, name): each document's term that wins the lot, by the value it wins with; 0 without terms."""
+def _named(weight: np.ndarray, sizes: bool = False):
+    """(doc_id, text, place, name): each document's term that wins the lot, by the value it wins with; 0 without terms.
+
+    With ``sizes``, (name, n, b): documents and bytes of the names in each batch, and no text travels back.
+    """
 
     @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +253,13 @@ def _named(weight: np.ndarray):
                 value = -np.log((draw + 1) / 2.0**53) / weight[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                 some = np.flatnonzero(np.diff(ptr))
                 name[i + some] = np.minimum.reduceat(value, ptr[some]).view(np.int64)
-            yield pa.record_batch([*batch.columns, pa.array(name)], names=["doc_id", "text", "place", "name"])
+            if sizes:
+                u, back = np.unique(name, return_inverse=True)
+                total = np.zeros(len(u), np.int64)
+                np.add.at(total, back, np.diff(off))
+                yield pa.record_batch([pa.array(u), pa.array(np.bincount(back, minlength=len(u)).astype(np.int64)), pa.array(total)], names=["name", "n", "b"])
+            else:
+                yield pa.record_batch([*batch.columns, pa.array(name)], names=["doc_id", "text", "place", "name"])
 
     return run
 
@@ -244,8 +276,9 @@ def deal(docs: DataFrame) -> DataFrame:
     n_shards = max(1, -(-total // SHARD_DOCS), -(-size // SHARD_BYTES))
     # a row's place is taken where it is read: a task that runs again gives it the same one
     placed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place"))
-    named = placed.mapInArrow(_named(np.maximum(weight, 1e-6)), "doc_id long, text string, place long, name long")
-    sums = named.select("name", F.coalesce(F.octet_length("text"), F.lit(0)).alias("b")).groupBy("name").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
+    weight = np.maximum(weight, 1e-6)
+    named = placed.mapInArrow(_named(weight), "doc_id long, text string, place long, name long")
+    sums = docs.select("doc_id", "text").mapInArrow(_named(weight, sizes=True), "name long, n long, b long").groupBy("name").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     parts = F.greatest(F.ceil(F.col("n") / SHARD_DOCS), F.ceil(F.col("b") / SHARD_BYTES)).cast("long")
     split = sums.select(F.col("name").alias("big"), parts.alias("parts")).where("parts > 1")
     # a name is split only if it fills a shard, so there are fewer split names than twice the shards

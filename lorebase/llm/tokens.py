@@ -23,7 +23,8 @@ from . import common as C
 
 #: Tokens above which a document is marked.
 TOKEN_LIMIT = 2048
-_SLOTS, _POOL = 1 << 20, 1 << 23
+_SLOTS, _POOL = 1 << 21, 1 << 23
+_SHIFT = np.uint64(65 - _SLOTS.bit_length())
 #: Longer pre-tokens are merged by the library.
 _LONGEST = 48
 
@@ -62,15 +63,15 @@ class Known:
 
     def clear(self) -> None:
         self.keys = np.zeros(_SLOTS, np.uint64)
-        self.at, self.n = np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int64)
+        self.at, self.n = np.zeros(_SLOTS, np.int32), np.zeros(_SLOTS, np.int32)
         self.pool, self.used = np.empty(1 << 16, np.uint16), 0
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place and number of ids, and the rows that are not known."""
         if self.used > _POOL:
             self.clear()
-        slot = (h >> np.uint64(44)).astype(np.int64)
-        return self.at[slot], self.n[slot], np.flatnonzero(self.keys[slot] != h)
+        slot = (h >> _SHIFT).astype(np.int64)
+        return self.at[slot].astype(np.int64), self.n[slot].astype(np.int64), np.flatnonzero(self.keys[slot] != h)
 
     def add(self, h: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
         begin = self.used + np.concatenate(([0], np.cumsum(n)[:-1]))
@@ -79,7 +80,7 @@ class Known:
             self.pool = np.concatenate([self.pool[: self.used], np.empty(max(need, 2 * len(self.pool)) - self.used, np.uint16)])
         self.pool[self.used : need] = ids
         self.used = need
-        slot = (h >> np.uint64(44)).astype(np.int64)
+        slot = (h >> _SHIFT).astype(np.int64)
         self.keys[slot], self.at[slot], self.n[slot] = h, begin, n
         return begin
 
@@ -138,9 +139,9 @@ class Encoder:
     def pool(self) -> np.ndarray:
         return self.known.pool
 
-    def chunks(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in ``pool`` and number of ids of every chunk; valid until the next call."""
-        h = C.span_hashes(buf, starts, ends)
+    def chunks(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Place in ``pool`` and number of ids of every chunk, whose ``span_hashes`` are ``h``; valid until the next call."""
+        h = C.span_hashes(buf, starts, ends) if h is None else h
         at, n, miss = self.known.find(h)
         if len(miss):
             u, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
