@@ -45,13 +45,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by id and text: of rows that agree in both one stays, and a row without an id stays if nothing
     with a smaller id (any id) links with it; of several rows without an id in one group the one with the least text hash.
     """
-    mark = F.xxhash64("text")
-    named = docs.withColumn("__mark", mark).withColumn("__id", F.col("doc_id").cast("long"))
-    found = jaccard.classes(spark, docs, with_text=True)
-    best = found.groupBy(F.col("group").alias("__g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark")).alias("b"))
-    kept = found.where("group is null").select("doc_id", "mark").union(best.where("__g is not null").select("b.doc_id", "b.mark")).distinct().toDF("__kid", "__kmark")
-    out = named.join(kept, F.col("__id").eqNullSafe(F.col("__kid")) & F.col("__mark").eqNullSafe(F.col("__kmark")), "left_semi").drop("__mark", "__id")
-    repeated = not docs.groupBy("doc_id", mark.alias("m")).count().where("count > 1").isEmpty()
+    scratch = common.Scratch(spark, "near")
+    found = scratch.save(jaccard.classes(spark, docs, with_text=True).select("doc_id", "mark", "group"), "found")
+    grouped = found.where("group is not null")
+    best = grouped.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark")).alias("b")).where("n > 1")
+    best = scratch.save(best.select("group", "n", F.col("b.doc_id").alias("best_id"), F.col("b.mark").alias("best_mark"), F.lit(True).alias("several")), "best")
+    named = common.attach(grouped, best, ["group"], ["best_id", "best_mark", "several"], found.count(), ["doc_id", "mark"])
+    stays = F.col("doc_id").eqNullSafe(F.col("best_id")) & F.col("mark").eqNullSafe(F.col("best_mark"))
+    gone = scratch.save(named.where(F.col("several") & ~stays).select(F.col("doc_id").alias("__gid"), F.col("mark").alias("__gmark")).distinct(), "gone")
+    # what goes is little as a rule, and then the texts are not shuffled; in no case are they sorted
+    gone = F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_ROWS else gone.hint("shuffle_hash")
+    own = docs.withColumn("__mark", F.xxhash64("text")).withColumn("__id", F.col("doc_id").cast("long"))
+    out = own.join(gone, F.col("__id").eqNullSafe(F.col("__gid")) & F.col("__mark").eqNullSafe(F.col("__gmark")), "left_anti").drop("__mark", "__id")
+    repeated = not found.groupBy("doc_id", "mark").count().where("count > 1").isEmpty()
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
 

@@ -114,8 +114,12 @@ def mix(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) ->
     separately; ``row_no`` numbers those that agree in doc_id, source and size, which are interchangeable. A null doc_id
     or source is a value like any other. An empty table gives no rows. Other columns of ``docs`` are not touched.
     """
-    scratch = scratch or Scratch(spark, "mix")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    return _decide(sized, scratch or Scratch(spark, "mix"))
+
+
+def _decide(sized: DataFrame, scratch: Scratch) -> DataFrame:
+    """``mix`` of (doc_id, source, size) rows."""
     # equal rows are counted before they meet, and numbered from their count
     counted = sized.groupBy("doc_id", "source", "size").agg(F.count("*").cast("int").alias("c"))
     sized = scratch.save(counted.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("row_no")), "sizes")
@@ -162,14 +166,32 @@ def apply_mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Documents without words carry no words for the mix and go.
     """
-    cols = docs.columns
-    decided = mix(spark, docs).where("copies > 0").select(*[F.col(c).alias(f"__mix_{c}") for c in ("doc_id", "source", "size", "row_no", "copies")])
-    named = docs.withColumns({"__own_id": F.col("doc_id").cast("long"), "__own_source": F.col("source").cast("string"), "__own_size": n_words(F.col("text"))})
-    same = Window.partitionBy("__own_id", "__own_source", "__own_size").orderBy(F.xxhash64("text"))
-    numbered = named.withColumn("__own_no", F.row_number().over(same))
-    on = [F.col(f"__own_{a}").eqNullSafe(F.col(f"__mix_{b}")) for a, b in (("id", "doc_id"), ("source", "source"), ("size", "size"), ("no", "row_no"))]
-    both = numbered.join(decided, on)
-    return both.withColumn("__mix_i", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*cols)
+    cols, scratch = docs.columns, Scratch(spark, "mix")
+    own = {"__own_id": F.col("doc_id").cast("long"), "__own_source": F.col("source").cast("string"), "__own_mark": F.xxhash64("text")}
+    marked = docs.withColumns(own).select(F.col("__own_id").alias("doc_id"), F.col("__own_source").alias("source"), n_words(F.col("text")).alias("size"), F.col("__own_mark").alias("mark"))
+    marked = scratch.save(marked, "marked")
+    key = ["doc_id", "source", "size"]
+    places = marked.withColumn("no", F.row_number().over(Window.partitionBy(*key).orderBy("mark"))).withColumnsRenamed({c: f"__{c}" for c in key})
+    decided = _decide(marked.select(*key), scratch).where("copies > 0").select(*key, "row_no", "copies")
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+    found = places.join(decided, [*on, F.col("no") == F.col("row_no")], "left")
+    # rows that agree in id, source and text: their number, and the copies of each
+    some = found.groupBy(F.col("__doc_id").alias("__mix_id"), F.col("__source").alias("__mix_source"), F.col("mark").alias("__mix_mark")).agg(F.sort_array(F.collect_list(F.coalesce("copies", F.lit(0)).cast("int")), asc=False).alias("__mix_copies"))
+    some = scratch.save(some.where(F.col("__mix_copies")[0] > 0), "copies")
+
+    def repeated(few: DataFrame, place: Column) -> DataFrame:
+        # the texts are dealt once and never sorted: what is held of a task's rows is the narrow side
+        on = [F.col(f"__own_{c}").eqNullSafe(F.col(f"__mix_{c}")) for c in ("id", "source", "mark")]
+        both = docs.withColumns(own).join(few.hint("shuffle_hash"), on)
+        n = F.get(F.col("__mix_copies"), place)
+        return both.withColumn("__mix_n", n).where("__mix_n > 0").withColumn("__mix_i", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).select(*cols)
+
+    out = repeated(some.where(F.size("__mix_copies") == 1), F.lit(0))
+    many = some.where(F.size("__mix_copies") > 1)
+    if many.isEmpty():
+        return out
+    same = Window.partitionBy("__own_id", "__own_source", "__own_mark").orderBy(F.lit(1))
+    return out.unionByName(repeated(many, F.row_number().over(same) - 1))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

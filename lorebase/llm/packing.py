@@ -30,7 +30,7 @@ from . import tokens as T
 WINDOW, END_ID = 4096, 2
 SHARD_DOCS, SHARD_BYTES = 1024, 6 << 20
 #: Bytes of texts whose unknown words are merged together.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 3 << 20
 #: Cells of the table of document frequencies, and how often a task must meet a term's cell to report it.
 CELL_BITS, REPORT = 20, 3
 #: Split names (about 40 bytes each) up to which they are broadcast; beyond, they are joined by shuffle.

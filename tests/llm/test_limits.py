@@ -1,11 +1,32 @@
-"""What operators move and repeat: unknown words are merged together, texts travel back only where they are needed."""
+"""What operators move and repeat: texts are dealt once and not sorted, unknown words are merged together."""
 
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
-from lorebase.llm import packing, tokens
+from lorebase.llm import mixing, packing, tokens
+
+
+def test_mixed_texts_are_not_sorted(spark):
+    rows = [(k, f"a b {'c ' * (k % 7)}{k}", "ab"[k % 2]) for k in range(300)]
+    out = mixing.apply_mix(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_mixed_rows_that_repeat_are_taken_as_decided(spark):
+    """Rows that agree in id, source and size, with the same text or another, are taken as often as the mix says."""
+    rows = [(k % 40, f"{'a b' if k % 3 else 'c d'} e f", "ab"[k % 2]) for k in range(400)] + [(None, "x y z", None)] * 9 + [(1, None, "a"), (1, " ", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    want = Counter()
+    for r in mixing.mix(spark, docs).collect():
+        want[r["doc_id"], r["source"]] += r["copies"]
+    got = mixing.apply_mix(spark, docs).collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == +want
+    held = Counter((r["doc_id"], r["text"], r["source"]) for r in got)
+    there = Counter(rows)
+    assert all(n <= 2 * there[k] for k, n in held.items())
 
 
 def test_unknown_words_of_a_shard_are_merged_together(monkeypatch):
@@ -37,3 +58,18 @@ def test_distinct_keys():
     rnd = np.random.default_rng(1)
     for keys in (rnd.integers(0, 50, 4000), rnd.integers(0, 1 << 40, 4000), np.arange(0), np.zeros(9, np.int64), np.arange(3000) << 20):
         assert np.array_equal(np.sort(packing._distinct(keys)), np.unique(keys))
+
+
+def test_near_duplicates_go_without_moving_texts(spark, monkeypatch):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k * 31 + i}" for i in range(40))
+    rows = [(k, text(k)) for k in range(60)] + [(100 + k, text(k % 3)) for k in range(40)] + [(None, text(4)), (None, "alone " + text(900)), (70, None), (71, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted([*map(str, range(60)), "70", "71", "None"])
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == want
+    monkeypatch.setattr(corpus_pipeline.jaccard, "BROADCAST_ROWS", 0)
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == want
