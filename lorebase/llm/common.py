@@ -101,6 +101,13 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def shrink(spark: SparkSession) -> None:
+    """Let executors return the heap that earlier work has left empty: it counts beside the workers' memory, and only a full collection gives it back."""
+    if not spark.sparkContext.master.startswith("local["):
+        n = 2 * spark.sparkContext.defaultParallelism
+        spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def frugal(run: Callable) -> Callable:
     """A function over batches that gives its memory back at its end."""
 

@@ -123,13 +123,24 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
         yield from C.shingle_sets(b, o)
 
 
+def _often(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that the sets hold REPORT times or more, and how often; the list is emptied, and one sorted copy is all that is made of it."""
+    every = np.concatenate(held) if held else np.empty(0, np.uint64)
+    held.clear()
+    every.sort()
+    more = every[REPORT - 1 :] == every[: max(0, len(every) - REPORT + 1)]
+    more[1:] &= every[1 : len(more)] != every[: max(0, len(more) - 1)]
+    at = np.flatnonzero(more)
+    u = every[at]
+    return u.view(np.int64), np.searchsorted(every, u, side="right") - at
+
+
 def _profile(seed: int):
     """(kind 0, doc_id, set id, size, second hash, text hash, signature) per document, (kind 1, shingle, count) per shingle that a task repeats."""
     names = ["kind", "a", "b", "n", "c", "m", "sig"]
 
     def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
-        u, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
-        u, n = u[n >= REPORT].view(np.int64), n[n >= REPORT].astype(np.int64)
+        u, n = _often(held)
         zero = pa.array(np.zeros(len(u), np.int64))
         return pa.record_batch([pa.array(np.ones(len(u), np.int8)), pa.array(u), pa.array(n), zero, zero, zero, pa.nulls(len(u), pa.binary())], names=names)
 
@@ -434,10 +445,12 @@ class Join:
     def run(self) -> DataFrame:
         """(sid, group) of all sets with a link."""
         save = self.scratch.save
+        C.shrink(self.spark)
         self._identify()
         frequent = self._frequent()
         dealt = self.docs.select("text").mapInArrow(_prefixes(frequent, self.seed), "token long, part int, sid long, np long, salts int, home boolean")
         lists = save(dealt.repartition("token", "part").mapInArrow(_lists, "kind byte, token long, sid long, np long, cnt long, salts long"), "lists")
+        C.shrink(self.spark)
         self.compared = self.groups = None
         self._compare_new(lists.where("kind = 1").select(F.col("token").alias("a"), F.col("sid").alias("b")).distinct())
         # in a list of no more than LEADERS sets every pair has been looked at
@@ -528,6 +541,7 @@ class Join:
 
     def _verify(self, pairs: DataFrame) -> None:
         """Compare pairs of sets, cut from the whole texts of one document of each class; the set in fewer pairs travels to the other."""
+        C.shrink(self.spark)
         pairs = self.scratch.save(pairs, "ends")
         degree = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("d")), "degree")
         n = degree.count()

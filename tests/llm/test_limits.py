@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from lorebase.llm import ann, mixing, packing, tokens
+from lorebase.llm import ann, jaccard, mixing, packing, tokens
 
 
 def test_mixed_texts_are_not_sorted(spark):
@@ -105,3 +105,12 @@ def test_answers_of_a_batch_equal_those_of_each_query():
         d = np.sqrt(np.square(x[node] - qv[i]).sum(1))
         want = sorted((float(a), int(b)) for a, b in zip(d, ids, strict=True) if b != qid[i])[:10]
         assert [(r["score"], r["vec_id"]) for r in got if r["query_id"] == qid[i]] == want
+
+
+def test_frequent_shingles_are_counted_in_place():
+    rnd = np.random.default_rng(8)
+    for n, high in ((0, 9), (1, 9), (2, 1), (3, 1), (5000, 900), (5000, 9), (4000, 1 << 60)):
+        held = [rnd.integers(0, high, m).astype(np.uint64) for m in (n // 2, n - n // 2)]
+        u, c = np.unique(np.concatenate(held), return_counts=True)
+        got, count = jaccard._often(held)
+        assert held == [] and np.array_equal(got.view(np.uint64), u[c >= jaccard.REPORT]) and np.array_equal(count, c[c >= jaccard.REPORT])
