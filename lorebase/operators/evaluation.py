@@ -49,8 +49,25 @@ def metrics(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = KS) ->
     if relevant.isEmpty():
         raise ValueError("ranking metrics need relevant documents")
     rel = relevant.select("query_id", "document_id").distinct()
-    n_rel = rel.groupBy("query_id").agg(F.count("*").alias("n_rel"))
-    hits = ranked.join(rel, ["query_id", "document_id"])
+    return _metrics(ranked.join(rel, ["query_id", "document_id"]), rel.groupBy("query_id").agg(F.count("*").alias("n_rel")), ks)
+
+
+def metrics_by_label(ranked: DataFrame, queries: DataFrame, documents: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """``metrics`` where the documents (document_id, label) with the label of a query (query_id, label) are relevant to it.
+
+    Labels are counted and met by what was found: there is no row for each query and relevant document.
+    """
+    check(ks)
+    labelled = documents.select("document_id", "label").where(F.col("label").isNotNull()).distinct()
+    n_rel = queries.select("query_id", "label").distinct().join(labelled.groupBy("label").agg(F.count("*").alias("n_rel")), "label")
+    if n_rel.isEmpty():
+        raise ValueError("ranking metrics need relevant documents")
+    hits = ranked.join(queries.select("query_id", "label").distinct(), "query_id").join(labelled, ["document_id", "label"])
+    return _metrics(hits, n_rel.select("query_id", "n_rel"), ks)
+
+
+def _metrics(hits: DataFrame, n_rel: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """Metrics of the relevant documents found (query_id, rank) and how many there are (query_id, n_rel)."""
     aggs = [F.min("rank").alias("first")]
     for k in ks:
         inside = F.col("rank") <= k

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lorebase.operators import retrieval
+from lorebase.operators import evaluation, retrieval
 
 
 def brute_bm25(docs, queries, k):
@@ -81,3 +81,22 @@ def test_dense_in_blocks_keeps_ties_and_small_tables(spark, monkeypatch):
     assert [r["chunk_id"] for r in got] == [f"c{k:02}" for k in range(1, 12, 2)] * 5
     assert retrieval.dense(q, rows.limit(2), 6).count() == 10
     assert retrieval.dense(q.where("query_id < 0"), rows, 6).count() == 0
+
+
+def test_metrics_by_label_are_those_of_the_pairs(spark):
+    rng = random.Random(5)
+    docs = [(str(k), rng.choice([1, 2, 3, None])) for k in range(60)]
+    queries = [(k, docs[k][1]) for k in range(0, 60, 5)]
+    ranked = [(q, str(d), r) for q, _ in queries for r, d in enumerate(rng.sample(range(60), 12), 1)]
+    d = spark.createDataFrame(docs, "document_id string, label int")
+    q = spark.createDataFrame(queries, "query_id int, label int")
+    top = spark.createDataFrame(ranked, "query_id int, document_id string, rank int")
+    want = evaluation.metrics(top, q.join(d, "label").select("query_id", "document_id"))
+    got = evaluation.metrics_by_label(top, q, d)
+    found, pairs = (np.array(sorted(map(tuple, x.select(want.columns).collect()))) for x in (got, want))
+    assert len(found) == sum(x is not None for _, x in queries) and np.allclose(found, pairs, atol=1e-12)
+    with pytest.raises(ValueError):
+        evaluation.metrics_by_label(top, q, d.where("label > 9"))
+    # a row for each query and relevant document was made by a join on the label alone
+    keys = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert len(keys) == 3 and sum(x.count(" = ") for x in keys) == 4
