@@ -29,6 +29,22 @@ INJECTION_PATTERNS = {
 CITATION = r"\[[ \t]*(\d{1,3}(?:[ \t]*[,;–-][ \t]*\d{1,3})*)[ \t]*\]"
 
 
+# Letters that a letter-by-letter upper case, as of SQL, leaves as they are, and those that it gives another one letter,
+# where the JVM's writes several letters (STRASSE) or knows a newer alphabet.
+_PLACES = (0xDF, 0x149, 0x19B, 0x1F0, 0x264, 0x390, 0x3B0, 0x587, 0x1C8A, *range(0x1E96, 0x1E9B), *range(0x1F50, 0x1F58, 2), *range(0x1F80, 0x1FB0), 0x1FB2, 0x1FB3, 0x1FB4, 0x1FB6, 0x1FB7, 0x1FBC, 0x1FC2, 0x1FC3, 0x1FC4, 0x1FC6, 0x1FC7, 0x1FCC)
+_PLACES += (0x1FD2, 0x1FD3, 0x1FD6, 0x1FD7, 0x1FE2, 0x1FE3, 0x1FE4, 0x1FE6, 0x1FE7, 0x1FF2, 0x1FF3, 0x1FF4, 0x1FF6, 0x1FF7, 0x1FFC, 0xA7CD, 0xA7DB, *range(0xFB00, 0xFB07), *range(0xFB13, 0xFB18), *range(0x10D70, 0x10D86))
+_OTHERS = {0xDF: 0x1E9E, 0x1FB3: 0x1FBC, 0x1FC3: 0x1FCC, 0x1FF3: 0x1FFC, **{a + k: a + k + 8 for a in (0x1F80, 0x1F90, 0x1FA0) for k in range(8)}}
+SINGLE = "".join(map(chr, _PLACES))
+SINGLE_UPPER = "".join(chr(_OTHERS.get(c, c)) for c in _PLACES)
+
+
+def upper(text: Column) -> Column:
+    """Upper case letter by letter: a text keeps its length, and every offset into it its place."""
+    parts = F.split(text, f"(?<=[{SINGLE}])|(?=[{SINGLE}])", -1)
+    mixed = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(f"^[{SINGLE}]$"), F.translate(p, SINGLE, SINGLE_UPPER)).otherwise(F.upper(p))), "")
+    return F.when(text.rlike(f"[{SINGLE}]"), mixed).otherwise(F.upper(text))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words, in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))

@@ -8,8 +8,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lorebase.operators import evaluation, retrieval
+from lorebase.functions import batches, text
+from lorebase.operators import chunking, evaluation, retrieval
 
 
 def brute_bm25(docs, queries, k):
@@ -50,11 +53,11 @@ def test_bm25_in_blocks_and_rounds_is_brute_force(spark, monkeypatch, tmp_path,
 def test_bm25_sends_no_row_per_query_and_match(monkeypatch):
     monkeypatch.setattr(retrieval, "BLOCK_ROWS", 50)
     rng = np.random.default_rng(0)
-    batches = [
+    parts = [
         pa.record_batch([pa.array([f"{b}-{k}" for k in range(50)]), pa.array(rng.integers(1, 30, 50)), pa.array([[0, 1]] * 50, pa.list_(pa.int32())), pa.array(rng.integers(1, 9, (50, 2)).tolist(), pa.list_(pa.int32()))], names=["chunk_id", "dl", "codes", "tfs"])
         for b in range(40)
     ]
-    found = list(retrieval._scored(np.array([0, 1, 2]), np.array([0, 1]), np.array([1.0, 2.0]), 9.0, 5)(iter(batches)))
+    found = list(retrieval._scored(np.array([0, 1, 2]), np.array([0, 1]), np.array([1.0, 2.0]), 9.0, 5)(iter(parts)))
     # both queries match all 2,000 rows
     assert 2 * 5 <= sum(x.num_rows for x in found) < 2 * 5 * 12
 
@@ -100,3 +103,9 @@ def test_metrics_by_label_are_those_of_the_pairs(spark):
     # a row for each query and relevant document was made by a join on the label alone
     keys = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
     assert len(keys) == 3 and sum(x.count(" = ") for x in keys) == 4
+
+
+def test_upper_keeps_the_length_of_a_text(spark):
+    words = ["Straße ß", "éa", "ﬁn ǰ ᾳ", "", None, "ßß", "ΐx"]
+    got = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, t string").select("k", text.upper(F.col("t")).alias("u")).orderBy("k").collect()
+    assert [r["u"] for r in got] == ["STRAẞE ẞ", "ÉA", "ﬁN ǰ ᾼ", "", None, "ẞẞ", "ΐX"]
