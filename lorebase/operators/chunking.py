@@ -9,13 +9,16 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import markdown, spans
+from ..functions.batches import CHARS, cuts, frugal
 from .embedding import Embedder, hash_vectors
 
 META = ("source", "title", "url", "doc_type", "language")
@@ -64,12 +67,21 @@ def _generated(docs: DataFrame, split: Split) -> DataFrame:
     keep = [c for c in docs.columns if c != "text"]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("pieces", T.ArrayType(T.StructType([T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("section", T.StringType())])))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pieces = [[{"char_start": a, "char_end": b, "text": t, "section": s} for a, b, t, s in _pieces(x, split)] for x in pdf["text"]]
-            yield pdf[keep].assign(pieces=pieces)
-
-    return docs.mapInPandas(run, schema)
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # a batch is cut by its characters: what is made of a part leaves before the next one
+            for a, b in cuts(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64), CHARS):
+                part = batch.slice(a, b - a)
+                each = [_pieces(x, split) for x in part.column("text").to_pylist()]
+                flat = [p for pieces in each for p in pieces]
+                kinds = (pa.int32(), pa.int32(), pa.string(), pa.string())
+                fields = [pa.array([p[k] for p in flat], kind) for k, kind in enumerate(kinds)]
+                off = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in each])]), pa.int32())
+                pieces = pa.ListArray.from_arrays(off, pa.StructArray.from_arrays(fields, ["char_start", "char_end", "text", "section"]))
+                yield pa.record_batch([*(part.column(c) for c in keep), pieces], names=[*keep, "pieces"])
+
+    return docs.mapInArrow(run, schema)
 
 
 def _fixed(docs: DataFrame, size: int, overlap: int, embedder: Embedder) -> DataFrame:

@@ -109,3 +109,21 @@ def test_upper_keeps_the_length_of_a_text(spark):
     words = ["Straße ß", "éa", "ﬁn ǰ ᾳ", "", None, "ßß", "ΐx"]
     got = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, t string").select("k", text.upper(F.col("t")).alias("u")).orderBy("k").collect()
     assert [r["u"] for r in got] == ["STRAẞE ẞ", "ÉA", "ﬁN ǰ ᾼ", "", None, "ẞẞ", "ΐX"]
+
+
+def test_chunks_of_a_batch_leave_in_parts(monkeypatch):
+    monkeypatch.setattr(chunking, "CHARS", 100)
+    seen = []
+
+    class Docs:
+        columns = ["document_id", "text"]
+        schema = {"document_id": T.StructField("document_id", T.StringType())}
+
+        def mapInArrow(self, run, schema):
+            batch = pa.record_batch([pa.array([str(k) for k in range(50)]), pa.array([None, ""] + ["One two. Three four."] * 48)], names=["document_id", "text"])
+            seen.extend(run(iter([batch])))
+
+    chunking._generated(Docs(), lambda t: [(0, 9), (9, len(t))])
+    assert len(seen) >= 9 and sum(x.num_rows for x in seen) == 50
+    rows = pa.Table.from_batches(seen).to_pylist()
+    assert rows[0]["pieces"] == rows[1]["pieces"] == [] and rows[-1]["pieces"] == [{"char_start": 0, "char_end": 9, "text": "One two. ", "section": None}, {"char_start": 9, "char_end": 20, "text": "Three four.", "section": None}]
