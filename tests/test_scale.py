@@ -127,3 +127,13 @@ def test_chunks_of_a_batch_leave_in_parts(monkeypatch):
     assert len(seen) >= 9 and sum(x.num_rows for x in seen) == 50
     rows = pa.Table.from_batches(seen).to_pylist()
     assert rows[0]["pieces"] == rows[1]["pieces"] == [] and rows[-1]["pieces"] == [{"char_start": 0, "char_end": 9, "text": "One two. ", "section": None}, {"char_start": 9, "char_end": 20, "text": "Three four.", "section": None}]
+
+
+def test_terms_are_counted_in_parts(monkeypatch):
+    monkeypatch.setattr(batches, "ITEMS", 10)
+    words = [None, [], *([f"w{k % 3}", "w0", f"v{k}"] for k in range(40))]
+    got = list(retrieval._counted(iter([pa.record_batch([pa.array([str(k) for k in range(42)]), pa.array(words, pa.list_(pa.string()))], names=["chunk_id", "t"])])))
+    assert len(got) >= 12
+    rows = pa.Table.from_batches(got).to_pylist()
+    for r, w in zip(rows, words, strict=True):
+        assert r["dl"] == len(w or []) and dict(zip(r["terms"], r["tfs"], strict=True)) == Counter(w or [])
