@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import re
 import subprocess
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import doc_type
+from ..functions.batches import frugal, lengths, slices
+from ..functions.text import TOKEN, doc_type
 from .generation import call
 
 ABSTAIN_BELOW, KS = 0.35, (1, 3, 5, 10)
@@ -92,6 +96,37 @@ def question_doc_type(relevant: DataFrame) -> DataFrame:
     return relevant.groupBy("query_id").agg(F.collect_set(facet).alias("f")).select("query_id", F.when(F.size("f") == 1, F.col("f")[0]).alias("doc_type"))
 
 
+def held_whole(questions: DataFrame, documents: DataFrame) -> DataFrame:
+    """(question_id, document_id) of documents (document_id, text) that hold the text of a question (question_id, question), which go to every task.
+
+    A word inside a question, neither its first nor its last, is a word of each text that holds the question, so the
+    question is looked for only in texts that have its longest such word. Questions without one are looked for everywhere.
+    """
+    asked = [(i, q, w[1:-1]) for i, q, w in questions.select("question_id", "question", F.regexp_extract_all("question", F.lit(f"({TOKEN})"), F.lit(1))).collect() if q is not None]
+    by_word: dict[str, list[tuple[str, str]]] = {}
+    for i, q, inner in asked:
+        if inner:
+            by_word.setdefault(max(inner, key=len), []).append((i, q))
+    words, anywhere = pa.array(list(by_word), pa.string()), [(i, q) for i, q, inner in asked if not inner]
+    of_word = list(by_word.values())
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "words"):
+                size = lengths(part.column("words"))
+                at = pc.fill_null(pc.index_in(pc.list_flatten(part.column("words")), value_set=words), -1).to_numpy(zero_copy_only=False)
+                pairs = np.unique(np.stack([np.repeat(np.arange(len(size)), size)[at >= 0], at[at >= 0]]), axis=1)
+                ids, texts = part.column("document_id"), part.column("text")
+                found = [(i, row) for row, w in pairs.T.tolist() for i, q in of_word[w] if q in texts[row].as_py()]
+                if anywhere:
+                    found += [(i, row) for row, t in enumerate(texts.to_pylist()) if t is not None for i, q in anywhere if q in t]
+                yield pa.record_batch([pa.array([i for i, _ in found], pa.string()), ids.take(pa.array([row for _, row in found], pa.int64()))], names=["question_id", "document_id"])
+
+    rows = documents.select(F.col("document_id").cast("string").alias("document_id"), "text", F.array_distinct(F.regexp_extract_all("text", F.lit(f"({TOKEN})"), F.lit(1))).alias("words"))
+    return rows.mapInArrow(run, "question_id string, document_id string")
+
+
 def grouped(per_question: DataFrame, names: list[str]) -> DataFrame:
     """(scope, key, questions, means): overall, by category and by doc_type from one scan by grouping sets."""
     sets = per_question.groupingSets([[], ["category"], ["doc_type"]], "category", "doc_type").agg(F.grouping_id().alias("g"), F.count("*").alias("questions"), *[F.avg(F.col(f"`{n}`")).alias(n) for n in names])

@@ -137,3 +137,15 @@ def test_terms_are_counted_in_parts(monkeypatch):
     rows = pa.Table.from_batches(got).to_pylist()
     for r, w in zip(rows, words, strict=True):
         assert r["dl"] == len(w or []) and dict(zip(r["terms"], r["tfs"], strict=True)) == Counter(w or [])
+
+
+def test_questions_are_looked_for_in_texts_with_their_word(spark):
+    rng = random.Random(2)
+    words = ["al", "bet", "gamma", "Delta", "eps_1", "ß", "x"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 12))) + rng.choice(["", ".", "'s"]) for _ in range(80)] + [None]
+    asked = ["bet gamma al", "gamma", "lpha", "a Delta x", "et gam", "x eps_1 be", "", "ma Delta", None, "nowhere at all", "delta x al", "al bet"]
+    docs = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate(texts)], "document_id string, text string")
+    questions = spark.createDataFrame([(f"q{k}", q) for k, q in enumerate(asked)], "question_id string, question string")
+    got = evaluation.held_whole(questions, docs)
+    want = {(f"q{i}", f"d{j}") for i, q in enumerate(asked) for j, t in enumerate(texts) if q is not None and t is not None and q in t}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
