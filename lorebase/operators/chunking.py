@@ -110,3 +110,14 @@ def chunk(docs: DataFrame, strategy: str = "sentence", size: int = 1000, overlap
     cut = STRATEGIES[strategy](docs.select("document_id", "text", *meta), size, overlap, embedder)
     rows = cut.select("document_id", *meta, F.posexplode("pieces").alias("chunk_index", "p")).select("document_id", "chunk_index", "p.*", *meta)
     return rows.select(F.concat_ws("#", "document_id", F.col("chunk_index").cast("string")).alias("chunk_id"), "document_id", "chunk_index", "char_start", "char_end", "section", "text", *meta)
+
+
+def cover(docs: DataFrame, strategy: str, size: int = 1000, overlap: int = 200, embedder: Embedder = hash_vectors) -> DataFrame:
+    """(document_id, first, last, wrong) of each row that has chunks: where they start and end, and how many are no piece of its text.
+
+    A row's text goes along with its chunks, so nothing is shuffled.
+    """
+    cut = STRATEGIES[strategy](docs.select("document_id", "text", F.col("text").alias("whole")), size, overlap, embedder).where(F.size("pieces") > 0)
+    wrong = F.filter("pieces", lambda p: p["text"] != F.substring(F.col("whole"), p["char_start"] + 1, p["char_end"] - p["char_start"]))
+    edge = lambda name: F.transform("pieces", lambda p: p[name].cast("long"))
+    return cut.select("document_id", F.array_min(edge("char_start")).alias("first"), F.array_max(edge("char_end")).alias("last"), F.size(wrong).cast("long").alias("wrong"))

@@ -149,3 +149,16 @@ def test_questions_are_looked_for_in_texts_with_their_word(spark):
     got = evaluation.held_whole(questions, docs)
     want = {(f"q{i}", f"d{j}") for i, q in enumerate(asked) for j, t in enumerate(texts) if q is not None and t is not None and q in t}
     assert sorted(map(tuple, got.collect())) == sorted(want) and "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cover_shuffles_no_text(spark):
+    docs = spark.createDataFrame([("a", "One. Two. Three four five. " * 80), ("b", ""), ("c", None), ("d", "x ß 😀 y")], "document_id string, text string")
+    for name in ("sentence", "recursive", "semantic"):
+        got = chunking.cover(docs, name)
+        assert sorted(map(tuple, got.collect())) == [("a", 0, 2160, 0), ("d", 0, 7, 0)]
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    off = {"off": lambda d, *_: chunking._generated(d, lambda t: [(0, 2), (3, len(t))])}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(chunking, "STRATEGIES", off)
+        m.setattr(chunking, "_pieces", lambda t, split: [(a, b, "?", None) for a, b in split(t)] if t else [])
+        assert [r["wrong"] for r in chunking.cover(docs, "off").collect()] == [2, 2]
