@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import spans, text
+from ..sources.shared import spread
 from .embedding import Embedder, hash_vectors
 
 GAP = " […] "
@@ -80,7 +81,7 @@ def compress(pool: DataFrame, method: str = "embedding", budget: int = 3688, pen
     score = COMPRESSORS[method]
     # a pool is a few dozen rows: it travels as one array, so whatever made it is computed once
     rows = F.array_sort(F.collect_list(F.struct("rank", F.struct(*pool.columns).alias("row"))))
-    pools = pool.groupBy("query_id").agg(F.first("query").alias("query"), rows.alias("rows"))
+    pools = spread(pool, "query_id").groupBy("query_id").agg(F.first("query").alias("query"), rows.alias("rows"))
     pools = pools.withColumn("texts", F.transform("rows", lambda x: F.coalesce(x["row"]["text"], F.lit(""))))
 
     def units(query: pd.Series, texts: pd.Series) -> pd.Series:

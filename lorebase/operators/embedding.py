@@ -12,11 +12,13 @@ import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import frugal
+
 DIM, BATCH = 64, 100
 Embedder = Callable[[list[str]], np.ndarray]
 _WORD = re.compile(r"\w+")
@@ -89,26 +91,26 @@ def embed(texts: DataFrame, embedder: Embedder = hash_vectors, isolate: bool = F
         except Exception:
             return None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dim = None
-        for pdf in batches:
-            rows: list[np.ndarray | None] = []
-            for a in range(0, len(pdf), BATCH):
-                batch = [t or "" for t in pdf["text"].iloc[a : a + BATCH]]
+        for batch in batches:
+            for a in range(0, batch.num_rows, BATCH):
+                part = batch.slice(a, BATCH)
+                texts = [t or "" for t in part.column("text").to_pylist()]
                 try:
-                    got = list(vectors(batch))
+                    got = list(vectors(texts))
                 except Exception:
                     if not isolate:
                         raise
-                    got = [alone(t) for t in batch]
+                    got = [alone(t) for t in texts]
                 lengths = {len(v) for v in got if v is not None} | ({dim} if dim else set())
                 if len(lengths) > 1:
                     raise ValueError("vectors of two lengths in one run")
                 dim = lengths.pop() if lengths else dim
-                rows += got
-            yield pdf.assign(vector=pd.Series(rows, index=pdf.index, dtype=object))
+                yield pa.record_batch([*part.columns, pa.array(got, pa.list_(pa.float32()))], names=[*part.schema.names, "vector"])
 
-    return texts.mapInPandas(run, T.StructType([*texts.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
+    return texts.mapInArrow(run, T.StructType([*texts.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
 
 
 def embed_cached(texts: DataFrame, cache: DataFrame, model: str, embedder: Embedder = hash_vectors) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from ..functions.text import is_refusal
 from ..operators import context, generation, retrieval
 from ..operators.embedding import Embedder, embed, hash_vectors
 from ..settings import Settings
-from ..sources.shared import keep
+from ..sources.shared import keep, spread
 
 
 def prepare(questions: DataFrame, settings: Settings, embedder: Embedder = hash_vectors, rewriter: generation.Completer = generation.echo, isolate: bool = False) -> DataFrame:
@@ -20,14 +20,14 @@ def prepare(questions: DataFrame, settings: Settings, embedder: Embedder = hash_
     return embed(keyed, embedder, isolate).drop("text")
 
 
-def retrieve(prepared: DataFrame, chunks: DataFrame, settings: Settings, filters: dict | None = None, lexical: retrieval.LexicalIndex | None = None) -> DataFrame:
+def retrieve(prepared: DataFrame, chunks: DataFrame, settings: Settings, filters: dict | None = None, lexical: retrieval.LexicalIndex | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Pools with chunk columns and the query that they are compressed against."""
     depth = settings.compress_candidates if settings.compress_method else settings.top_k
     if settings.compress_method and settings.compress_candidates < settings.top_k:
         raise ValueError("the compression pool must hold top_k chunks")
     found = retrieval.search(
         prepared, chunks, mode=settings.retrieval_mode, top_k=depth, candidates=max(settings.hybrid_candidates, depth), rrf_k=settings.rrf_k, filters=filters,
-        reranker=settings.rerank_model, rerank_candidates=max(settings.rerank_candidates, depth), lexical=lexical,
+        reranker=settings.rerank_model, rerank_candidates=max(settings.rerank_candidates, depth), lexical=lexical, vectors=vectors,
     )
     query = prepared.where("variant = 0").select("query_id", "query")
     cols = [c for c in chunks.columns if c not in ("vector", "chunk_index", "char_start", "char_end")]
@@ -44,6 +44,7 @@ def answer(
     rewriter: generation.Completer = generation.echo,
     embedder: Embedder = hash_vectors,
     lexical: retrieval.LexicalIndex | None = None,
+    vectors: DataFrame | None = None,
     strict: bool = False,
 ) -> DataFrame:
     """Answers to (query_id, question, history): answer, sources, retrieved, used, dropped, context, warnings, usage, refusal,
@@ -58,7 +59,7 @@ def answer(
     if "history" not in questions.columns:
         questions = questions.withColumn("history", F.lit(None).cast("array<struct<role:string,content:string>>"))
     prepared = keep(prepare(questions, settings, embedder, rewriter), "prepared")
-    full = keep(retrieve(prepared, chunks, settings, filters, lexical), "pools")
+    full = keep(retrieve(prepared, chunks, settings, filters, lexical, vectors), "pools")
     seen = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "document_id", "score")))
     sizes = full.groupBy("query_id").agg(seen.alias("pool"), F.first("query").alias("query"), F.count("*").alias("pooled"))
     pool = full
@@ -78,7 +79,7 @@ def answer(
     found = F.coalesce(F.col("used") > 0, F.lit(False))
     base = base.withColumns({"system": F.when(found, F.lit(generation.PROMPTS[settings.prompt_version])), "user": F.when(found, user), "sources": F.coalesce("sources", F.array().cast(context.SOURCE)), "used_ids": F.transform(F.coalesce("sources", F.array().cast(context.SOURCE)), lambda s: s["chunk_id"])})
     none = F.col("user").isNull()
-    done = generation.check_answers(generation.complete(base, _unless_empty(completer)), strict)
+    done = generation.check_answers(generation.complete(spread(base, "query_id"), _unless_empty(completer)), strict)
     refusal = F.when(none, "no_context").when(is_refusal(F.col("answer")), "model_declined")
     done = done.withColumn("refusal", refusal).withColumn("warnings", F.when(none, F.filter("warnings", lambda w: w != "answer_without_citations")).otherwise(F.col("warnings")))
     pooled, used = F.coalesce("pooled", F.lit(0)), F.coalesce("used", F.lit(0))

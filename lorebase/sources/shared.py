@@ -25,3 +25,9 @@ def keep(rows: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(rows.sparkSession)}/lorebase/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt by a key to at least a few tasks for each core, however few bytes they come to: a worker gets a whole task's rows in one batch."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)

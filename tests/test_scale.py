@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorebase.functions import batches, text
-from lorebase.operators import chunking, evaluation, retrieval
+from lorebase.operators import chunking, context, evaluation, retrieval
 
 
 def brute_bm25(docs, queries, k):
@@ -162,3 +162,19 @@ def test_cover_shuffles_no_text(spark):
         m.setattr(chunking, "STRATEGIES", off)
         m.setattr(chunking, "_pieces", lambda t, split: [(a, b, "?", None) for a, b in split(t)] if t else [])
         assert [r["wrong"] for r in chunking.cover(docs, "off").collect()] == [2, 2]
+
+
+def test_pools_are_dealt_to_all_cores(spark):
+    pool = spark.createDataFrame([(k, "red apple", f"c{j}", j + 1, f"An apple is red. {j} is a number. " * 4) for k in range(40) for j in range(3)], "query_id int, query string, chunk_id string, rank int, text string")
+    got = context.compress(pool, budget=60)
+    sizes = got.select(F.spark_partition_id().alias("p"), "query_id").groupBy("p").agg(F.count_distinct("query_id").alias("n")).collect()
+    # few bytes were one task, whose worker got all texts at once
+    assert len(sizes) > 8 and max(r["n"] for r in sizes) < 12 and sum(r["n"] for r in sizes) == 40
+
+
+def test_vectors_are_made_in_batches(spark):
+    from lorebase.operators import embedding
+
+    got = embedding.embed(spark.createDataFrame([(k, "w" * (k % 5) or None) for k in range(250)], "k int, t string").withColumnRenamed("t", "text").coalesce(1), lambda ts: np.array([[len(t), len(ts)] for t in ts], np.float32))
+    rows = sorted(map(tuple, got.select("k", "vector").collect()))
+    assert [v[0] for _, v in rows] == [k % 5 for k in range(250)] and {v[1] for _, v in rows} <= {100.0, 50.0}
